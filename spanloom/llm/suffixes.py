@@ -40,7 +40,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 NO_ID = np.iinfo(np.int64).max
 #: For each pair of residues an offset that takes both into the cover.
 OFFSETS = np.array([[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
-SLICE = 1 << 21
+SLICE = 1 << 17
 
 
 def pack(*arrays) -> bytes:
@@ -72,42 +72,57 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same minimizer: first window, how many, the minimizer. ends: where the documents end."""
+    """Runs of windows with the same minimizer: first window, how many, the minimizer. ends: where the documents end.
+
+    Slices are small, so that all intermediate arrays stay in a core's cache.
+    """
     reach = depth - GRAM + 1
-    starts, counts, values = [], [], []
+    last = np.repeat((ends - depth).astype(np.int64), np.diff(np.concatenate(([0], ends))))
+    starts, values = [], []
     for a in range(0, max(0, len(data) - depth + 1), SLICE):
         part = data[a : a + SLICE + depth - 1]
         n = len(part) - depth + 1
         w = words_at(part, "<u8")
-        h = w[: len(part) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + w[8 : len(part) - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = w[: len(part) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+        h += w[8 : len(part) - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
         h += w[GRAM - 8 : len(part) - 7] * np.uint64(0x165667B19E3779F9)
-        h = mixed(h)
-        least, have = h, 1
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        have = 1
         while have < reach:
             step = min(have, reach - have)
-            least = np.minimum(least[: len(least) - step], least[step:])
+            h = np.minimum(h[: len(h) - step], h[step:])
             have += step
-        last = ends[np.searchsorted(ends, np.arange(a, a + n), "right")] if len(ends) > 1 else np.full(n, ends[0])
-        fits = np.arange(a, a + n) + depth <= last
-        breaks = np.concatenate(([True], (least[1:n] != least[: n - 1]) | (last[1:] != last[:-1]) | (fits[1:] != fits[:-1])))
-        first = np.flatnonzero(breaks)
-        size = np.diff(np.concatenate((first, [n])))
-        keep = fits[first]
-        starts.append(first[keep] + a)
-        counts.append(size[keep])
-        values.append(least[first[keep]])
+        stop = last[a : a + n]
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(h[1:n], h[: n - 1], out=new[1:])
+        new[1:] |= stop[1:] != stop[:-1]
+        # Where windows stop fitting into their document a run ends too.
+        ended = np.unique(stop) + 1 - a
+        new[ended[(ended >= 0) & (ended < n)]] = True
+        first = np.flatnonzero(new)
+        starts.append(first + a)
+        values.append(h[first])
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), mixed(np.concatenate(values))
+    first, value = np.concatenate(starts), mixed(np.concatenate(values))
+    count = np.diff(np.concatenate((first, [len(data) - depth + 1])))
+    keep = first <= last[first]
+    return first[keep], count[keep], value[keep]
 
 
 class Block:
     """Some documents, their runs, and the distinct minimizers by bucket."""
 
-    def __init__(self, blob: bytes, n_buckets: int, depth: int) -> None:
+    def __init__(self, blob: bytes, n_buckets: int, depth: int, places: tuple | None = None) -> None:
+        """places: where the segments are (first window, document, segment number), if that is known already."""
         self.ids, self.known, lengths, raw = unpack(blob)
         self.data, self.ends, self.depth = np.frombuffer(raw, np.uint8), np.cumsum(lengths), depth
         self.starts = self.ends - lengths
+        if places:
+            self.first, self.row, self.segment = places
+            return
         self.first, self.count, self.value = runs_of(self.data, self.ends, depth)
         self.row = np.searchsorted(self.ends, self.first, "right")
         self.distinct, self.which = np.unique(self.value, return_inverse=True)
@@ -153,7 +168,7 @@ class Block:
         """Which bytes go. A reply has segment numbers, first windows, counts and the least id that has these windows."""
         marks = np.zeros(len(self.data) + 1, np.int64)
         by = np.argsort(self.segment, kind="stable")
-        heads = np.searchsorted(self.segment[by], np.arange(len(self.texts) + 1))
+        heads = np.searchsorted(self.segment[by], np.arange(int(self.segment.max(initial=-1)) + 2))
         for reply in replies:
             number, offset, count, least = unpack(reply)
             times = heads[number + 1] - heads[number]
@@ -331,8 +346,9 @@ def repeated_passages(docs: DataFrame, depth: int = 50, block_bytes: int = 1 <<
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = list(opened(batch, k).segments())
-                yield {"bucket": [r[0] for r in rows], "block": [batch.column("block")[k].as_py()] * len(rows), "data": [pack(numbers, least, most, np.array(list(map(len, texts)), np.int32), b"".join(texts)) for _, numbers, least, most, texts in rows]}
+                rows = list((block := opened(batch, k)).segments())
+                blobs = [pack(numbers, least, most, np.array(list(map(len, texts)), np.int32), b"".join(texts)) for _, numbers, least, most, texts in rows]
+                yield {"bucket": [*(r[0] for r in rows), -1], "block": [batch.column("block")[k].as_py()] * (len(rows) + 1), "data": [*blobs, pack(block.first, block.row, block.segment)]}
 
     def sort(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
@@ -364,16 +380,19 @@ def repeated_passages(docs: DataFrame, depth: int = 50, block_bytes: int = 1 <<
             replies.append(pack(np.repeat(numbers, times)[useful], run_offset[run], run_size[run], run_least[run]) if len(run) else None)
         return pa.table({"block": rows.column("block"), "reply": pa.array(replies, pa.binary())}).filter(pa.array([r is not None for r in replies]))
 
-    sent = common.arrow_map(flagged, send, "bucket int, block long, data binary")
-    replies = sent.groupBy("bucket").applyInArrow(sort, "block long, reply binary")
+    # Bucket -1 is where the segments are in their block.
+    sent, path_sent = common.written(common.arrow_map(flagged, send, "bucket int, block long, data binary"), "segments")
+    common.remove(spark, path_masks)
+    places = sent.filter("bucket < 0").select("block", F.col("data").alias("places"))
+    replies = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(sort, "block long, reply binary")
     replies, path_replies = common.written(replies.groupBy("block").agg(F.collect_list("reply").alias("replies")), "replies")
-    answered = answered_blocks.join(masks.hint("shuffle_hash"), "block", "left").join(replies.hint("shuffle_hash"), "block", "left")
+    answered = answered_blocks.join(places.hint("shuffle_hash"), "block", "left").join(replies.hint("shuffle_hash"), "block", "left")
     extra = ({"kept": "binary"} if kept else {}) | {c: dict(docs.dtypes)[c] for c in carry}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = opened(batch, k)
+                block = Block(batch.column("data")[k].as_py(), n_buckets, depth, unpack(batch.column("places")[k].as_py()))
                 gone = block.cut(batch.column("replies")[k].as_py() or [])
                 edge = gone & np.concatenate(([True], ~gone[:-1])) if len(gone) else gone
                 edge[block.starts[block.starts < len(gone)]] |= gone[block.starts[block.starts < len(gone)]]

@@ -166,18 +166,19 @@ class Block:
 
     def cut(self, replies: list[bytes]) -> np.ndarray:
         """Which bytes go. A reply has segment numbers, first windows, counts and the least id that has these windows."""
-        marks = np.zeros(len(self.data) + 1, np.int64)
+        if not replies:
+            return np.zeros(len(self.data), bool)
+        number, offset, count, least = (np.concatenate(x) for x in zip(*map(unpack, replies), strict=True))
         by = np.argsort(self.segment, kind="stable")
         heads = np.searchsorted(self.segment[by], np.arange(int(self.segment.max(initial=-1)) + 2))
-        for reply in replies:
-            number, offset, count, least = unpack(reply)
-            times = heads[number + 1] - heads[number]
-            at = np.repeat(heads[number] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
-            member = by[at]
-            offset, count, least = (np.repeat(x, times) for x in (offset, count, least))
-            later = self.ids[self.row[member]] > least
-            begin = (self.first[member] + offset)[later]
-            marks += np.bincount(begin, minlength=len(marks)) - np.bincount(begin + count[later] + self.depth - 1, minlength=len(marks))
+        times = heads[number + 1] - heads[number]
+        at = np.repeat(heads[number] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+        member = by[at]
+        offset, count, least = (np.repeat(x, times) for x in (offset, count, least))
+        later = self.ids[self.row[member]] > least
+        begin = (self.first[member] + offset)[later]
+        size = len(self.data) + 1
+        marks = np.bincount(begin, minlength=size) - np.bincount(begin + count[later] + self.depth - 1, minlength=size)
         return np.cumsum(marks[:-1]) > 0
 
 

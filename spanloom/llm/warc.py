@@ -197,7 +197,12 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     back = read_warc(spark, path).select("page_id", "warc_type", "refers_to", F.col("digest").alias("said"), F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("own"))
     rows, _ = common.written(back, "records")
     common.remove(spark, path)
-    responses = rows.filter("warc_type = 'response'").groupBy("page_id").agg(F.max("n").alias("of_n"), F.max("own").alias("of_own"))
-    joined = rows.join(responses.withColumnRenamed("page_id", "of_id"), F.col("refers_to") == F.col("of_id"), "left")
-    response = F.col("warc_type") == "response"
-    return joined.select("page_id", F.when(response, F.col("n")).otherwise(F.col("of_n")).alias("payload_bytes"), F.when(response, F.col("own")).otherwise(F.col("of_own")).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", (F.when(response, F.col("own")).otherwise(F.col("of_own")) == F.col("said")).alias("verified"))
+    # Many revisits may refer to one response: those rows are spread by a salt, and the few responses that are
+    # referred to are repeated for each of its values.
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")
+    referred = rows.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("of_id")).distinct()
+    responses = rows.filter("warc_type = 'response'").select(F.col("page_id").alias("of_id"), F.col("n").alias("of_n"), F.col("own").alias("of_own"))
+    sources = referred.join(responses, "of_id").dropDuplicates(["of_id"]).withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    revisits = rows.filter("warc_type = 'revisit'").withColumn("salt", salt).join(sources, (F.col("refers_to") == F.col("of_id")) & (F.col("salt") == F.col("of_salt")), "left")
+    out = lambda df, n, own: df.select("page_id", F.col(n).alias("payload_bytes"), F.col(own).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", (F.col(own) == F.col("said")).alias("verified"))
+    return out(rows.filter("warc_type = 'response'"), "n", "own").unionByName(out(revisits, "of_n", "of_own"))

@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     return leveled.withColumn("target", F.least(F.coalesce(level, F.lit(0.0)) * F.col("weight"), F.col("cap"))).drop("level", "ratio", "cap")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 11, rows_per_range: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 11, rows_per_range: int = 2_000, carry: Sequence[str] = ()) -> DataFrame:
     """The columns to carry, doc_id, source, size, source_size, target, epochs (whole ones), taken: how many words of each document the mix takes."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(*carry, "doc_id", "source", F.size(common.words_of(F.col("text"))).cast("long").alias("size"))

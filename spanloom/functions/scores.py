@@ -14,12 +14,16 @@ CANON = {
     "misinformation": ("misinformation", "misinfo", "error"),
     "disinformation": ("disinformation", "disinfo", "propaganda"),
 }
-ALL = Window.partitionBy()
+
+
+def everything():
+    """All rows: for values of small result tables only."""
+    return Window.partitionBy()
 
 
 def minmax(c: Column, constant: float = 1.0) -> Column:
     """To [0, 1] over all rows."""
-    low, high = F.min(c).over(ALL), F.max(c).over(ALL)
+    low, high = F.min(c).over(everything()), F.max(c).over(everything())
     return F.when(high > low, (c - low) / (high - low)).otherwise(F.lit(constant))
 
 
@@ -29,7 +33,7 @@ def stability(entropy: Column, coherence: Column, mode: str = "classic") -> Colu
     if mode == "entropy_weighted":
         return coherence * F.exp(-h)
     if mode == "normalized":
-        scaled = lambda c: F.when(F.max(c).over(ALL) > F.min(c).over(ALL), (c - F.min(c).over(ALL)) / (F.max(c).over(ALL) - F.min(c).over(ALL) + 1e-12)).otherwise(c)
+        scaled = lambda c: F.when(F.max(c).over(everything()) > F.min(c).over(everything()), (c - F.min(c).over(everything())) / (F.max(c).over(everything()) - F.min(c).over(everything()) + 1e-12)).otherwise(c)
         return scaled(coherence) * (1 - scaled(entropy))
     return coherence / (1 + h)
 
@@ -46,8 +50,8 @@ def condensation_threshold(h: Column) -> Column:
 def temperature(entropy: Column, coherence: Column) -> Column:
     """Scaled H - C; one half where all are alike."""
     x = entropy - coherence
-    span = F.max(x).over(ALL) - F.min(x).over(ALL)
-    return F.when(span < 1e-9, F.lit(0.5)).otherwise((x - F.min(x).over(ALL)) / (span + 1e-9))
+    span = F.max(x).over(everything()) - F.min(x).over(everything())
+    return F.when(span < 1e-9, F.lit(0.5)).otherwise((x - F.min(x).over(everything())) / (span + 1e-9))
 
 
 def canonical_label(c: Column) -> Column:
@@ -80,8 +84,8 @@ def core_score(tf: Column, df: Column) -> Column:
 
 
 def clipped_z(c: Column) -> Column:
-    spread = F.stddev_samp(c).over(ALL)
-    return F.when(spread > 0, F.least(F.lit(4.0), F.greatest(F.lit(-4.0), (c - F.avg(c).over(ALL)) / spread))).otherwise(F.lit(0.0))
+    spread = F.stddev_samp(c).over(everything())
+    return F.when(spread > 0, F.least(F.lit(4.0), F.greatest(F.lit(-4.0), (c - F.avg(c).over(everything())) / spread))).otherwise(F.lit(0.0))
 
 
 def spectral_entropy(v: Column) -> Column:

@@ -248,6 +248,31 @@ def test_op9(spark, docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op9_simhash"](spark, DATA).collect()} == {i: (f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+def test_similar_documents(spark, odd, empty):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    sets, rows = {}, []
+    for k in range(60):
+        base = [word() for _ in range(300)]
+        for j, edits in enumerate((0, 0, 2, 5, 12, 40)):
+            words = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                words[at] = word()
+            rows.append((6 * k + j, " ".join(words).title() if j == 1 else " ".join(words)))
+            sets[6 * k + j] = {tuple(words[i : i + 5]) for i in range(296)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i // 6 * 6, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                u, v = root[i], root[j]
+                root = {k: min(u, v) if r in (u, v) else r for k, r in root.items()}
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] != root[i] for i in sets) <= 2
+    assert all(found[i] >= root[i] for i in sets)  # nothing is linked that is not alike
+    assert sorted((r.doc_id, r.component_id) for r in simhash.similar_documents(odd).collect()) == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (5, 5), (6, 1), (7, 7)]
+    assert simhash.similar_documents(empty).collect() == []
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 91)], "u long, v long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**{k: 0 for k in range(51)}, 90: 90, 91: 90}

@@ -75,14 +75,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, size: int = 512) -> DataFrame:
-    """mapInArrow with a function from batches to dicts of columns, each a list or an Arrow array."""
+    """mapInArrow with a function from batches to dicts of columns, each a list or an Arrow array.
+
+    Spark's batches may hold 64 MB; the function sees at most `size` rows at a time, which bounds what it makes of them.
+    """
     kind = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in rows(batches):
+        slices = (batch.slice(k, size) for batch in batches for k in range(0, batch.num_rows, size))
+        for columns in rows(slices):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, kind)

@@ -12,7 +12,7 @@ an empty table gives an empty result; without labels every score is the prior's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,6 +82,17 @@ def line_features(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.n
     return np.stack(columns, axis=1).astype(np.float64), size, n_lines
 
 
+def long_features(text: str, table: np.ndarray, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of one text, made of about `limit` characters at a time, cut behind a line."""
+    parts, start = [], 0
+    while start >= 0:
+        end = text.find("\n", start + limit)
+        parts.append(line_features([text[start:] if end < 0 else text[start:end]], table))
+        start = end + 1 if end >= 0 else -1
+    own, size, n_lines = zip(*parts, strict=True)
+    return np.concatenate(own), np.concatenate(size), np.sum(n_lines, axis=0)
+
+
 def with_neighbours(own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     """Each line's features with those of the line before and behind it in its document (0 where there is none)."""
     last = np.cumsum(n_lines) - 1
@@ -158,10 +169,17 @@ def document_scores(own: np.ndarray, size: np.ndarray, n_lines: np.ndarray, mode
     return np.clip(sums(good * weight, starts) / sums(weight, starts), 0.0, 1.0)
 
 
-def blocks(texts: list[str | None], limit: int = 1 << 21) -> Iterator[list[str]]:
-    """Lists of texts of about `limit` characters together."""
+def features_of(block: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return long_features(block[0], table) if len(block) == 1 else line_features(block, table)
+
+
+def blocks(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[str]]:
+    """Lists of texts of about `limit` characters together; a text of that many is on its own."""
     block, held = [], 0
     for text in texts:
+        if block and len(text or "") >= limit:
+            yield block
+            block, held = [], 0
         block.append(text or "")
         held += len(block[-1])
         if held >= limit:
@@ -187,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 3_000) -> Model:
         table = class_table()
         for batch in batches:
             for quality, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-                own, _, _ = line_features([text or ""], table)
+                own, _, _ = long_features(text or "", table)
                 yield {"quality": [quality], "features": [own.astype(np.float32).tobytes()]}
 
     rows = sorted((bytes(r["features"]), r["quality"]) for r in common.arrow_map(chosen, run, "quality int, features binary").collect())
@@ -196,16 +214,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 3_000) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with a column score."""
+    """The rows of docs with a column _crf_score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = class_table()
         for batch in batches:
-            scores = [document_scores(*line_features(block, table), model) for block in blocks(batch.column("_crf_text").to_pylist())]
-            yield {name: batch.column(k) for k, name in enumerate(batch.schema.names) if name != "_crf_text"} | {"_crf_score": np.concatenate(scores) if scores else np.zeros(0)}
+            texts = (t.as_py() for t in batch.column("text"))
+            scores = [document_scores(*features_of(block, table), model) for block in blocks(texts)]
+            yield {name: batch.column(k) for k, name in enumerate(batch.schema.names)} | {"_crf_score": np.concatenate(scores) if scores else np.zeros(0)}
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return common.arrow_map(docs.withColumn("_crf_text", F.col("text")), run, f"{kinds}, _crf_score double")
+    return common.arrow_map(docs, run, f"{kinds}, _crf_score double")
 
 
 def op2_crf(spark, sf_dir: str) -> DataFrame:

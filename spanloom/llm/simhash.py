@@ -204,7 +204,7 @@ def dealt_links(keyed: DataFrame, levels: tuple[int, ...]) -> DataFrame:
         yield done(keys, prints)
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "print")
-    return common.arrow_map(dealt, meet, "u long, v long").distinct()
+    return common.arrow_map(dealt, meet, "u long, v long", 1 << 16).distinct()
 
 
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:

@@ -248,6 +248,13 @@ def test_op9(spark, docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op9_simhash"](spark, DATA).collect()} == {i: (f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+def test_features_of_a_long_text_in_parts():
+    table, text = crf.class_table(), "One line here.\n\nAnother!! ### 12\n" * 40
+    for found, want in zip(crf.long_features(text, table, 50), crf.line_features([text], table), strict=True):
+        assert np.array_equal(found, want)
+    assert [len(b) for b in crf.blocks(["a", None, "b" * 9, "c"], 5)] == [2, 1, 1]
+
+
 def test_similar_documents(spark, odd, empty):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))

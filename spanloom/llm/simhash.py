@@ -169,6 +169,29 @@ def buckets_with_links(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray,
     return np.flatnonzero(found)
 
 
+def forest(prints: np.ndarray, levels: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """bucket_links at each distance in ascending `levels`, without links between prints that nearer ones connect already."""
+    if len(levels) == 1:
+        yield bucket_links(prints, levels[0])
+        return
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for bits in levels:
+        a, b = bucket_links(prints, bits)
+        fresh = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            u, v = find(x), find(y)
+            if u != v:
+                root[v], fresh[k] = u, True
+        yield a[fresh], b[fresh]
+
+
 def links_of(keys: np.ndarray, prints: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Links of sorted buckets, a forest for each distance in ascending `levels`; most buckets by chance have none."""
     a, b = [prints[:0]], [prints[:0]]
@@ -177,8 +200,7 @@ def links_of(keys: np.ndarray, prints: np.ndarray, levels: tuple[int, ...]) -> t
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
         for k in buckets_with_links(keys, prints, starts, sizes, levels[-1]):
             part = prints[starts[k] : starts[k] + sizes[k]]
-            for bits in levels if sizes[k] > 2 else levels[-1:]:
-                x, y = bucket_links(part, bits)
+            for x, y in forest(part, levels if sizes[k] > 2 else levels[-1:]):
                 a.append(x)
                 b.append(y)
     return np.concatenate(a), np.concatenate(b)
@@ -280,7 +302,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> Da
     rows, _ = common.written(common.arrow_map(texts, run, f"doc_id {dict(docs.dtypes)['doc_id']}, print long, wide binary"), "prints")
     first = rows.groupBy("print").agg(F.min(F.struct("doc_id", "wide")).alias("x"))
     classes, _ = common.written(first.select("print", F.col("x.doc_id").alias("least"), "x.wide"), "classes")
-    near, _ = common.written(wide_links(classes), "candidates")
+    pairs = wide_links(classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near, _ = common.written(pairs, "candidates")
     nodes = near.select("u").union(near.select("v")).distinct()
     heads = classes.join(nodes, classes["print"] == nodes["u"]).select("print", F.col("least").alias("doc_id"))
     sets, _ = common.written(shingle_sets(texts.join(heads, "doc_id"), width).select("print", "shingles"), "sets")

@@ -307,11 +307,20 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> Da
     nodes = near.select("u").union(near.select("v")).distinct()
     heads = classes.join(nodes, classes["print"] == nodes["u"]).select("print", F.col("least").alias("doc_id"))
     sets, _ = common.written(shingle_sets(texts.join(heads, "doc_id"), width).select("print", "shingles"), "sets")
-    b = near.join(sets.select(F.col("print").alias("v"), F.col("shingles").alias("_b")), "v")
-    both = b.join(sets.select(F.col("print").alias("u"), F.col("shingles").alias("_a")), "u")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    alike = both.filter(shared >= least * (F.size("_a") + F.size("_b") - shared)).select("u", "v")
-    return with_components(rows.select("doc_id", "print"), classes.select("print", "least"), alike)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        b = pairs.join(sets.select(F.col("print").alias("v"), F.col("shingles").alias("_b")), "v")
+        both = b.join(sets.select(F.col("print").alias("u"), F.col("shingles").alias("_a")), "u")
+        shared = F.size(F.array_intersect("_a", "_b"))
+        return both.filter(shared >= least * (F.size("_a") + F.size("_b") - shared)).select("u", "v")
+
+    # Near candidates first; of the others only those between what is not connected yet can change a component.
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 11
+    linked, _ = common.written(alike(near.filter(close)), "close_links")
+    known = components(linked)
+    ends = [known.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("u", "v")]
+    rest = near.filter(~close).join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+    return with_components(rows.select("doc_id", "print"), classes.select("print", "least"), linked.union(alike(rest)))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -12,17 +12,19 @@ dealt by these keys, and in each bucket a search that takes one fingerprint at a
 yet links all that are within three bits of another: at most one link for each fingerprint instead of all pairs,
 with the same components. Every link is verified on the whole fingerprint.
 
-Resemblance of shingle sets at 0.8 or more (similar_documents) is found the same way with more errors: at 0.8 a bit
-differs with a chance of 0.15. Wide fingerprints of 512 bits give 22 segments of 23 bits; two segments that differ
-by such bits share a codeword within four bits of both with a chance of 0.59, so that eleven pairs of segments find
-99% of the pairs at 0.8 and over 99.9% at 0.85, before they are helped by their other relatives. In each bucket a
-forest is drawn at each of three distances of the first 64 bits, so that close links do not hide behind loose ones;
-every link of the forests is then verified on the whole shingle sets.
+Resemblance of shingle sets (similar_documents) needs no fingerprint: the search is an exact prefix filter. The
+shingles of each set are ordered by the number of sets that hold them, rare ones first. Two sets of n shingles and
+more that resemble each other by t share ceil(t n) of them at least, so that they share one among the first
+n - ceil(t n) + 1 of each. Shingles that no other set holds come first and are never dealt; sets meet under each other
+one of that prefix. Where they meet, the sizes and the places of the shingle bound what they can share, which leaves
+out pairs only that cannot be alike. One set of each bucket is verified against the others first; of the rest all
+pairs that are not connected yet by verified links are verified. So every pair of that resemblance is connected.
 
 Defined cases: null texts and texts without words have fingerprint zero, which links like any other; null ids
 join no component id but their group's least id (null if all are null); repeated rows are rows of their own; an
 empty table gives an empty result; other columns are ignored. similar_documents leaves out rows without an id; of
-rows that repeat an id any one may support a link; documents with equal fingerprints of 64 bits are one class.
+rows that repeat an id any one may support a link; documents with equal shingle sets (a hash of
+the sorted set, 64 bits) are one class.
 """
 
 from __future__ import annotations
@@ -117,19 +119,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def wide_fingerprint(text: str | None, width: int = 5, longs: int = 8) -> bytes:
-    """Fingerprints of the shingle hashes and of further hashes made from them, 64 bits each, in one."""
-    first = shingle_hashes(text, width)
-    out = [majority(first)]
-    for k in range(1, longs):
-        # The finalizer of a 64-bit generator: its three constants are fixed values.
-        x = first + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return np.array(out, "<u8").tobytes()
-
-
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, print (the fingerprint as a signed long)."""
 
@@ -169,51 +158,27 @@ def buckets_with_links(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray,
     return np.flatnonzero(found)
 
 
-def forest(prints: np.ndarray, levels: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """bucket_links at each distance in ascending `levels`, without links between prints that nearer ones connect already."""
-    if len(levels) == 1:
-        yield bucket_links(prints, levels[0])
-        return
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
-    for bits in levels:
-        a, b = bucket_links(prints, bits)
-        fresh = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            u, v = find(x), find(y)
-            if u != v:
-                root[v], fresh[k] = u, True
-        yield a[fresh], b[fresh]
-
-
-def links_of(keys: np.ndarray, prints: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of sorted buckets, a forest for each distance in ascending `levels`; most buckets by chance have none."""
+def links_of(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sorted buckets; most buckets by chance have none."""
     a, b = [prints[:0]], [prints[:0]]
     if len(keys):
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        for k in buckets_with_links(keys, prints, starts, sizes, levels[-1]):
-            part = prints[starts[k] : starts[k] + sizes[k]]
-            for x, y in forest(part, levels if sizes[k] > 2 else levels[-1:]):
-                a.append(x)
-                b.append(y)
+        for k in buckets_with_links(keys, prints, starts, sizes, bits):
+            x, y = bucket_links(prints[starts[k] : starts[k] + sizes[k]], bits)
+            a.append(x)
+            b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def dealt_links(keyed: DataFrame, levels: tuple[int, ...]) -> DataFrame:
-    """(u, v) of prints that meet under a key and are linked in its bucket's forests. keyed: key, print."""
+def dealt_links(keyed: DataFrame, bits: int) -> DataFrame:
+    """(u, v) of prints that meet under a key and are linked in its bucket's forest. keyed: key, print."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         keys, prints = np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
         def done(keys: np.ndarray, prints: np.ndarray) -> dict:
-            a, b = links_of(keys, prints, levels)
+            a, b = links_of(keys, prints, bits)
             return {"u": pa.array(a.view(np.int64)), "v": pa.array(b.view(np.int64))}
 
         for batch in batches:
@@ -240,28 +205,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
                 rows, keys = golay.bucket_keys(prints[k : k + 4096])
                 yield {"key": pa.array(keys.astype(np.int32)), "print": pa.array(prints[k : k + 4096][rows].view(np.int64))}
 
-    return dealt_links(common.arrow_map(distinct.select("print"), emit, "key int, print long"), (bits,))
-
-
-def wide_links(classes: DataFrame, levels: tuple[int, ...] = (6, 11, 16)) -> DataFrame:
-    """(u, v) of fingerprints of 64 bits whose wide ones share codewords of a pair of segments. classes: print, wide."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        golay, weights = Golay(), 1 << np.arange(23)
-        for batch in batches:
-            prints = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(prints), 4096):
-                some = b"".join(batch.column(1).slice(k, 4096).to_pylist())
-                part = prints[k : k + 4096]
-                bits = np.unpackbits(np.frombuffer(some, np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-                pairs = bits.shape[1] // 46
-                for pair in range(pairs):
-                    x, y = (golay.keys(bits[:, low : low + 23].astype(np.int64) @ weights) for low in (46 * pair, 46 * pair + 23))
-                    ok = (x[:, :, None] >= 0) & (y[:, None, :] >= 0)
-                    key = ((x[:, :, None] << 12) | y[:, None, :] | (pair << 24))[ok]
-                    yield {"key": pa.array(key.astype(np.int32)), "print": pa.array(part[np.nonzero(ok)[0]])}
-
-    return dealt_links(common.arrow_map(classes.select("print", "wide"), emit, "key int, print long"), levels)
+    return dealt_links(common.arrow_map(distinct.select("print"), emit, "key int, print long"), bits)
 
 
 def with_components(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -290,37 +234,100 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return df.withColumn("shingles", F.array_distinct(F.coalesce(common.windows_of("_words", width), whole))).drop("_words")
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, print, component_id over links between shingle sets whose resemblance is `least` or more."""
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches again, cut so that the rows of a key (the first column) stay together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        if not len(now[0]):
+            continue
+        cut = len(now[0]) if now[0][0] == now[0][-1] else int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
+        if held and (now[0][0] != held[-1][0][-1] or cut < len(now[0])):  # the last bucket is whole
+            head = cut if cut < len(now[0]) else 0
+            yield [np.concatenate(x) for x in zip(*held, [c[:head] for c in now], strict=True)]
+            held, now = [], [c[head:] for c in now]
+        elif cut < len(now[0]):
+            yield [c[:cut] for c in now]
+            now = [c[cut:] for c in now]
+        held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def shared_shingles(keyed: DataFrame) -> DataFrame:
+    """key, print, sets: of rows (key, print), repeated ones once, those whose key is in two sets or more, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            wide = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield {"doc_id": batch.column(0), "print": pa.array(np.frombuffer(b"".join(wide), "<i8")[:: len(wide[0]) // 8] if wide else [], pa.int64()), "wide": wide}
+        for keys, prints in buckets_of(batches):
+            fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])))
+            keys, prints = keys[fresh], prints[fresh]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            many = (each := np.repeat(sizes, sizes)) > 1
+            yield {"key": pa.array(keys[many]), "print": pa.array(prints[many]), "sets": pa.array(each[many].astype(np.int64))}
+
+    return common.arrow_map(keyed.repartition("key").sortWithinPartitions("key", "print"), run, "key long, print long, sets long", 1 << 16)
+
+
+def bucket_pairs(dealt: DataFrame, least: float, first: bool) -> DataFrame:
+    """(u, v) of sets that meet under a key, may be alike and are in different components; if `first`, of each bucket
+    those with its set of middle size only. dealt: key, print, n, place, component."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        a, b, waiting = [], [], 0
+        for keys, prints, n, place, component in buckets_of(batches):
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ends = np.concatenate((starts[1:], [len(keys)]))
+            for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                if (component[lo:hi] == component[lo]).all():
+                    continue
+                for i in [(lo + hi) // 2] if first else range(lo, hi - 1):
+                    start = lo if first else i + 1
+                    size, left = n[start:hi], n[start:hi] - place[start:hi]
+                    may = np.minimum(size, n[i]) >= least * np.maximum(size, n[i]) - 1e-9
+                    may &= np.minimum(left, n[i] - place[i]) >= least / (1 + least) * (size + n[i]) - 1e-9
+                    found = prints[start:hi][may & (component[start:hi] != component[i])]
+                    if len(found):
+                        a.append(np.minimum(found, prints[i]))
+                        b.append(np.maximum(found, prints[i]))
+                        waiting += len(found)
+                    if waiting > 1 << 16:
+                        yield {"u": pa.array(np.concatenate(a)), "v": pa.array(np.concatenate(b))}
+                        a, b, waiting = [], [], 0
+        if a:
+            yield {"u": pa.array(np.concatenate(a)), "v": pa.array(np.concatenate(b))}
+
+    ordered = dealt.select("key", "print", "n", "place", "component").repartition("key").sortWithinPartitions("key", "n", "print")
+    return common.arrow_map(ordered, run, "u long, v long", 1 << 16).distinct()
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id, print (the hash of the shingle set), component_id over links between shingle sets whose resemblance is `least` or more."""
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    rows, _ = common.written(common.arrow_map(texts, run, f"doc_id {dict(docs.dtypes)['doc_id']}, print long, wide binary"), "prints")
-    first = rows.groupBy("print").agg(F.min(F.struct("doc_id", "wide")).alias("x"))
-    classes, _ = common.written(first.select("print", F.col("x.doc_id").alias("least"), "x.wide"), "classes")
-    pairs = wide_links(classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    near, _ = common.written(pairs, "candidates")
-    nodes = near.select("u").union(near.select("v")).distinct()
-    heads = classes.join(nodes, classes["print"] == nodes["u"]).select("print", F.col("least").alias("doc_id"))
-    sets, _ = common.written(shingle_sets(texts.join(heads, "doc_id"), width).select("print", "shingles"), "sets")
+    whole = shingle_sets(texts, width).select("doc_id", F.sort_array("shingles").alias("shingles")).withColumn("print", F.xxhash64("shingles"))
+    rows, _ = common.written(whole.select("doc_id", "print", F.size("shingles").cast("long").alias("n")), "prints")
+    classes, _ = common.written(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+    shared = shared_shingles(whole.select(F.explode("shingles").alias("key"), "print"))
+    lists = shared.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("shared"))
+    floor = F.ceil(least * F.col("n") - 1e-9)
+    sets, _ = common.written(lists.join(classes.select("print", "n"), "print").filter(F.size("shared") >= floor), "sets")
+    # The shingles of no other set stand before the shared ones.
+    own = F.col("n") - F.size("shared")
+    prefix = sets.select("print", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), (F.col("n") - floor + 1 - own).cast("int"))).alias("at", "x"))
+    dealt, _ = common.written(prefix.select(F.col("x.key").alias("key"), "print", "n", (F.col("own") + F.col("at")).alias("place")), "dealt")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(sets.select(F.col("print").alias("v"), F.col("shingles").alias("_b")), "v")
-        both = b.join(sets.select(F.col("print").alias("u"), F.col("shingles").alias("_a")), "u")
-        shared = F.size(F.array_intersect("_a", "_b"))
-        return both.filter(shared >= least * (F.size("_a") + F.size("_b") - shared)).select("u", "v")
-
-    # Near candidates first; of the others only those between what is not connected yet can change a component.
-    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 11
-    linked, _ = common.written(alike(near.filter(close)), "close_links")
+        b = pairs.join(sets.select(F.col("print").alias("v"), F.col("n").alias("_m"), F.col("shared.key").alias("_b")), "v")
+        both = b.join(sets.select(F.col("print").alias("u"), F.col("n").alias("_n"), F.col("shared.key").alias("_a")), "u")
+        common_ones = F.size(F.array_intersect("_a", "_b"))
+        return both.filter(common_ones >= least * (F.col("_n") + F.col("_m") - common_ones)).select("u", "v")
+
+    # One set of each bucket first; of the other pairs only those between what is not connected yet can change a component.
+    linked, _ = common.written(alike(bucket_pairs(dealt.withColumn("component", F.col("print")), least, True)), "first_links")
     known = components(linked)
-    ends = [known.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("u", "v")]
-    rest = near.filter(~close).join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
-    return with_components(rows.select("doc_id", "print"), classes.select("print", "least"), linked.union(alike(rest)))
+    now = dealt.join(known, dealt["print"] == known["node"], "left").withColumn("component", F.coalesce("component", "print"))
+    rest, _ = common.written(alike(bucket_pairs(now, least, False)), "other_links")
+    return with_components(rows.select("doc_id", "print"), classes.select("print", "least"), linked.union(rest))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

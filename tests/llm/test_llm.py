@@ -280,6 +280,19 @@ def test_similar_documents(spark, odd, empty):
     assert simhash.similar_documents(empty).collect() == []
 
 
+def linked(spark, texts):
+    """component_id of each text, by its number."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+
+
+def test_alike_pairs_among_loose_relatives(spark):
+    # 80 shingles of all, 10 of a pair, 10 of its own: 90 of 110 in a pair, 80 of 120 else.
+    base = [f"b{k}" for k in range(84)]
+    texts = [" ".join(base + [f"p{i // 2}x{k}" for k in range(10)] + [f"o{i}x{k}" for k in range(10)]) for i in range(800)]
+    assert linked(spark, texts) == {i: i // 2 * 2 for i in range(800)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 91)], "u long, v long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**{k: 0 for k in range(51)}, 90: 90, 91: 90}

@@ -293,6 +293,12 @@ def test_alike_pairs_among_loose_relatives(spark):
     assert linked(spark, texts) == {i: i // 2 * 2 for i in range(800)}
 
 
+def test_a_much_repeated_line_makes_no_copies(spark):
+    line = " ".join(f"line{k}" for k in range(11))
+    texts = [" ".join(f"o{i}x{k}" for k in range(100)) + f" {line}" * 100 for i in range(20)]
+    assert linked(spark, texts) == {i: i for i in range(20)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 91)], "u long, v long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**{k: 0 for k in range(51)}, 90: 90, 91: 90}

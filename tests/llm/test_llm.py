@@ -299,6 +299,13 @@ def test_a_much_repeated_line_makes_no_copies(spark):
     assert linked(spark, texts) == {i: i for i in range(20)}
 
 
+def test_a_copy_that_repeats_a_line(spark):
+    line = " ".join(f"line{k}" for k in range(10))
+    base = [" ".join(f"b{i}x{k}" for k in range(300)) for i in range(20)]
+    texts = [x for text in base for x in (text, text + f" {line}" * 40)]
+    assert linked(spark, texts) == {i: i // 2 * 2 for i in range(40)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 91)], "u long, v long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**{k: 0 for k in range(51)}, 90: 90, 91: 90}

@@ -306,6 +306,12 @@ def test_a_copy_that_repeats_a_line(spark):
     assert linked(spark, texts) == {i: i // 2 * 2 for i in range(40)}
 
 
+def test_short_copies_at_the_limit(spark):
+    # 4 and 5 shingles, 4 of them shared.
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(8 + i % 2)) for i in range(600)]
+    assert linked(spark, texts) == {i: i // 2 * 2 for i in range(600)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 91)], "u long, v long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**{k: 0 for k in range(51)}, 90: 90, 91: 90}

@@ -5,9 +5,10 @@ lines: runs of text between block-level tags. Each line has a text-to-tag ratio,
 tags met in it (at least one). Ratios of lines inside menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments count as 0. The ratios are smoothed with a Gaussian kernel along the page; lines whose
 smoothed ratio exceeds a share of the standard deviation form clusters; each cluster claims its container (the
-nearest article, main, section, td or div that is no boilerplate), and all lines of claimed containers that are
-no boilerplate are the text, in page order. If no line passes, the containers of the lines with the top smoothed
-ratio are claimed, so that a very short article is found too. An article or main element claims over others.
+nearest article, main, section, td or div that is no boilerplate), and all lines of claimed containers and of what
+is inside them that are no boilerplate are the text, in page order. If no line passes, the containers of the lines with the top smoothed
+ratio are claimed, so that a very short article is found too. An article or main element
+claims over others, and the nearest one around a claimed container is claimed as a whole.
 
 Defined cases: null and empty pages have the empty text; repeated rows are extracted each on its own; extra
 columns are ignored; an empty table gives an empty result. White space inside a line becomes one space.
@@ -45,11 +46,18 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int]] = []
         self.kinds: dict[int, str] = {0: "body"}
+        self.parents: dict[int, int] = {}
         self.parts: list[str] = []
         self.tags = 0
         # name, silent, boilerplate, container
         self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
 
+    def article(self, container: int) -> int | None:
+        """The nearest article or main around a container, itself included."""
+        while container and self.kinds[container] not in ("article", "main"):
+            container = self.parents[container]
+        return container or None
+
     def cut(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
@@ -77,6 +85,7 @@ class Lines(HTMLParser):
         elif tag in BOILERPLATE or (attrs and tag not in ("html", "body") and self.marked(attrs)):
             boilerplate = True
         if tag in CONTAINERS:
+            self.parents[len(self.kinds)] = container
             container = len(self.kinds)
             self.kinds[container] = tag
         self.stack.append((tag, silent or tag in SILENT, boilerplate, container))
@@ -137,10 +146,13 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     if not (cluster & (ratios > 0)).any():
         cluster = smooth >= smooth.max()
     claimed = {line[3] for line, chosen in zip(lines, cluster, strict=True) if chosen and not line[2]}
-    if proper := {c for c in claimed if parser.kinds[c] in ("article", "main")}:
-        inside = min(proper)
-        claimed = {c for c in claimed if c >= inside and (c in proper or parser.kinds[c] != "body")}
-    return "\n".join(text for text, _, boilerplate, container in lines if container in claimed and not boilerplate)
+    if proper := {a for c in claimed if (a := parser.article(c)) is not None}:
+        claimed = proper | {c for c in claimed if c > min(proper) and parser.kinds[c] != "body"}
+    inside = {0: 0 in claimed}
+    for c, parent in parser.parents.items():  # a parent comes before its children
+        # A page's body stands for its own lines only.
+        inside[c] = c in claimed or inside[parent] and parser.kinds[parent] != "body"
+    return "\n".join(text for text, _, boilerplate, container in lines if inside[container] and not boilerplate)
 
 
 def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.5) -> DataFrame:

@@ -182,6 +182,15 @@ def test_main_text(html, text):
     assert extraction.main_text(html) == text
 
 
+def test_short_lines_of_an_article_stay():
+    cells, long = ["ab", "abc", "abcd", "abcde", "ab", "abc"], ["x" * n for n in (500, 450, 600, 500, 450)]
+    html = "<p>{}</p><p>{}</p><p>{}</p><table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table><p>{}</p><p>{}</p><section><h2>End</h2></section><section><div><p>Short.</p></div></section>"
+    expected = "\n".join(long[:3] + cells + long[3:] + ["End", "Short."])
+    for name in ("article", "main", "div"):
+        page = f"<nav>menu</nav><{name}>{html.format(*long)}</{name}><footer>f</footer>"
+        assert extraction.main_text(page) == expected
+
+
 def test_extraction_of_a_table(spark, pages):
     assert len(extraction.extract(pages).collect()) == 9
 

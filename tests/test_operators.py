@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,33 @@ def test_coherence_of_equal_rows(spark):
     assert {r.leader for r in vectors.condense(vectors.normalised(rows)).collect()} == {1}
 
 
+def test_condense_against_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((5, 16))
+    raw = [(i, i % 3, [float(x) for x in centres[i % 5] + rng.choice([0.05, 0.3]) * rng.standard_normal(16)]) for i in range(300)]
+    units = vectors.normalised(spark.createDataFrame(raw, "vec_id long, label int, embedding array<double>")).cache()
+    bars = scores.condensation_threshold(scores.spectral_entropy(F.col("v")))
+    plain = units.withColumn("bar", bars).orderBy("vec_id").toPandas()
+    x, bar = np.stack(plain["v"].to_list()), plain["bar"].to_numpy()
+
+    def pass_over(rows, bar):
+        groups, seen = [], set()
+        for i in rows:
+            if i not in seen:
+                groups.append([i] + [j for j in rows if j > i and j not in seen and round(x[i] @ x[j], 12) >= bar[i]])
+                seen.update(groups[-1])
+        return groups
+
+    said = {}
+    for group in pass_over(range(300), bar):
+        sims = np.round(x[group] @ x[group].T, 12)
+        few = sims[sims < 0.9999]
+        split = [group] if len(group) <= 2 or not few.size else pass_over(group, np.full(300, max(0.85, min(0.98, float(np.median(few))))))
+        said |= {i: part[0] for part in split for i in part}
+    for block in (64, 4096):
+        assert {r.vec_id: r.leader for r in vectors.condense(units, block).collect()} == said
+
+
 def test_simulation_stays_in_bounds(spark):
     state = simulation.step(simulation.init(spark, 64), seed=3)
     assert state.filter("x < 0 OR x > 1 OR belief < 0 OR belief > 1").count() == 0

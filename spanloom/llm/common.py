@@ -32,6 +32,11 @@ def windows_of(words: str, width: int) -> Column:
     return F.when(F.size(words) >= width, F.get(F.transform(F.array(words), each), F.lit(0)))
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`").alias(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):

@@ -12,19 +12,21 @@ dealt by these keys, and in each bucket a search that takes one fingerprint at a
 yet links all that are within three bits of another: at most one link for each fingerprint instead of all pairs,
 with the same components. Every link is verified on the whole fingerprint.
 
-Resemblance of shingle sets (similar_documents) needs no fingerprint: the search is an exact prefix filter. The
-shingles of each set are ordered by the number of sets that hold them, rare ones first. Two sets of n shingles and
-more that resemble each other by t share ceil(t n) of them at least, so that they share one among the first
-n - ceil(t n) + 1 of each. Shingles that no other set holds come first and are never dealt; sets meet under each other
-one of that prefix. Where they meet, the sizes and the places of the shingle bound what they can share, which leaves
-out pairs only that cannot be alike. One set of each bucket is verified against the others first; of the rest all
-pairs that are not connected yet by verified links are verified. So every pair of that resemblance is connected.
+Resemblance of shingle sets (similar_documents) is decided on the sets. Sets with fingerprints within three bits are
+found as above and verified; since sets that resemble each other by 0.8 mostly differ in more bits, an exact prefix
+filter finds the others. The shingles of each set are ordered by the number of sets that hold them, rare ones first.
+Two sets of n shingles and more that resemble each other by t share ceil(t n) of them at least, so that they share
+one among the first n - ceil(t n) + 1 of each. Shingles that no other set holds come first and are never dealt; sets
+meet under each other one of that prefix. Where they meet, the sizes, the places of the shingle and the parities of
+1024 classes of shingles bound how alike they can be, which leaves out pairs only that cannot be alike. One set of
+each bucket is verified against the others first; of the rest all pairs that are not connected yet by verified links
+are verified. So every pair of that resemblance is connected, and nothing is joined without a check on the sets.
 
 Defined cases: null texts and texts without words have fingerprint zero, which links like any other; null ids
 join no component id but their group's least id (null if all are null); repeated rows are rows of their own; an
-empty table gives an empty result; other columns are ignored. similar_documents leaves out rows without an id; of
-rows that repeat an id any one may support a link; documents with equal shingle sets (a hash of
-the sorted set, 64 bits) are one class.
+empty table gives an empty result; other columns are ignored. similar_documents leaves out rows without an id; rows
+that repeat an id are rows of their own, told apart by a hash of their text; documents with equal shingle sets (a
+hash of the sorted set, 64 bits) are one class.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ SEED = 42
 GENERATOR = 0b110001110101
 #: Lowest bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Bits of the parities of a shingle set.
+PARITY_BITS = 1024
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -234,13 +238,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return df.withColumn("shingles", F.array_distinct(F.coalesce(common.windows_of("_words", width), whole))).drop("_words")
 
 
+def column(values: pa.Array) -> np.ndarray:
+    """An Arrow column as an array; binary values of one length as rows of 64-bit words."""
+    if pa.types.is_binary(values.type):
+        return np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(len(values), -1)
+    return values.to_numpy(zero_copy_only=False)
+
+
 def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of sorted batches again, cut so that the rows of a key (the first column) stay together."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        if not len(now[0]):
+        if not batch.num_rows:
             continue
+        now = [column(batch.column(k)) for k in range(batch.num_columns)]
         cut = len(now[0]) if now[0][0] == now[0][-1] else int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
         if held and (now[0][0] != held[-1][0][-1] or cut < len(now[0])):  # the last bucket is whole
             head = cut if cut < len(now[0]) else 0
@@ -269,24 +280,78 @@ def shared_shingles(keyed: DataFrame) -> DataFrame:
     return common.arrow_map(keyed.repartition("key").sortWithinPartitions("key", "print"), run, "key long, print long, sets long", 1 << 16)
 
 
+def parities(keys: np.ndarray) -> bytes:
+    """A bit for each of PARITY_BITS classes of keys: whether an odd number of them is there.
+
+    Two sets whose bits differ in d places differ in d elements or more.
+    """
+    return np.packbits(np.bincount((keys.view(np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
+def with_sketches(lists: DataFrame) -> DataFrame:
+    """Adds to print, n, shared (structs of sets, key, the rarest first) the fingerprint of the shared shingles and their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            at, keys = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+            own = [keys[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            prints = np.array([majority(k.view(np.uint64)) for k in own], np.uint64)
+            yield {"print": batch.column(0), "n": batch.column(1), "keys": batch.column(2), "sets": batch.column(3), "simhash": pa.array(prints.view(np.int64)), "parities": list(map(parities, own))}
+
+    flat = lists.select("print", "n", F.col("shared.key").alias("keys"), F.col("shared.sets").alias("sets"))
+    return common.arrow_map(flat, run, "print long, n long, keys array<long>, sets array<long>, simhash long, parities binary")
+
+
+def dealt_prefixes(sets: DataFrame, least: float, most: int) -> DataFrame:
+    """key, part, print, n, own, place, parities: each set under each shared shingle of its prefix.
+
+    A shingle of more than `most` sets deals its sets to groups, and each two groups meet under a `part` of their own.
+    """
+    own = F.col("n") - F.size("keys")
+    prefix = F.greatest(F.lit(0).cast("long"), F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - own).cast("int")
+    rows = sets.select("print", "n", own.alias("own"), "parities", F.posexplode(F.slice(F.arrays_zip("keys", "sets"), F.lit(1), prefix)).alias("at", "x"))
+    groups = F.ceil(F.col("x.sets") / most).cast("int")
+    group = F.pmod(F.xxhash64("print"), groups).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.least(group, g) * groups + F.greatest(group, g))
+    rows = rows.withColumn("parts", F.when(F.col("x.sets") > most, parts).otherwise(F.array(F.lit(0))))
+    return rows.select(F.col("x.keys").alias("key"), F.explode("parts").alias("part"), "print", "n", "own", (F.col("own") + F.col("at")).alias("place"), "parities")
+
+
 def bucket_pairs(dealt: DataFrame, least: float, first: bool) -> DataFrame:
-    """(u, v) of sets that meet under a key, may be alike and are in different components; if `first`, of each bucket
-    those with its set of middle size only. dealt: key, print, n, place, component."""
+    """(u, v) of sets that meet under a key, may be alike and are in different components. dealt: also component.
+
+    `first` compares one set of each bucket, another one under each key, with the others. Else all pairs are compared
+    but those inside the bucket's largest component.
+    """
+
+    def may(one: int, others: np.ndarray, n: np.ndarray, own: np.ndarray, place: np.ndarray, bits: np.ndarray, component: np.ndarray) -> np.ndarray:
+        """Those of others whose sizes, the places of the key and the parities allow the resemblance."""
+        others = others[component[others] != component[one]]
+        both = n[others] + n[one]
+        ok = np.minimum(n[others], n[one]) >= least * np.maximum(n[others], n[one]) - 1e-9
+        ok &= np.minimum(n[others] - place[others], n[one] - place[one]) >= least / (1 + least) * both - 1e-9
+        others, both = others[ok], both[ok]
+        differ = np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1, dtype=np.int64) + own[others] + own[one]
+        return others[differ <= (1 - least) / (1 + least) * both + 1e-9]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         a, b, waiting = [], [], 0
-        for keys, prints, n, place, component in buckets_of(batches):
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for keys, part, prints, n, own, place, component, bits in buckets_of(batches):
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1]))))
             ends = np.concatenate((starts[1:], [len(keys)]))
             for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
                 if (component[lo:hi] == component[lo]).all():
                     continue
-                for i in [(lo + hi) // 2] if first else range(lo, hi - 1):
-                    start = lo if first else i + 1
-                    size, left = n[start:hi], n[start:hi] - place[start:hi]
-                    may = np.minimum(size, n[i]) >= least * np.maximum(size, n[i]) - 1e-9
-                    may &= np.minimum(left, n[i] - place[i]) >= least / (1 + least) * (size + n[i]) - 1e-9
-                    found = prints[start:hi][may & (component[start:hi] != component[i])]
+                rows = np.arange(lo, hi)
+                if first:
+                    tried = [(lo + int(keys[lo]) % (hi - lo), rows)]
+                else:
+                    names, which, times = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
+                    main = which == times.argmax()
+                    loose = rows[~main]
+                    tried = ((i, np.concatenate((rows[main], loose[k + 1 :]))) for k, i in enumerate(loose.tolist()))
+                for i, others in tried:
+                    found = prints[may(i, others, n, own, place, bits, component)]
                     if len(found):
                         a.append(np.minimum(found, prints[i]))
                         b.append(np.maximum(found, prints[i]))
@@ -297,37 +362,43 @@ def bucket_pairs(dealt: DataFrame, least: float, first: bool) -> DataFrame:
         if a:
             yield {"u": pa.array(np.concatenate(a)), "v": pa.array(np.concatenate(b))}
 
-    ordered = dealt.select("key", "print", "n", "place", "component").repartition("key").sortWithinPartitions("key", "n", "print")
-    return common.arrow_map(ordered, run, "u long, v long", 1 << 16).distinct()
+    ordered = dealt.select("key", "part", "print", "n", "own", "place", "component", "parities").repartition("key", "part").sortWithinPartitions("key", "part", "print")
+    return common.arrow_map(ordered, run, "u long, v long", 1 << 14).distinct()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, print (the hash of the shingle set), component_id over links between shingle sets whose resemblance is `least` or more."""
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5, most: int = 4096) -> DataFrame:
+    """doc_id, text_hash, print (the hash of the shingle set), component_id over links between shingle sets whose resemblance is `least` or more, stays (whether the row is its component's least by id and text_hash)."""
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    whole = shingle_sets(texts, width).select("doc_id", F.sort_array("shingles").alias("shingles")).withColumn("print", F.xxhash64("shingles"))
-    rows, _ = common.written(whole.select("doc_id", "print", F.size("shingles").cast("long").alias("n")), "prints")
-    classes, _ = common.written(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
+    whole = shingle_sets(texts, width).select("doc_id", F.xxhash64("text").alias("text_hash"), F.sort_array("shingles").alias("shingles")).withColumn("print", F.xxhash64("shingles"))
+    rows, _ = common.written(whole.select("doc_id", "text_hash", "print", F.size("shingles").cast("long").alias("n")), "prints")
+    classes, _ = common.written(rows.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n")), "classes")
     shared = shared_shingles(whole.select(F.explode("shingles").alias("key"), "print"))
     lists = shared.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("shared"))
-    floor = F.ceil(least * F.col("n") - 1e-9)
-    sets, _ = common.written(lists.join(classes.select("print", "n"), "print").filter(F.size("shared") >= floor), "sets")
-    # The shingles of no other set stand before the shared ones.
-    own = F.col("n") - F.size("shared")
-    prefix = sets.select("print", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), (F.col("n") - floor + 1 - own).cast("int"))).alias("at", "x"))
-    dealt, _ = common.written(prefix.select(F.col("x.key").alias("key"), "print", "n", (F.col("own") + F.col("at")).alias("place")), "dealt")
+    sets, path_sets = common.written(with_sketches(lists.join(classes.select("print", "n"), "print").filter(F.size("shared") >= F.ceil(least * F.col("n") - 1e-9))), "sets")
+    dealt, path_dealt = common.written(dealt_prefixes(sets, least, most), "dealt")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(sets.select(F.col("print").alias("v"), F.col("n").alias("_m"), F.col("shared.key").alias("_b")), "v")
-        both = b.join(sets.select(F.col("print").alias("u"), F.col("n").alias("_n"), F.col("shared.key").alias("_a")), "u")
+        b = pairs.join(sets.select(F.col("print").alias("v"), F.col("n").alias("_m"), F.col("keys").alias("_b")), "v")
+        both = b.join(sets.select(F.col("print").alias("u"), F.col("n").alias("_n"), F.col("keys").alias("_a")), "u")
         common_ones = F.size(F.array_intersect("_a", "_b"))
         return both.filter(common_ones >= least * (F.col("_n") + F.col("_m") - common_ones)).select("u", "v")
 
-    # One set of each bucket first; of the other pairs only those between what is not connected yet can change a component.
-    linked, _ = common.written(alike(bucket_pairs(dealt.withColumn("component", F.col("print")), least, True)), "first_links")
+    # Sets with near fingerprints and one set of each bucket first; of the other pairs only those between what is not connected yet can change a component.
+    held, path_held = common.written(sets.select("print", "simhash"), "simhashes")
+    near = links(held.select(F.col("simhash").alias("print")).distinct())
+    member = held.groupBy("simhash").agg(F.min("print").alias("print"))
+    same = held.join(member.withColumnRenamed("print", "first"), "simhash").filter("print <> first").select(F.least("print", "first").alias("u"), F.greatest("print", "first").alias("v"))
+    ends = near.join(member.select(F.col("simhash").alias("u"), F.col("print").alias("a")), "u").join(member.select(F.col("simhash").alias("v"), F.col("print").alias("b")), "v")
+    golay = same.union(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    linked, _ = common.written(alike(golay.union(bucket_pairs(dealt.withColumn("component", F.col("print")), least, True)).distinct()), "first_links")
     known = components(linked)
     now = dealt.join(known, dealt["print"] == known["node"], "left").withColumn("component", F.coalesce("component", "print"))
     rest, _ = common.written(alike(bucket_pairs(now, least, False)), "other_links")
-    return with_components(rows.select("doc_id", "print"), classes.select("print", "least"), linked.union(rest))
+    for path in (path_held, path_dealt, path_sets):
+        common.remove(docs.sparkSession, path)
+    found = with_components(rows.select("doc_id", "text_hash", "print"), classes.select("print", "least"), linked.union(rest))
+    stays = F.struct("doc_id", "text_hash") == F.col("component_id")
+    return found.select("doc_id", "text_hash", "print", F.col("component_id.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -305,9 +305,22 @@ def packed(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
     return common.arrow_map(docs.select(F.col("doc_id").cast("long"), "text", *carry), run, "block long, data binary, n_bytes long, others binary")
 
 
-def repeated_passages(docs: DataFrame, depth: int = 50, block_bytes: int = 1 << 21, bucket_bytes: int = 1 << 22, kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, with `kept` the remaining bytes, and the columns to carry, of every document."""
+def whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which bytes go if only whole characters do: those of UTF-8 characters all of whose bytes go."""
+    if not gone.any():
+        return gone
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.concatenate((starts, [len(data)]))))
+
+
+def repeated_passages(docs: DataFrame, depth: int = 50, block_bytes: int = 1 << 21, bucket_bytes: int = 1 << 22, kept: bool = False, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, with `kept` the remaining bytes, and the columns to carry, of every document.
+
+    characters: a character goes only if all its bytes do, so that what remains is UTF-8. Ids must be numbers.
+    """
     spark = docs.sparkSession
+    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}.intersection(carry):
+        raise ValueError(f"columns to carry that are named like results: {sorted(clash)}")
     blocks, path_blocks = common.written(packed(docs, block_bytes, list(carry)), "blocks")
     total = blocks.agg(F.sum("n_bytes")).head()[0] or 0
     n_buckets = int(total // bucket_bytes) + 1
@@ -395,6 +408,7 @@ def repeated_passages(docs: DataFrame, depth: int = 50, block_bytes: int = 1 <<
             for k in range(batch.num_rows):
                 block = Block(batch.column("data")[k].as_py(), n_buckets, depth, unpack(batch.column("places")[k].as_py()))
                 gone = block.cut(batch.column("replies")[k].as_py() or [])
+                gone = whole_characters(gone, block.data) if characters else gone
                 edge = gone & np.concatenate(([True], ~gone[:-1])) if len(gone) else gone
                 edge[block.starts[block.starts < len(gone)]] |= gone[block.starts[block.starts < len(gone)]]
                 before, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(edge)))

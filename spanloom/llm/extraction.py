@@ -1,14 +1,19 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser is fed the whole page and sends its events to a collector, which cuts the page into
-lines: runs of text between block-level tags. Each line has a text-to-tag ratio, the characters it holds over the
-tags met in it (at least one). Ratios of lines inside menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments count as 0. The ratios are smoothed with a Gaussian kernel along the page; lines whose
-smoothed ratio exceeds a share of the standard deviation form clusters; each cluster claims its container (the
-nearest article, main, section, td or div that is no boilerplate), and all lines of claimed containers and of what
-is inside them that are no boilerplate are the text, in page order. If no line passes, the containers of the lines with the top smoothed
-ratio are claimed, so that a very short article is found too. An article or main element
-claims over others, and the nearest one around a claimed container is claimed as a whole.
+lines: runs of text between block-level tags. Each line has a text-to-tag ratio: the characters it holds outside of
+links over the tags met in it (at least one). Menus, footers, sidebars and page headers count 0 by their elements.
+Forms and what bears a telling class, id or role (adverts, notices, comments) is only held in doubt: its ratios are
+scaled down to a tenth, so that it loses against a page's other text, but a page that lies in a doubtful wrapper as a
+whole is found. The ratios are smoothed with a Gaussian kernel along the page. Lines whose smoothed ratio exceeds a
+share of the standard deviation form clusters, which select the content regions: each cluster claims the containers
+(article, main, section, td or div) of its lines from the first to the last that passes by its own ratio, and an
+article or main around them is claimed as a whole. The lines
+of claimed regions are the text, in page order, so that the threshold picks regions and not lines inside of them;
+doubtful parts of a region stay out unless a cluster claims them too, and so do link lists: groups of short links
+that hold most of their group's characters. If no line passes, the region of the line with the top ratio is taken,
+so that a very short article is found too. Where a page has an article or main element with text, the others' lines
+are no candidates.
 
 Defined cases: null and empty pages have the empty text; repeated rows are extracted each on its own; extra
 columns are ignored; an empty table gives an empty result. White space inside a line becomes one space.
@@ -18,8 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,64 +38,92 @@ from spanloom.llm import common
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template head svg math iframe object canvas audio video".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button select textarea".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button select textarea".split())
 CONTAINERS = frozenset("article main section div td body".split())
+LISTS = frozenset("ul ol dl table".split())
 WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 CLOSES = {name: frozenset({name}) for name in ("li", "option", "tr")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 P_CLOSERS = BLOCKS - {"body", "html", "head", "title", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    #: Characters inside of links, and how many links.
+    linked: int
+    links: int
+    excluded: bool
+    #: The container, the nearest list or container, and the nearest doubtful element (0: none).
+    container: int
+    group: int
+    doubt: int
+
+
+class Open(NamedTuple):
+    """An open element and what holds inside of it."""
+
+    name: str
+    silent: bool
+    excluded: bool
+    container: int
+    group: int
+    doubt: int
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, container) for each line of the page."""
+    """Collects the lines of the page. Containers, lists and doubtful elements are numbered in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[Line] = []
         self.kinds: dict[int, str] = {0: "body"}
         self.parents: dict[int, int] = {}
+        #: The article or main around each container, itself included (0: none).
+        self.articles: dict[int, int] = {0: 0}
         self.parts: list[str] = []
-        self.tags = 0
-        # name, silent, boilerplate, container
-        self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
-
-    def article(self, container: int) -> int | None:
-        """The nearest article or main around a container, itself included."""
-        while container and self.kinds[container] not in ("article", "main"):
-            container = self.parents[container]
-        return container or None
+        self.tags, self.linked, self.links, self.serial = 0, 0, 0, 0
+        self.stack = [Open("", False, False, 0, 0, 0)]
+        self.opened: Counter[str] = Counter()
 
     def cut(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                _, silent, boilerplate, container = self.stack[-1]
-                self.lines.append((text, self.tags, boilerplate, container))
+                top = self.stack[-1]
+                self.lines.append(Line(text, self.tags, self.linked, self.links, top.excluded, top.container, top.group, top.doubt))
             self.parts = []
-        self.tags = 0
+        self.tags, self.linked, self.links = 0, 0, 0
+
+    def close_last(self) -> None:
+        self.opened[self.stack.pop().name] -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.cut()
             names = CLOSES.get(tag)
-            if names and self.stack[-1][0] in names or tag in P_CLOSERS and self.stack[-1][0] == "p":
-                self.stack.pop()
+            if names and self.stack[-1].name in names or tag in P_CLOSERS and self.stack[-1].name == "p":
+                self.close_last()
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a":
+            self.links += 1
         self.tags += 1
         if tag in VOID:
             return
-        _, silent, boilerplate, container = self.stack[-1]
-        if tag in ("article", "main") and not (bare := self.marked(attrs)):
-            boilerplate = any(x[2] and x[0] in ("aside", "footer", "form", "nav") for x in self.stack)
-        elif tag == "header":
-            boilerplate = boilerplate or self.kinds[container] not in ("article", "main")
-        elif tag in BOILERPLATE or (attrs and tag not in ("html", "body") and self.marked(attrs)):
-            boilerplate = True
+        _, silent, excluded, container, group, doubt = self.stack[-1]
+        self.serial += 1
+        if tag in BOILERPLATE or tag == "header" and not self.articles[container]:
+            excluded = True
+        elif tag == "form" or attrs and tag not in ("html", "body") and self.marked(attrs):
+            doubt = self.serial
         if tag in CONTAINERS:
-            self.parents[len(self.kinds)] = container
-            container = len(self.kinds)
-            self.kinds[container] = tag
-        self.stack.append((tag, silent or tag in SILENT, boilerplate, container))
+            self.parents[self.serial], self.kinds[self.serial] = container, tag
+            self.articles[self.serial] = self.serial if tag in ("article", "main") and not self.articles[container] else self.articles[container]
+            container = group = self.serial
+        elif tag in LISTS:
+            group = self.serial
+        self.stack.append(Open(tag, silent or tag in SILENT, excluded, container, group, doubt))
+        self.opened[tag] += 1
 
     def marked(self, attrs: list) -> bool:
         for name, value in attrs:
@@ -106,10 +141,10 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
+        if self.opened[tag]:
+            while self.stack[-1].name != tag:
+                self.close_last()
+            self.close_last()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -117,8 +152,10 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1][1]:
+        if not self.stack[-1].silent:
             self.parts.append(data)
+            if self.opened["a"]:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -129,8 +166,42 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
+def link_lists(lines: list[Line], short: int = 30, share: float = 0.6, least: int = 3) -> np.ndarray:
+    """Which lines are menus: on their own, or with their group, at least `least` links of mostly under `short` characters that hold over `share` of the text."""
+
+    def menu(links: int, linked: int, size: int) -> bool:
+        return links >= least and linked > share * size and linked < short * links
+
+    sums: dict[int, list[int]] = {}
+    for x in lines:
+        found = sums.setdefault(x.group, [0, 0, 0])
+        found[0], found[1], found[2] = found[0] + x.links, found[1] + x.linked, found[2] + len(x.text)
+    return np.array([menu(x.links, x.linked, len(x.text)) or x.links > 0 and menu(*sums[x.group]) for x in lines], bool)
+
+
+def regions(lines: list[Line], parser: Lines, sigma: float, share: float, doubtful: float = 0.1) -> tuple[set[int], set[int]]:
+    """Containers that the clusters claim, and the doubtful elements (0: none) of their lines."""
+    proper = {parser.articles[x.container] for x in lines if not x.excluded} - {0}
+    ratios = np.array([0.0 if x.excluded or proper and not parser.articles[x.container] else max(0, len(x.text) - x.linked) / max(1, x.tags) * (doubtful if x.doubt else 1.0) for x in lines])
+    if not ratios.any():
+        # Nothing but links, or nothing at all: the lines themselves are compared.
+        ratios = np.array([0.0 if x.excluded or proper and not parser.articles[x.container] else len(x.text) * (doubtful if x.doubt else 1.0) for x in lines])
+    if not ratios.any():
+        return set(), set()
+    smooth = smoothed(ratios, sigma) * (ratios > 0)
+    bar = min(share * float(ratios.std()), float(smooth.max()))
+    # A cluster reaches from its first to its last line that passes by itself; smoothing alone carries over its edge.
+    strong = np.flatnonzero((smooth >= bar) & (ratios >= bar))
+    cluster = np.cumsum(np.concatenate(([0], (smooth < bar)[:-1] | (smooth < bar)[1:])))
+    chosen = [lines[k] for k in strong.tolist()] or [lines[int(smooth.argmax())]]
+    for first, last in zip(strong[:-1].tolist(), strong[1:].tolist(), strict=True):
+        if cluster[first] == cluster[last]:
+            chosen += [x for x in lines[first + 1 : last] if not x.doubt]
+    return {parser.articles[x.container] or x.container for x in chosen}, {x.doubt for x in chosen}
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
-    """The article's text, its blocks joined by \\n."""
+    """The article's text, its blocks joined by \n."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
@@ -138,21 +209,13 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([0.0 if boilerplate else len(text) / max(1, tags) for text, tags, boilerplate, _ in lines])
-    if not ratios.any():
-        return ""
-    smooth = smoothed(ratios, sigma) * (ratios > 0)
-    cluster = smooth >= min(share * float(ratios.std()), float(smooth.max()))
-    if not (cluster & (ratios > 0)).any():
-        cluster = smooth >= smooth.max()
-    claimed = {line[3] for line, chosen in zip(lines, cluster, strict=True) if chosen and not line[2]}
-    if proper := {a for c in claimed if (a := parser.article(c)) is not None}:
-        claimed = proper | {c for c in claimed if c > min(proper) and parser.kinds[c] != "body"}
+    claimed, doubts = regions(lines, parser, sigma, share)
     inside = {0: 0 in claimed}
     for c, parent in parser.parents.items():  # a parent comes before its children
         # A page's body stands for its own lines only.
         inside[c] = c in claimed or inside[parent] and parser.kinds[parent] != "body"
-    return "\n".join(text for text, _, boilerplate, container in lines if inside[container] and not boilerplate)
+    menus = link_lists(lines)
+    return "\n".join(x.text for x, menu in zip(lines, menus, strict=True) if inside[x.container] and not x.excluded and not menu and (not x.doubt or x.doubt in doubts))
 
 
 def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.5) -> DataFrame:

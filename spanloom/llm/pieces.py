@@ -6,8 +6,9 @@ probabilities. The model at hand ranks its pieces but has no probabilities, so b
 those of Zipf's law, p = 1 / (H (r + 2.7)); `scores="model"` takes the scores in the file instead.
 
 Forward Viterbi scores are computed for all distinct blocks of a batch together. A block is a run of spaces with
-what follows up to the next space, line break or character that no piece holds behind another one than its like
-(most punctuation); no piece crosses its ends, so every path passes through them.
+what follows up to the next space, line break or character that no piece holds behind another one than its like (the
+model decides which; the one at hand has none); no piece crosses its ends, so every path passes through them. A text
+without spaces is one block of any length; its memory grows in proportion.
 They are the exact heuristic of a backward A-star search, which pops a block's segmentations best first. A text's
 N best need alternatives in at most the N - 1 blocks with the smallest loss of a second best path (any other
 change has N - 1 better ones); a second search over those blocks' lists, best first, combines them exactly.
@@ -27,6 +28,7 @@ import heapq
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,8 @@ from spanloom.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = 0x2581, 0x110000  # the space mark, and a code for one that stands in a text
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+# Blocks of up to SHORT characters get their arcs from a dict, those over LONG are solved one by one.
+SHORT, LONG = 256, 2048
 
 
 class Pieces:
@@ -86,6 +90,7 @@ class Pieces:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.held = 0
         self.best: list[bytes] = []
         self.total, self.loss, self.count = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
 
@@ -175,31 +180,83 @@ class Pieces:
         self.loss = np.concatenate((self.loss, forward[ends] - second))
         self.count = np.concatenate((self.count, counts))
 
+    def solve_long(self, block: str) -> None:
+        """The same for one long block, node by node; its memory is that of its arcs."""
+        found = self.nbest(block, 2)
+        self.row[block] = len(self.best)
+        self.best.append(found[0][1])
+        self.total = np.append(self.total, found[0][0])
+        self.loss = np.append(self.loss, found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+        self.count = np.append(self.count, len(found[0][1]) // 2)
+
     def spelled(self, piece: int, text: str) -> bytes:
         """The ids of an arc, two bytes each."""
         ids = [piece] if piece >= 0 else [self.bytes_at + x for x in text.encode()]
         return np.array(ids, "<u2").tobytes()
 
-    def nbest(self, block: str, n: int) -> list[tuple[float, bytes]]:
-        """A block's n best segmentations by backward A-star, the forward Viterbi scores being exact heuristics."""
-        marked, ids, into = "".join(chr(0x10FFFF) if c == "▁" else "▁" if c == " " else c for c in block), self.id_of, [[] for _ in range(len(block) + 1)]
-        forward = [0.0] + [-np.inf] * len(block)
-        for a in range(len(block)):
-            if marked[a] not in ids:
-                into[a + 1].append((a, self.unknown, -1))
-            for b in range(a + 1, min(len(block), a + self.longest) + 1):
+    def lattice(self, block: str) -> tuple:
+        """The arcs of one block's lattice by the node they end at: first nodes, pieces (-1: bytes), scores, and where each node's arcs begin."""
+        if len(block) > SHORT:
+            first, length, piece, score, _, _ = self.arcs([block])
+            order = np.lexsort((length, first + length))
+            heads = np.searchsorted((first + length)[order], np.arange(len(block) + 2))
+            return first[order].astype(np.int32), piece[order].astype(np.int32), score[order], heads
+        marked, ids = "".join(chr(0x10FFFF) if c == "▁" else "▁" if c == " " else c for c in block), self.id_of
+        first, pieces, scores, heads = [], [], [], [0]
+        for b in range(len(block) + 1):
+            for a in range(max(0, b - self.longest), b):
                 if (piece := ids.get(marked[a:b])) is not None:
-                    into[b].append((a, self.score[piece], piece))
-        for b in range(1, len(block) + 1):
-            forward[b] = max(forward[a] + s for a, s, _ in into[b]) if into[b] else -np.inf
-        agenda, out, serial = [(-forward[-1], 0, len(block), 0.0, ())], [], 1
+                    first.append(a)
+                    pieces.append(piece)
+                    scores.append(self.score[piece])
+            if b and marked[b - 1] not in ids:
+                first.append(b - 1)
+                pieces.append(-1)
+                scores.append(self.unknown)
+            heads.append(len(first))
+        return first, pieces, scores, heads
+
+    def nbest(self, block: str, n: int) -> list[tuple[float, bytes]]:
+        """A block's n best segmentations by backward A-star, the forward Viterbi scores being exact heuristics.
+
+        With exact heuristics a partial path goes on along the best arcs at no cost, so the agenda holds only where
+        paths leave them: each entry is its parent's and one more arc, and its cost what that arc loses.
+        """
+        first, pieces, scores, heads = self.lattice(block)
+        end = len(block)
+        forward, via = array("d", [0.0]) * (end + 1), array("q", [-1]) * (end + 1)
+        for node in range(1, end + 1):
+            best, by = -np.inf, -1
+            for k in range(heads[node], heads[node + 1]):
+                if (value := forward[first[k]] + scores[k]) > best:
+                    best, by = value, k
+            forward[node], via[node] = best, by
+
+        def leaving(node: int) -> Iterator[tuple[float, int, int]]:
+            """What it costs to leave the best path back from a node, at each node on it."""
+            while node:
+                for k in range(heads[node], heads[node + 1]):
+                    if k != via[node]:
+                        yield forward[node] - (forward[first[k]] + scores[k]), k, node
+                node = first[via[node]]
+
+        def spelled(path: tuple) -> bytes:
+            turns, node, ids = {}, end, []
+            while path:
+                path, arc, at = path
+                turns[at] = arc
+            while node:
+                arc = turns.get(node, via[node])
+                ids += [int(pieces[arc])] if pieces[arc] >= 0 else [self.bytes_at + x for x in block[first[arc] : node].encode()[::-1]]
+                node = first[arc]
+            return np.array(ids[::-1], "<u2").tobytes()
+
+        agenda, out, serial = [(0.0, 0, (), end)], [], 1
         while agenda and len(out) < n:
-            _, _, node, behind, tail = heapq.heappop(agenda)
-            if node == 0:
-                out.append((behind, b"".join(self.spelled(p, block[a:b]) for a, b, p in tail)))
-                continue
-            for a, s, p in into[node]:
-                heapq.heappush(agenda, (-(forward[a] + s + behind), serial, a, s + behind, ((a, node, p), *tail)))
+            cost, _, path, node = heapq.heappop(agenda)
+            out.append((float(forward[end] - cost), spelled(path)))
+            for more, arc, at in heapq.nsmallest(n - len(out), leaving(node)):
+                heapq.heappush(agenda, (cost + more, serial, (path, arc, at), first[arc]))
                 serial += 1
         return out
 
@@ -209,12 +266,18 @@ class Pieces:
 
     def encode_all(self, texts: list[str], n: int = 1) -> list[list[tuple[float, bytes]]]:
         split = [self.block.findall(" " + t) if t else [] for t in texts]
-        if len(self.row) > self.limit:
+        if len(self.row) > self.limit or self.held > 100 * self.limit:
             self.clear()
         flat = [b for blocks in split for b in blocks]
         known = list(map(self.row.get, flat))
         if None in known:
-            self.solve(list(dict.fromkeys(b for b, r in zip(flat, known, strict=True) if r is None)))
+            fresh = dict.fromkeys(b for b, r in zip(flat, known, strict=True) if r is None)
+            self.held += sum(map(len, fresh))
+            if short := [b for b in fresh if len(b) <= LONG]:
+                self.solve(short)
+            for b in fresh:
+                if len(b) > LONG:
+                    self.solve_long(b)
             known = [self.row[b] if r is None else r for b, r in zip(flat, known, strict=True)]
         every, end = np.array(known, np.int64), 0
         out = []
@@ -226,7 +289,7 @@ class Pieces:
             if n > 1 and len(rows):
                 loss = self.loss[rows]
                 near = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n else np.arange(len(loss))
-                lists = {int(k): self.alternatives(blocks[k], n) for k in near.tolist() if np.isfinite(loss[k])}
+                lists = {int(k): (self.alternatives if len(blocks[k]) <= SHORT else self.nbest)(blocks[k], n) for k in near.tolist() if np.isfinite(loss[k])}
                 found += self.combined(found[0][0], parts, lists, n)[1:]
             out.append(found)
         return out

@@ -3,15 +3,19 @@
 A line's features are counts over its characters and words (see `line_features`) together with those of the lines
 before and behind it. The field is fitted by gradient ascent on documents whose lines all bear the document's
 label; features for fitting are made on the executors, and only those of a bounded sample of labelled documents
-(`max_train`, chosen by hash) come to the driver. Forward-backward marginals of "good", weighted with the lines'
-lengths, make the score of a document. Labels, language, source and id are no inputs of a score.
+(`max_train`, chosen by hash, and `max_lines` of each) come to the driver. Forward-backward marginals of "good",
+weighted with the lines' lengths, make the score of a document. Labels, language, source and id are no inputs of a
+score. A long text is seen in parts, and four numbers a line stay of it.
 
 Defined cases: null texts are empty; an empty text is one empty line; repeated rows are scored each on its own;
-an empty table gives an empty result; without labels every score is the prior's 0.5; extra columns are ignored.
+an empty table gives an empty result; without labels every score is the prior's 0.5; a null id is not held out; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -82,14 +86,18 @@ def line_features(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.n
     return np.stack(columns, axis=1).astype(np.float64), size, n_lines
 
 
-def long_features(text: str, table: np.ndarray, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """line_features of one text, made of about `limit` characters at a time, cut behind a line."""
-    parts, start = [], 0
+def parts_of(text: str, limit: int = 1 << 19) -> Iterator[str]:
+    """A text in parts of about `limit` characters, cut behind a line."""
+    start = 0
     while start >= 0:
         end = text.find("\n", start + limit)
-        parts.append(line_features([text[start:] if end < 0 else text[start:end]], table))
+        yield text[start:] if end < 0 else text[start:end]
         start = end + 1 if end >= 0 else -1
-    own, size, n_lines = zip(*parts, strict=True)
+
+
+def long_features(text: str, table: np.ndarray, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of one text, made part by part."""
+    own, size, n_lines = zip(*(line_features([part], table) for part in parts_of(text, limit)), strict=True)
     return np.concatenate(own), np.concatenate(size), np.sum(n_lines, axis=0)
 
 
@@ -139,6 +147,20 @@ def forward_backward(emission: np.ndarray, transitions: np.ndarray, n_lines: np.
     return good, (at, joint), z
 
 
+def chain_marginals(emission: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Marginals of "good" along one long chain, by the log odds of the forward and the backward messages: two numbers a line."""
+    n, (bad, to_good), (to_bad, good) = len(emission), *transitions.tolist()
+    ahead, behind, e = np.empty(n), np.empty(n), emission.tolist()
+    top = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    odds = ahead[0] = e[0]
+    for t in range(1, n):
+        odds = ahead[t] = e[t] + top(to_good, good + odds) - top(bad, to_bad + odds)
+    odds = behind[n - 1] = 0.0
+    for t in range(n - 1, 0, -1):
+        odds = behind[t - 1] = top(to_bad, good + e[t] + odds) - top(bad, to_good + e[t] + odds)
+    return 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
+
+
 def fit(own: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Model:
     """Adam on the conditional log likelihood of labels that hold for all lines of a document."""
     model = Model(np.zeros(3 * own.shape[1]), np.zeros((2, 2)))
@@ -161,16 +183,36 @@ def fit(own: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 1
     return model
 
 
-def document_scores(own: np.ndarray, size: np.ndarray, n_lines: np.ndarray, model: Model) -> np.ndarray:
-    """The length-weighted mean of the lines' marginals; a document of empty lines weighs them alike."""
-    good, _, _ = forward_backward(with_neighbours(own, n_lines) @ model.weights, model.transitions, n_lines)
-    starts = np.cumsum(n_lines) - n_lines
-    weight = np.where(np.repeat(sums(size, starts), n_lines) > 0, size, 1.0)
-    return np.clip(sums(good * weight, starts) / sums(weight, starts), 0.0, 1.0)
+def emissions(shares: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """Each line's score: its own share, that of the line before it for its neighbours and that of the line behind it."""
+    out = shares[:, 0].copy()
+    last = np.cumsum(n_lines) - 1
+    before, behind = shares[:, 1].copy(), shares[:, 2].copy()
+    before[last], behind[last - n_lines + 1] = 0, 0
+    out[1:] += before[:-1]
+    out[:-1] += behind[1:]
+    return out
 
 
-def features_of(block: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return long_features(block[0], table) if len(block) == 1 else line_features(block, table)
+def document_scores(block: list[str], table: np.ndarray, model: Model, long: int = 4_096) -> np.ndarray:
+    """The length-weighted mean of the lines' marginals of each text; one of empty lines weighs them alike.
+
+    Features go as soon as a part's shares of the scores are made: what stays of a line is four numbers.
+    """
+    weights = model.weights.reshape(3, -1).T
+    made = [(own @ weights, size, n) for own, size, n in (line_features(x, table) for x in ([[part] for part in parts_of(block[0])] if len(block) == 1 else [block]))]
+    shares, size = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+    n_lines = np.sum([m[2] for m in made], axis=0) if len(block) == 1 else made[0][2]
+    emission, starts = emissions(shares, n_lines), np.cumsum(n_lines) - n_lines
+    good, longs = np.empty(len(size)), n_lines > long
+    for k in np.flatnonzero(longs).tolist():
+        at = slice(starts[k], starts[k] + n_lines[k])
+        good[at] = chain_marginals(emission[at], model.transitions)
+    rest = np.repeat(~longs, n_lines)
+    if rest.any():
+        good[rest] = forward_backward(emission[rest], model.transitions, n_lines[~longs])[0]
+    weight = np.where(np.repeat(sums(size, starts), n_lines) > 0, size, 1.0)
+    return np.clip(sums(good * weight, starts) / sums(weight, starts), 0.0, 1.0)
 
 
 def blocks(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[str]]:
@@ -190,23 +232,29 @@ def blocks(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[s
 
 
 def held_out(doc_id):
-    """Documents that no label is learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Documents that no label is learned from; a null id is none."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
 
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, max_lines: int = 512) -> Model:
+    """Fits the field on at most `max_train` labelled documents that are not held out, and `max_lines` lines in a row of each.
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 3_000) -> Model:
-    """Fits the field on at most `max_train` labelled documents that are not held out."""
-    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    Both bound what the driver gathers: max_train * max_lines * 19 numbers of four bytes. Where a longer document's
+    lines begin is dealt by the hash of its text. Of several labels of an id the least holds, of several texts of an id
+    the least in order.
+    """
+    usable = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers are broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = class_table()
         for batch in batches:
             for quality, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-                own, _, _ = long_features(text or "", table)
-                yield {"quality": [quality], "features": [own.astype(np.float32).tobytes()]}
+                own, _, _ = long_features(text, table)
+                first = zlib.crc32(text.encode()) % max(1, len(own) - max_lines + 1)
+                yield {"quality": [quality], "features": [own[first : first + max_lines].astype(np.float32).tobytes()]}
 
     rows = sorted((bytes(r["features"]), r["quality"]) for r in common.arrow_map(chosen, run, "quality int, features binary").collect())
     own = [np.frombuffer(f, np.float32).reshape(-1, N_BASE) for f, _ in rows]
@@ -220,7 +268,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         table = class_table()
         for batch in batches:
             texts = (t.as_py() for t in batch.column("text"))
-            scores = [document_scores(*features_of(block, table), model) for block in blocks(texts)]
+            scores = [document_scores(block, table, model) for block in blocks(texts)]
             yield {name: batch.column(k) for k, name in enumerate(batch.schema.names)} | {"_crf_score": np.concatenate(scores) if scores else np.zeros(0)}
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -6,7 +6,8 @@ longer than `segment_bytes` is cut into a first record and continuation records,
 segment number and, in the last one, the total length. Of equal payloads (same SHA-1 and length) of at least
 `min_bytes` bytes the one with the smallest page_id is stored; the others are revisit records without a payload.
 
-Reading: archives are split at the record mark, so large ones are read by many tasks. The writer ends a chunk
+Reading: a task reads an archive (gzip cannot be split, so archives hold a bounded number of records) and cuts it at
+the record mark. The writer ends a chunk
 inside any version line that occurs in a payload, so a block never holds a mark. Continuation records are grouped by
 origin id, ordered by segment number, checked against the total length, joined and only then decoded.
 
@@ -79,13 +80,19 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def records(page_id, url: str | None, payload: bytes, refers_to, serial: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def warcinfo(serial: str) -> bytes:
+    """The record that an archive begins with."""
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'info/{serial}')}>"
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
+
+def records(page_id, url: str | None, payload: bytes, refers_to, refers_uri: str | None, serial: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, serial)}>"
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    url = "".join((url or "").split()) or None
+    url, refers_uri = ("".join((x or "").split()) or None for x in (url, refers_uri))
     common_fields = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page_id)]
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common_fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers_to)], b"")
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common_fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", refers_uri), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", refers_to)], b"")
         return
     block = HTTP + chunked(payload, chunk_bytes)
     n = max(1, -(-len(block) // segment_bytes))
@@ -93,25 +100,31 @@ def records(page_id, url: str | None, payload: bytes, refers_to, serial: str, se
     yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common_fields, ("Content-Type", "application/http; msgtype=response"), *first], block[:segment_bytes])
     for k in range(1, n):
         last = [("WARC-Segment-Total-Length", len(block))] if k == n - 1 else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}-{k + 1}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), *last], block[k * segment_bytes : (k + 1) * segment_bytes])
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}-{k + 1}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), *last], block[k * segment_bytes : (k + 1) * segment_bytes])
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = 16_384, chunk_bytes: int = 4_096) -> None:
-    """Writes pages (page_id, url, html) as gzip-compressed archives, one for each task."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = 16_384, chunk_bytes: int = 4_096, max_records: int = 20_000) -> None:
+    """Writes pages (page_id, url, html) as gzip-compressed archives of at most max_records records, a warcinfo record first."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    ids = base.filter(F.col("n") >= min_bytes).select("page_id", "digest", "n")
-    first = ids.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    revisits = ids.join(first, ["digest", "n"]).filter("NOT page_id <=> refers_to").dropDuplicates(["page_id", "digest"]).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    found = base.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "refers_to")
+    ids = base.filter(F.col("n") >= min_bytes).select("page_id", "url", "digest", "n")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = ids.groupBy("digest", "n").agg(least.alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "n", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_uri"))
+    revisits = ids.join(first, ["digest", "n"]).filter("NOT page_id <=> refers_to").dropDuplicates(["page_id", "digest"]).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "refers_uri")
+    found = base.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "refers_to", "refers_uri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, written = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             out: list[bytes] = []
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, refers_to, refers_uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k += 1
-                out += records(page_id, url, payload, refers_to, f"{part}/{k}/{page_id}", segment_bytes, chunk_bytes)
+                for x in records(page_id, url, payload, refers_to, refers_uri, f"{part}/{k}/{page_id}", segment_bytes, chunk_bytes):
+                    if written % max_records == 0:  # the sink begins another file here
+                        out.append(warcinfo(f"{part}/{written}"))
+                        written += 1
+                    out.append(x)
+                    written += 1
                 if len(out) >= 256:
                     yield {"value": [VERSION + x + b"\r\n" for x in out]}
                     out = []
@@ -120,7 +133,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
     # A row ends in \r\n and so does the sink's line: together the two empty lines behind a record.
     lines = common.arrow_map(found, run, "value binary").select(F.col("value").cast("string").alias("value"))
     with common.shuffle_cleanup(pages.sparkSession):
-        lines.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+        lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
 PARSED = "record_id string, warc_type string, origin_id string, segment long, total long, page_id long, refers_to long, target_uri string, digest string, payload binary"
@@ -185,24 +198,32 @@ def reassemble(segments: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """record_id, warc_type, page_id, refers_to, target_uri, digest (as written), payload; segmented records are whole again."""
-    found = read_records(spark, path)
+    found = read_records(spark, path).filter("warc_type <> 'warcinfo'")
     whole = found.filter("segment IS NULL").select("record_id", "warc_type", "page_id", "refers_to", "target_uri", "digest", "payload")
     return whole.unionByName(reassemble(found.filter("segment IS NOT NULL")))
 
 
-def op4_warc(spark, sf_dir: str) -> DataFrame:
-    """Writes all pages, reads them back and reports each; a revisit's size is that of the response it refers to."""
+def archived(pages: DataFrame, salts: int = 16) -> DataFrame:
+    """Writes all pages, reads them back and reports each; a revisit's size and digest are those of the response it refers to.
+
+    Many revisits may refer to one response: those rows are spread by a salt, and the responses that are referred to
+    are repeated for each of its values. A response is known by its page's id and digest.
+    """
+    spark = pages.sparkSession
     path = common.new_path(spark, "archives")
-    write_warc(common.table(spark, sf_dir, "pages"), path)
+    write_warc(pages, path)
     back = read_warc(spark, path).select("page_id", "warc_type", "refers_to", F.col("digest").alias("said"), F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("own"))
     rows, _ = common.written(back, "records")
     common.remove(spark, path)
-    # Many revisits may refer to one response: those rows are spread by a salt, and the few responses that are
-    # referred to are repeated for each of its values.
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")
-    referred = rows.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("of_id")).distinct()
-    responses = rows.filter("warc_type = 'response'").select(F.col("page_id").alias("of_id"), F.col("n").alias("of_n"), F.col("own").alias("of_own"))
-    sources = referred.join(responses, "of_id").dropDuplicates(["of_id"]).withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    revisits = rows.filter("warc_type = 'revisit'").withColumn("salt", salt).join(sources, (F.col("refers_to") == F.col("of_id")) & (F.col("salt") == F.col("of_salt")), "left")
+    salt = F.pmod(F.xxhash64("page_id", "said"), F.lit(salts)).cast("int")
+    referred = rows.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("of_id"), F.col("said").alias("of_said")).distinct()
+    responses = rows.filter("warc_type = 'response'").select(F.col("page_id").alias("of_id"), F.col("said").alias("of_said"), F.col("n").alias("of_n"), F.col("own").alias("of_own"))
+    sources = referred.join(responses, ["of_id", "of_said"]).dropDuplicates(["of_id", "of_said"]).withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col("refers_to") == F.col("of_id")) & (F.col("said") == F.col("of_said")) & (F.col("salt") == F.col("of_salt"))
+    revisits = rows.filter("warc_type = 'revisit'").withColumn("salt", salt).join(sources, same, "left")
     out = lambda df, n, own: df.select("page_id", F.col(n).alias("payload_bytes"), F.col(own).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", (F.col(own) == F.col("said")).alias("verified"))
     return out(rows.filter("warc_type = 'response'"), "n", "own").unionByName(out(revisits, "of_n", "of_own"))
+
+
+def op4_warc(spark, sf_dir: str) -> DataFrame:
+    return archived(common.table(spark, sf_dir, "pages"))

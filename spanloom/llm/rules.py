@@ -1,11 +1,13 @@
 """Quality rules in DataFrame operations only: base counts of each document and cross-document line frequency.
 
 Lines are normalised (lower case, white space runs as one space, trimmed) and hashed. A line that occurs in more
-than max(min_docs, share of the host's documents) documents of a host is removed there, all its occurrences. A
+than `max_docs` documents of a host is removed there, all its occurrences. Documents of a host with equal texts count
+as one, so that copies of a document do not use up its own lines. The limit is a number of documents, as published
+for web corpora (six in a bucket): it does not rise with the host, so boilerplate of large hosts goes too. A
 document whose removed lines held more than `depleted` of its words, or that has fewer than `min_words` left, is
 rejected. The text is scanned once; what is kept of it is a row per document with its line hashes. Counts per
-(host, line) are summed before the shuffle, and the join back is on (host, line) with one row per key on the
-counted side, so that a hot host or line can be split at run time.
+(host, line) are made of distinct (host, line, text) first, so a hot line is spread by its texts, and the join back is
+on (host, line) with one row per key on the counted side, so that a hot host or line can be split at run time.
 
 Defined cases: null texts have no words and fail the base rules; a null host is a host of its own; repeated rows
 are documents of their own; empty tables give empty results; extra columns are ignored.
@@ -51,7 +53,7 @@ def with_repeats(df: DataFrame, words: str = "words", width: int = 3, few: int =
 
 
 def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row per document: its counts, and the hash and words of each normalised line that has words."""
+    """A row per document: its counts, a hash of its text, and the hash and words of each normalised line that has words."""
     df = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns(
         {
@@ -70,29 +72,28 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
         long(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         "n_repeat_words",
+        F.xxhash64("text").alias("text_hash"),
         F.transform("_normal", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))).alias("lines"),
     )
 
 
-def frequent_lines(counted: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line) of the lines in too many of a host's documents."""
-    seen = counted.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    often = seen.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    hosts = counted.groupBy("host").agg(F.count("*").alias("of"))
-    return often.join(hosts, "host").filter(F.col("docs") > share * F.col("of")).select("host", "line")
+def frequent_lines(counted: DataFrame, max_docs: int) -> DataFrame:
+    """(host, line) of the lines in more than max_docs different documents of a host."""
+    seen = counted.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    return seen.distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
 
 
-def line_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.1, depleted: float = 0.5, min_words: int = 50) -> DataFrame:
+def line_rules(docs: DataFrame, host: str = "source", max_docs: int = 6, depleted: float = 0.5, min_words: int = 50) -> DataFrame:
     """doc_id, counts, base_failed, n_removed_words, kept."""
     counted = base_counts(docs, host).withColumn("row", F.monotonically_increasing_id())
     counted, _ = common.written(counted, "lines")
-    bad = frequent_lines(counted, min_docs, share)
+    bad = frequent_lines(counted, max_docs)
     lines = counted.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
     removed = lines.join(bad, ["host", "line"]).groupBy("row").agg(F.sum("words").cast("long").alias("n_removed_words"))
     df = counted.drop("lines").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     drained = (F.col("n_removed_words") > depleted * F.col("n_words")) | (F.col("n_words") - F.col("n_removed_words") < min_words)
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~drained).drop("row", "host")
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~drained).drop("row", "host", "text_hash")
 
 
 def op5_line_frequency(spark, sf_dir: str) -> DataFrame:
@@ -116,15 +117,12 @@ doubled AS (
 repeats AS (
   SELECT doc_id, CAST(count(DISTINCT pos + k) AS BIGINT) AS n_repeat_words
   FROM doubled, (SELECT unnest([0, 1, 2]) AS k) s GROUP BY doc_id),
-lined AS (SELECT doc_id, host, unnest(lines) AS line FROM worded),
+lined AS (SELECT doc_id, host, md5(text) AS digest, unnest(lines) AS line FROM worded),
 normal AS (
-  SELECT doc_id, host, lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+  SELECT doc_id, host, digest, lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM lined),
-frequent AS (
-  SELECT n.host, n.line FROM (SELECT host, line, count(DISTINCT doc_id) AS docs FROM normal GROUP BY host, line) n
-  JOIN (SELECT host, count(*) AS total FROM worded GROUP BY host) h ON n.host = h.host
-  WHERE n.docs > 20 AND n.docs > 0.1 * h.total),
+frequent AS (SELECT host, line FROM normal GROUP BY host, line HAVING count(DISTINCT digest) > 6),
 removed AS (
   SELECT n.doc_id, CAST(sum(n.words) AS BIGINT) AS n_removed_words FROM normal n JOIN frequent f ON n.host = f.host AND n.line = f.line GROUP BY n.doc_id),
 counted AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of labels and what they count as.
@@ -16,26 +16,42 @@ CANON = {
 }
 
 
-def everything():
-    """All rows: for values of small result tables only."""
-    return Window.partitionBy()
+def with_bounds(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds each expression under its name and, as NAME_low and NAME_high, its extremes over all rows: one row, broadcast."""
+    df = df.withColumns(columns)
+    extremes = df.agg(*[f(c).alias(f"{c}_{side}") for c in columns for f, side in ((F.min, "low"), (F.max, "high"))])
+    return df.crossJoin(F.broadcast(extremes))
 
 
-def minmax(c: Column, constant: float = 1.0) -> Column:
-    """To [0, 1] over all rows."""
-    low, high = F.min(c).over(everything()), F.max(c).over(everything())
-    return F.when(high > low, (c - low) / (high - low)).otherwise(F.lit(constant))
+def scaled(c: str, constant: float = 1.0) -> Column:
+    """A column that with_bounds made, to [0, 1]."""
+    low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+    return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(constant))
+
+
+def minmax(df: DataFrame, c: Column, out: str, constant: float = 1.0) -> DataFrame:
+    """Adds an expression scaled to [0, 1] over all rows."""
+    return with_bounds(df, _x=c).withColumn(out, scaled("_x", constant)).drop("_x", "_x_low", "_x_high")
 
 
 def stability(entropy: Column, coherence: Column, mode: str = "classic") -> Column:
-    """classic: C / (1 + H); entropy_weighted: C exp(-H); normalized: scaled C times 1 - scaled H. Other modes count as classic."""
+    """classic: C / (1 + H); entropy_weighted: C exp(-H). Other modes count as classic."""
     h = F.greatest(entropy, F.lit(0.0))
-    if mode == "entropy_weighted":
-        return coherence * F.exp(-h)
-    if mode == "normalized":
-        scaled = lambda c: F.when(F.max(c).over(everything()) > F.min(c).over(everything()), (c - F.min(c).over(everything())) / (F.max(c).over(everything()) - F.min(c).over(everything()) + 1e-12)).otherwise(c)
-        return scaled(coherence) * (1 - scaled(entropy))
-    return coherence / (1 + h)
+    return coherence * F.exp(-h) if mode == "entropy_weighted" else coherence / (1 + h)
+
+
+def with_stability(df: DataFrame, mode: str = "classic") -> DataFrame:
+    """Adds stability of entropy and coherence; normalized: scaled C times 1 - scaled H, a constant stays as it is."""
+    if mode != "normalized":
+        return df.withColumn("stability", stability(F.col("entropy"), F.col("coherence"), mode))
+    part = lambda c: F.when(F.col(f"{c}_high") > F.col(f"{c}_low"), (F.col(c) - F.col(f"{c}_low")) / (F.col(f"{c}_high") - F.col(f"{c}_low") + 1e-12)).otherwise(F.col(c))
+    bounded = with_bounds(df, entropy=F.col("entropy"), coherence=F.col("coherence"))
+    return bounded.withColumn("stability", part("coherence") * (1 - part("entropy"))).drop(*[f"{c}_{x}" for c in ("entropy", "coherence") for x in ("low", "high")])
+
+
+def information_stability(coherence: Column, entropy: Column) -> Column:
+    """Half of C + 1 - H, in [0, 1]."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 * (coherence + 1 - entropy)))
 
 
 def adaptive_threshold(h: Column, high: float = 0.40, low: float = 0.15, lowest: float = 0.1, highest: float = 4.0, scale: float = 2.8) -> Column:
@@ -47,11 +63,11 @@ def condensation_threshold(h: Column) -> Column:
     return adaptive_threshold(h, 0.97, 0.80, 0.01, 5.0, 3.0)
 
 
-def temperature(entropy: Column, coherence: Column) -> Column:
-    """Scaled H - C; one half where all are alike."""
-    x = entropy - coherence
-    span = F.max(x).over(everything()) - F.min(x).over(everything())
-    return F.when(span < 1e-9, F.lit(0.5)).otherwise((x - F.min(x).over(everything())) / (span + 1e-9))
+def with_temperature(df: DataFrame) -> DataFrame:
+    """Adds temperature: scaled H - C; one half where all are alike."""
+    span = F.col("_x_high") - F.col("_x_low")
+    value = F.when(span < 1e-9, F.lit(0.5)).otherwise((F.col("_x") - F.col("_x_low")) / (span + 1e-9))
+    return with_bounds(df, _x=F.col("entropy") - F.col("coherence")).withColumn("temperature", value).drop("_x", "_x_low", "_x_high")
 
 
 def canonical_label(c: Column) -> Column:
@@ -83,9 +99,12 @@ def core_score(tf: Column, df: Column) -> Column:
     return F.log1p(tf) + 0.5 * F.log1p(df)
 
 
-def clipped_z(c: Column) -> Column:
-    spread = F.stddev_samp(c).over(everything())
-    return F.when(spread > 0, F.least(F.lit(4.0), F.greatest(F.lit(-4.0), (c - F.avg(c).over(everything())) / spread))).otherwise(F.lit(0.0))
+def with_clipped_z(df: DataFrame, c: Column, out: str) -> DataFrame:
+    """Adds the z-score of an expression over all rows, clipped at 4; mean and spread are one row, broadcast."""
+    df = df.withColumn("_x", c)
+    stats = df.agg(F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_spread"))
+    z = F.when(F.col("_spread") > 0, F.least(F.lit(4.0), F.greatest(F.lit(-4.0), (F.col("_x") - F.col("_mean")) / F.col("_spread")))).otherwise(F.lit(0.0))
+    return df.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("_x", "_mean", "_spread")
 
 
 def spectral_entropy(v: Column) -> Column:

@@ -9,14 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores
-from spanloom.plans.tables import cut
+from spanloom.plans.tables import cut, ranked, remove
 
 
-def cooccurrence(occurrences: DataFrame, span: str, element: str) -> DataFrame:
-    """source, target, weight: in how many spans both occur. Spans are small, so pairs are made inside a row."""
-    sets = occurrences.groupBy(span).agg(F.sort_array(F.collect_set(element)).alias("e")).filter(F.size("e") > 1)
+def cooccurrence(occurrences: DataFrame, span: str, element: str, most: int = 2_000) -> DataFrame:
+    """source, target, weight: in how many spans both occur.
+
+    Pairs are made inside a row of a span's elements. A span of more than `most` elements is dealt to groups of them,
+    and each two groups make a row of their own.
+    """
+    distinct = occurrences.select(F.col(span).alias("s"), F.col(element).alias("x")).distinct()
+    large = cut(distinct.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    small = distinct if large.isEmpty() else distinct.join(large, "s", "left_anti")
+    sets = small.groupBy("s").agg(F.sort_array(F.collect_list("x")).alias("e")).filter(F.size("e") > 1)
     firsts = sets.select("e", F.posexplode("e").alias("i", "source"))
     pairs = firsts.select("source", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("target"))
+    if not large.isEmpty():
+        groups = F.ceil(F.col("n") / most).cast("int")
+        dealt = distinct.join(large, "s").withColumn("g", F.pmod(F.xxhash64("x"), groups).cast("int"))
+        one = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), groups - 1))).groupBy("s", "g", "h").agg(F.collect_list("x").alias("a"))
+        other = dealt.groupBy("s", F.col("g").alias("h")).agg(F.collect_list("x").alias("b"))
+        both = one.join(other, ["s", "h"]).select("b", F.explode("a").alias("source"))
+        pairs = pairs.union(both.select("source", F.explode("b").alias("target")).filter("source < target"))
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
@@ -27,18 +41,23 @@ def top_per_node(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("a", by_source).withColumn("b", by_target).filter((F.col("a") <= k) | (F.col("b") <= k)).drop("a", "b")
 
 
-def with_scores(edges: DataFrame, share: float = 0.2) -> DataFrame:
-    """scaled_weight, confidence, is_backbone (the heaviest share). The extremes are one row, joined back."""
-    bounds = edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.count("*").alias("m"))
-    df = edges.crossJoin(F.broadcast(bounds))
+def with_weights(edges: DataFrame) -> DataFrame:
+    """scaled_weight, confidence. The extremes are one row, joined back."""
+    df = edges.crossJoin(F.broadcast(edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("weight") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    place = F.row_number().over(Window.orderBy(F.desc("weight"), "source", "target"))
-    return (
-        df.withColumn("scaled_weight", scaled)
-        .withColumn("confidence", F.log1p("weight") / F.log1p("hi"))
-        .withColumn("is_backbone", place <= F.greatest(F.lit(1), F.floor(F.col("m") * share)))
-        .drop("lo", "hi", "m")
-    )
+    return df.withColumn("scaled_weight", scaled).withColumn("confidence", F.log1p("weight") / F.log1p("hi")).drop("lo", "hi")
+
+
+def with_backbone(edges: DataFrame, share: float = 0.2) -> DataFrame:
+    """is_backbone: the heaviest share of all edges, at least one."""
+    total = F.broadcast(edges.agg(F.count("*").alias("m")))
+    placed = ranked(edges, F.desc("weight"), F.col("source"), F.col("target")).crossJoin(total)
+    return placed.withColumn("is_backbone", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("m") * share))).drop("place", "m")
+
+
+def with_scores(edges: DataFrame, share: float = 0.2) -> DataFrame:
+    """scaled_weight, confidence, is_backbone."""
+    return with_backbone(with_weights(edges), share)
 
 
 def ends(edges: DataFrame, *columns: str) -> DataFrame:
@@ -65,15 +84,18 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         jump = near.select(F.col("node").alias("n"), F.col("component").alias("further"))
         after = cut(near.join(jump, near["component"] == jump["n"], "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
         moved = after.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
+        remove(labels)
         labels = after
         if not moved:
+            remove(both)
             return labels
     raise RuntimeError("the components have not settled")
 
 
 def named(components_: DataFrame, form: str = "C%04d") -> DataFrame:
     """Adds compound_id, numbered by least node."""
-    return components_.withColumn("compound_id", F.format_string(form, F.dense_rank().over(Window.orderBy("component"))))
+    names = ranked(components_.select("component").distinct(), "component").select("component", F.format_string(form, "place").alias("compound_id"))
+    return components_.join(names, "component").select(*components_.columns, "compound_id")
 
 
 def compounds(scored: DataFrame, members: DataFrame) -> DataFrame:
@@ -88,8 +110,9 @@ def with_importance(scored: DataFrame, members: DataFrame, z: DataFrame) -> Data
     at = lambda side: members.join(z, "node").select(F.col("node").alias(side), F.col("compound_id").alias(f"{side}_c"), F.col("z").alias(f"{side}_z"), F.col("root").alias(f"{side}_r"))
     df = scored.join(at("source"), "source").join(at("target"), "target")
     same = lambda k: F.col(f"source_{k}").eqNullSafe(F.col(f"target_{k}")).cast("double")
-    raw = 0.5 * scores.minmax(F.col("weight")) + 0.2 * same("c") + 0.15 * same("r") + 0.15 * (1 - F.tanh(F.abs(F.col("source_z") - F.col("target_z"))))
-    return df.withColumn("raw", F.round(raw, 9)).withColumn("importance", scores.minmax(F.col("raw"))).drop("raw")
+    df = scores.with_bounds(df, weight=F.col("weight"))
+    raw = 0.5 * scores.scaled("weight") + 0.2 * same("c") + 0.15 * same("r") + 0.15 * (1 - F.tanh(F.abs(F.col("source_z") - F.col("target_z"))))
+    return scores.minmax(cut(df.withColumn("raw", F.round(raw, 9)).drop("weight_low", "weight_high")), F.col("raw"), "importance").drop("raw")
 
 
 def prune(edges: DataFrame, by: Column, share: float, among: Column | None = None) -> DataFrame:
@@ -100,9 +123,16 @@ def prune(edges: DataFrame, by: Column, share: float, among: Column | None = Non
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Closed triples a < b < c, one row with their number."""
-    a, b, c = edges.alias("a"), edges.alias("b"), edges.alias("c")
-    return a.join(b, F.col("a.target") == F.col("b.source")).join(c, (F.col("c.source") == F.col("a.source")) & (F.col("c.target") == F.col("b.target"))).agg(F.count("*").alias("triangles"))
+    """Closed triples, one row with their number.
+
+    Edges point from the end of lower degree (of lower id on a tie) to the other, so that no node has more than the
+    square root of twice the edges going out, and paths of two are made at their lowest node.
+    """
+    order = cut(degree(edges).select("node", F.struct("degree", "node").alias("rank")))
+    known = edges.select("source", "target").join(order.select(F.col("node").alias("source"), F.col("rank").alias("a")), "source").join(order.select(F.col("node").alias("target"), F.col("rank").alias("b")), "target")
+    out = cut(known.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    paths = out.alias("x").join(out.alias("y"), F.col("x.u") == F.col("y.u")).filter("x.v < y.v").select(F.col("x.v").alias("u"), F.col("y.v").alias("v"))
+    return paths.join(out, ["u", "v"]).agg(F.count("*").alias("triangles"))
 
 
 def statistics(edges: DataFrame) -> DataFrame:
@@ -153,5 +183,8 @@ def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
     x = cut(both.select(F.col("source").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
         moved = both.join(x, both["target"] == x["node"]).select(F.col("source").alias("node"), "x").union(x.select("node", "x")).groupBy("node").agg(F.sum("x").alias("x"))
-        x = cut(moved.crossJoin(F.broadcast(moved.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("length")))).select("node", (F.col("x") / F.col("length")).alias("x")))
+        after = cut(moved.crossJoin(F.broadcast(moved.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("length")))).select("node", (F.col("x") / F.col("length")).alias("x")))
+        remove(x)
+        x = after
+    remove(both)
     return x.withColumnRenamed("x", "centrality")

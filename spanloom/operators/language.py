@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.plans.tables import ranked
+
 FIRST_ID = 4  # fixed: 0 pad, 1 begin, 2 end, 3 unknown
 
 
 def sequences(words: DataFrame, length: int = 128, min_freq: int = 2, least: int = 4) -> DataFrame:
     """doc_id, chunk, ids: chunks of word ids in order, begin and end marks around. words: doc_id, place, word."""
     freq = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_freq)
-    ids = freq.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) + FIRST_ID - 1)
+    ids = ranked(freq, F.desc("n"), F.col("word")).withColumn("id", F.col("place") + FIRST_ID - 1)
     known = words.join(ids.select("word", "id"), "word", "left").withColumn("id", F.coalesce("id", F.lit(3)))
     chunked = known.groupBy("doc_id", F.floor(F.col("place") / length).cast("int").alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
     return chunked.filter(F.size("ids") >= least).withColumn("ids", F.concat(F.array(F.lit(1)), "ids", F.array(F.lit(2))))

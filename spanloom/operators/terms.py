@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
+from spanloom.plans.tables import cut, ranked
 
 MAX_VOCABULARY = 5000
 
@@ -15,17 +16,22 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(text.spans(F.col("text"))).alias("position", "span"))
 
 
-def elements(docs: DataFrame, phrases: bool = True) -> DataFrame:
-    """doc_id, position, element: tokens of each span and phrases of two tokens in a row (no shuffle)."""
+def tokenised(docs: DataFrame, phrases: bool = True) -> DataFrame:
+    """doc_id, position, elements: tokens of each span and phrases of two tokens in a row (no shuffle)."""
     df = spans(docs).withColumn("tokens", text.tokens(F.col("span")))
-    every = F.concat("tokens", text.bigrams("tokens")) if phrases else F.col("tokens")
-    return df.select("doc_id", "position", F.explode(every).alias("element"))
+    return df.select("doc_id", "position", (F.concat("tokens", text.bigrams("tokens")) if phrases else F.col("tokens")).alias("elements"))
+
+
+def elements(docs: DataFrame, phrases: bool = True) -> DataFrame:
+    """doc_id, position, element: a row for each occurrence."""
+    return tokenised(docs, phrases).select("doc_id", "position", F.explode("elements").alias("element"))
 
 
-def frequencies(occurrences: DataFrame) -> DataFrame:
-    """element, collection_freq, span_freq: one shuffle, by partial counts per span and element."""
-    per_span = occurrences.groupBy("element", "doc_id", "position").agg(F.count("*").alias("tf"))
-    return per_span.groupBy("element").agg(F.sum("tf").alias("collection_freq"), F.count("*").alias("span_freq"))
+def frequencies(tokens: DataFrame) -> DataFrame:
+    """element, collection_freq, span_freq of tokenised spans: one shuffle, of sums by element."""
+    every = F.transform("elements", lambda x: F.struct(x.alias("element"), F.lit(1).alias("n"), F.lit(0).alias("spans")))
+    once = F.transform(F.array_distinct("elements"), lambda x: F.struct(x.alias("element"), F.lit(0).alias("n"), F.lit(1).alias("spans")))
+    return tokens.select(F.inline(F.concat(every, once))).groupBy("element").agg(F.sum("n").alias("collection_freq"), F.sum("spans").alias("span_freq"))
 
 
 def vocabulary(freqs: DataFrame, most: int = MAX_VOCABULARY, min_spans: int = 2) -> DataFrame:
@@ -34,14 +40,16 @@ def vocabulary(freqs: DataFrame, most: int = MAX_VOCABULARY, min_spans: int = 2)
 
 
 def weights(docs: DataFrame, most: int = MAX_VOCABULARY) -> DataFrame:
-    """doc_id, position, element, tf, weight: TF-IDF with smooth idf, each span scaled to length 1.
+    """doc_id, position, element, tf, idf, weight: TF-IDF with smooth idf, each span scaled to length 1.
 
-    The vocabulary has at most `most` rows, and so has what is broadcast; spans are grouped by document and
-    position, so no group is larger than a span.
+    The corpus is tokenised once. The vocabulary has at most `most` rows, and so has what is broadcast; one shuffle
+    brings a span's elements together.
     """
-    occurrences, n = elements(docs), spans(docs).count()
-    words = vocabulary(frequencies(occurrences), most).select("element", (F.log((1.0 + n) / (1.0 + F.col("span_freq"))) + 1.0).alias("idf"))
-    tf = occurrences.join(F.broadcast(words), "element").groupBy("doc_id", "position", "element").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    tokens = cut(tokenised(docs))
+    n = tokens.count()
+    words = vocabulary(frequencies(tokens), most).select("element", (F.log((1.0 + n) / (1.0 + F.col("span_freq"))) + 1.0).alias("idf"))
+    known = tokens.select("doc_id", "position", F.explode("elements").alias("element")).join(F.broadcast(words), "element")
+    tf = known.repartition("doc_id", "position").groupBy("doc_id", "position", "element").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     x = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(x * x).over(Window.partitionBy("doc_id", "position")))
     return tf.select("doc_id", "position", "element", "tf", "idf", (x / length).alias("weight"))
@@ -56,17 +64,34 @@ def entropy_of(weighted: DataFrame, *keys: str) -> DataFrame:
 
 def statistics(docs: DataFrame, most: int = MAX_VOCABULARY) -> DataFrame:
     """element, collection_freq, span_freq, idf, tfidf, entropy."""
-    weighted = weights(docs, most)
-    counts = weighted.groupBy("element").agg(F.sum("tf").alias("collection_freq"), F.count("*").alias("span_freq"), F.first("idf").alias("idf"))
-    return counts.join(entropy_of(weighted, "element"), "element")
+    return statistics_of(weights(docs, most))
+
+
+def statistics_of(weighted: DataFrame) -> DataFrame:
+    """element, collection_freq, span_freq, idf, tfidf, entropy of weights(): one shuffle."""
+    w = F.col("weight")
+    sums = weighted.groupBy("element").agg(F.sum("tf").alias("collection_freq"), F.count("*").alias("span_freq"), F.first("idf").alias("idf"), F.sum(w).alias("tfidf"), F.sum(w * F.log(w)).alias("_wlogw"))
+    return sums.withColumn("entropy", F.log("tfidf") - F.col("_wlogw") / F.col("tfidf")).drop("_wlogw")
+
+
+def coherence(weighted: DataFrame) -> DataFrame:
+    """element, coherence: the mean cosine of the vectors of the spans that have it to their centroid; 0 of one span.
+
+    Span vectors have length 1, so it is the length of their sum over their number. The vocabulary bounds the pairs
+    of elements that sums are made of.
+    """
+    a = weighted.select("doc_id", "position", "element")
+    b = weighted.select("doc_id", "position", F.col("element").alias("other"), "weight")
+    sums = a.join(b, ["doc_id", "position"]).groupBy("element", "other").agg(F.sum("weight").alias("s"), F.max(F.when(F.col("element") == F.col("other"), 1)).alias("own"), F.count("*").alias("n"))
+    lengths = sums.groupBy("element").agg(F.sqrt(F.sum(F.col("s") ** 2)).alias("length"), F.max(F.when(F.col("own") == 1, F.col("n"))).alias("n"))
+    return lengths.select("element", F.when(F.col("n") > 1, F.col("length") / F.col("n")).otherwise(0.0).alias("coherence"))
 
 
 def roots(freqs: DataFrame) -> DataFrame:
-    """root_id, root_key, size, representative, total_freq: elements with equal stems, the largest group first."""
+    """root_id, root_key, size, representative, total_freq, total_spans: elements with equal stems, the largest group first."""
     keyed = freqs.withColumn("root_key", text.root_key(F.col("element")))
-    grouped = keyed.groupBy("root_key").agg(F.count("*").alias("size"), F.min_by("element", F.struct(-F.col("collection_freq"), "element")).alias("representative"), F.sum("collection_freq").alias("total_freq"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "root_key"))
-    return grouped.withColumn("root_id", F.format_string("R%04d", place))
+    grouped = keyed.groupBy("root_key").agg(F.count("*").alias("size"), F.min_by("element", F.struct(-F.col("collection_freq"), "element")).alias("representative"), F.sum("collection_freq").alias("total_freq"), F.sum("span_freq").alias("total_spans"))
+    return ranked(grouped, F.desc("size"), F.col("root_key")).withColumn("root_id", F.format_string("R%04d", "place")).drop("place")
 
 
 def signatures(labelled: DataFrame) -> DataFrame:

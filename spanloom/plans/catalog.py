@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import graph, language, service, simulation, terms, timeline, vectors
+from spanloom.operators import graph, language, reports, service, simulation, terms, timeline, vectors
+from spanloom.plans.tables import cut, ranked
 from spanloom.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,7 +149,7 @@ roots AS (SELECT printf('R%04d', row_number() OVER (ORDER BY size DESC, g.root_k
 
 
 def _freq(spark, d):
-    return terms.frequencies(terms.elements(at(spark, d, "documents"))).filter("span_freq >= 2")
+    return terms.frequencies(terms.tokenised(at(spark, d, "documents"))).filter("span_freq >= 2")
 
 
 @query(f"WITH {ROOTS} SELECT * FROM roots")
@@ -175,7 +176,7 @@ def code_comments(spark, d):
 # ---------------------------------------------------------------- terms
 @query(f"WITH {FREQ} SELECT * FROM freq")
 def element_frequencies(spark, d):
-    return terms.frequencies(terms.elements(at(spark, d, "documents")))
+    return terms.frequencies(terms.tokenised(at(spark, d, "documents")))
 
 
 STATS = f"""{WEIGHTS},
@@ -201,70 +202,102 @@ def vocab_topk(spark, d):
 
 @query(f"WITH {FREQ} SELECT element, round(ln(1.0 + collection_freq) + 0.5 * ln(1.0 + span_freq), 6) AS score, row_number() OVER (ORDER BY ln(1.0 + collection_freq) + 0.5 * ln(1.0 + span_freq) DESC, element) AS place FROM freq QUALIFY place <= 120")
 def core_score_rank(spark, d):
-    freq = terms.frequencies(terms.elements(at(spark, d, "documents")))
+    freq = terms.frequencies(terms.tokenised(at(spark, d, "documents")))
     top = freq.withColumn("score", scores.core_score(F.col("collection_freq"), F.col("span_freq"))).orderBy(F.desc("score"), "element").limit(120)
     return top.select("element", r6("score").alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "element")).alias("place"))
 
 
-STABLE = f"""{STATS}, coh AS (SELECT *, tfidf / span_freq AS coherence FROM stats)"""
+STABLE = f"""{STATS}, sums AS (SELECT a.element, b.element AS other, sum(b.weight) AS s FROM weights a JOIN weights b ON a.doc_id = b.doc_id AND a.position = b.position GROUP BY 1, 2),
+coh AS (SELECT t.*, CASE WHEN span_freq > 1 THEN sqrt(ss) / span_freq ELSE 0.0 END AS coherence FROM stats t JOIN (SELECT element, sum(s * s) AS ss FROM sums GROUP BY 1) l ON t.element = l.element)"""
 
 
-def _stable(spark, d):
-    """Element statistics with the mean weight as coherence."""
-    return terms.statistics(at(spark, d, "documents")).withColumn("coherence", F.col("tfidf") / F.col("span_freq"))
+def _stable(spark, d, weighted=None):
+    """Element statistics with coherence: the mean cosine of their spans' vectors to the centroid."""
+    weighted = cut(terms.weights(at(spark, d, "documents"))) if weighted is None else weighted
+    return cut(terms.statistics_of(weighted).join(terms.coherence(weighted), "element"))
+
+
+@query(f"WITH {STABLE} SELECT element, round(coherence, 6) AS coherence FROM coh")
+def element_coherence(spark, d):
+    return _stable(spark, d).select("element", r6("coherence").alias("coherence"))
 
 
 @query(f"WITH {STABLE} SELECT element, round(coherence / (1 + greatest(entropy, 0.0)), 6) AS stability FROM coh")
 def stability_classic(spark, d):
-    return _stable(spark, d).select("element", r6(scores.stability(F.col("entropy"), F.col("coherence"))).alias("stability"))
+    return scores.with_stability(_stable(spark, d)).select("element", r6("stability").alias("stability"))
 
 
 @query(f"WITH {STABLE} SELECT element, round(coherence * exp(-greatest(entropy, 0.0)), 6) AS stability FROM coh")
 def stability_entropy_weighted(spark, d):
-    return _stable(spark, d).select("element", r6(scores.stability(F.col("entropy"), F.col("coherence"), "entropy_weighted")).alias("stability"))
+    return scores.with_stability(_stable(spark, d), "entropy_weighted").select("element", r6("stability").alias("stability"))
 
 
 @query(f"""WITH {STABLE}, b AS (SELECT min(coherence) AS cl, max(coherence) AS ch, min(entropy) AS el, max(entropy) AS eh FROM coh)
 SELECT element, round((coherence - cl) / (ch - cl + 1e-12) * (1 - (entropy - el) / (eh - el + 1e-12)), 6) + 0.0 AS stability FROM coh, b""")
 def stability_normalized(spark, d):
-    return _stable(spark, d).select("element", (r6(scores.stability(F.col("entropy"), F.col("coherence"), "normalized")) + 0.0).alias("stability"))
+    return scores.with_stability(_stable(spark, d), "normalized").select("element", (r6("stability") + 0.0).alias("stability"))
+
+
+@query(ORACLES["stability_classic"])
+def stability_other_mode(spark, d):
+    """A mode that is not known counts as classic."""
+    return scores.with_stability(_stable(spark, d), "unheard of").select("element", r6("stability").alias("stability"))
+
+
+@query(f"WITH {STABLE} SELECT element, round(least(1.0, greatest(0.0, 0.5 * (coherence + 1 - entropy))), 6) + 0.0 AS stability FROM coh")
+def information_stability(spark, d):
+    return _stable(spark, d).select("element", (r6(scores.information_stability(F.col("coherence"), F.col("entropy"))) + 0.0).alias("stability"))
 
 
 @query(f"""WITH {STABLE}, s AS (SELECT entropy, coherence, coherence / (1 + greatest(entropy, 0.0)) AS stability FROM coh)
-SELECT count(*) AS n, round(min(entropy), 6) + 0.0 AS min_entropy, round(max(entropy), 6) AS max_entropy, round(min(coherence), 6) AS min_coherence, round(max(coherence), 6) AS max_coherence, round(avg(stability), 6) AS mean_stability, round(median(stability), 6) AS median_stability FROM s""")
+SELECT count(*) AS n, round(min(entropy), 6) + 0.0 AS min_entropy, round(max(entropy), 6) AS max_entropy, round(min(coherence), 6) AS min_coherence, round(max(coherence), 6) AS max_coherence, round(min(stability), 6) AS min_stability, round(max(stability), 6) AS max_stability, round(avg(stability), 6) AS mean_stability, round(median(stability), 6) AS median_stability FROM s""")
 def stability_meta(spark, d):
-    s = _stable(spark, d).withColumn("stability", scores.stability(F.col("entropy"), F.col("coherence")))
-    return s.agg(F.count("*").alias("n"), (r6(F.min("entropy")) + 0.0).alias("min_entropy"), r6(F.max("entropy")).alias("max_entropy"), r6(F.min("coherence")).alias("min_coherence"), r6(F.max("coherence")).alias("max_coherence"), r6(F.avg("stability")).alias("mean_stability"), r6(F.percentile("stability", F.lit(0.5))).alias("median_stability"))
+    s = scores.with_stability(_stable(spark, d))
+    ends = [(r6(f(c)) + 0.0).alias(f"{name}_{c}") for c in ("entropy", "coherence", "stability") for name, f in (("min", F.min), ("max", F.max))]
+    return s.agg(F.count("*").alias("n"), *ends, r6(F.avg("stability")).alias("mean_stability"), r6(F.percentile("stability", F.lit(0.5))).alias("median_stability"))
 
 
 @query(f"""WITH {STABLE}, x AS (SELECT element, entropy - coherence AS x FROM coh), b AS (SELECT min(x) AS lo, max(x) AS hi FROM x)
 SELECT element, round((x - lo) / (hi - lo + 1e-9), 6) + 0.0 AS temperature FROM x, b""")
 def temperatures(spark, d):
-    return _stable(spark, d).select("element", (r6(scores.temperature(F.col("entropy"), F.col("coherence"))) + 0.0).alias("temperature"))
+    return scores.with_temperature(_stable(spark, d)).select("element", (r6("temperature") + 0.0).alias("temperature"))
+
 
+FIELD = f"""{STABLE}, s AS (SELECT *, coherence / (1 + greatest(entropy, 0.0)) AS stability FROM coh), m AS (SELECT avg(entropy) + stddev_samp(entropy) AS bar FROM s),
+d AS (SELECT w.doc_id, avg(s.stability) AS mean_stability FROM weights w JOIN s ON w.element = s.element GROUP BY 1), spread AS (SELECT stddev_samp(mean_stability) AS doc_stability_spread FROM d),
+stats2 AS (SELECT avg(entropy) AS entropy_mean, median(entropy) AS entropy_median, quantile_cont(entropy, 0.9) AS entropy_p90, max(entropy) AS entropy_max, avg(CASE WHEN entropy > bar THEN 1.0 ELSE 0.0 END) AS entropy_high_fraction,
+  avg(coherence) AS coherence_mean, median(coherence) AS coherence_median, avg(CASE WHEN coherence < 0.6 THEN 1.0 ELSE 0.0 END) AS coherence_low_fraction, min(coherence) AS coherence_min,
+  avg(stability) AS stability_mean, median(stability) AS stability_median, avg(CASE WHEN stability < 0.25 THEN 1.0 ELSE 0.0 END) AS stability_low_fraction, quantile_cont(stability, 0.1) AS stability_p10 FROM s, m),
+field AS (SELECT * FROM stats2, spread)"""
+FIELD_VALUES = ("entropy_mean", "entropy_median", "entropy_p90", "entropy_max", "entropy_high_fraction", "coherence_mean", "coherence_median", "coherence_low_fraction", "coherence_min", "stability_mean", "stability_median", "stability_low_fraction", "stability_p10", "doc_stability_spread")
 
-@query(f"""WITH {STABLE}, m AS (SELECT avg(entropy) + stddev_samp(entropy) AS bar FROM coh)
-SELECT round(avg(entropy), 6) AS entropy_mean, round(median(entropy), 6) AS entropy_median, round(quantile_cont(entropy, 0.9), 6) AS entropy_p90, round(avg(CASE WHEN entropy > bar THEN 1.0 ELSE 0.0 END), 6) AS entropy_high_fraction, round(avg(CASE WHEN coherence < 0.6 THEN 1.0 ELSE 0.0 END), 6) AS coherence_low_fraction FROM coh, m""")
+
+def _field(spark, d):
+    weighted = cut(terms.weights(at(spark, d, "documents")))
+    elements = cut(scores.with_stability(_stable(spark, d, weighted)))
+    # The vocabulary bounds what is broadcast.
+    documents = weighted.join(F.broadcast(elements.select("element", "stability")), "element").groupBy("doc_id").agg(F.avg("stability").alias("mean_stability"))
+    return reports.field_stats(elements, documents)
+
+
+@query(f"WITH {FIELD} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in FIELD_VALUES)} FROM field")
 def field_stats(spark, d):
-    s = _stable(spark, d)
-    bar = F.broadcast(s.agg((F.avg("entropy") + F.stddev_samp("entropy")).alias("bar")))
-    part = lambda c: r6(F.avg(F.when(c, 1.0).otherwise(0.0)))
-    return s.crossJoin(bar).agg(r6(F.avg("entropy")).alias("entropy_mean"), r6(F.percentile("entropy", F.lit(0.5))).alias("entropy_median"), r6(F.percentile("entropy", F.lit(0.9))).alias("entropy_p90"), part(F.col("entropy") > F.col("bar")).alias("entropy_high_fraction"), part(F.col("coherence") < 0.6).alias("coherence_low_fraction"))
+    return _field(spark, d).select(*[r6(c).alias(c) for c in FIELD_VALUES])
 
 
-@query("WITH f AS (" + ORACLES["field_stats"] + ") SELECT CAST(entropy_high_fraction > 0.25 AS INT) + CAST(coherence_low_fraction > 0.20 AS INT) AS severity, entropy_high_fraction > 0.25 AS entropy_high, coherence_low_fraction > 0.20 AS coherence_low FROM f")
+@query(f"""WITH {FIELD}, r AS (SELECT list_filter([CASE WHEN entropy_high_fraction > 0.25 THEN 'entropy_high' END, CASE WHEN coherence_low_fraction > 0.20 THEN 'coherence_low' END, CASE WHEN stability_low_fraction > 0.20 THEN 'stability_low' END, CASE WHEN doc_stability_spread > 0.25 THEN 'documents_uneven' END], lambda x: x IS NOT NULL) AS found FROM field)
+SELECT len(found) AS severity, array_to_string(found, ',') AS rules FROM r""")
 def tuning_suggestions(spark, d):
-    f = field_stats(spark, d)
-    high, low = F.col("entropy_high_fraction") > 0.25, F.col("coherence_low_fraction") > 0.20
-    return f.select((high.cast("int") + low.cast("int")).alias("severity"), high.alias("entropy_high"), low.alias("coherence_low"))
+    return reports.suggestions(_field(spark, d))
 
 
 @query(f"""WITH {STABLE}, s AS (SELECT element, coherence / (1 + greatest(entropy, 0.0)) AS stability FROM coh)
 SELECT w.doc_id, round(avg(s.stability), 6) AS mean_stability, count(*) AS n FROM weights w JOIN s ON w.element = s.element GROUP BY w.doc_id""")
 def doc_stability(spark, d):
-    docs = at(spark, d, "documents")
-    s = _stable(spark, d).select("element", scores.stability(F.col("entropy"), F.col("coherence")).alias("stability"))
-    return terms.weights(docs).join(F.broadcast(s), "element").groupBy("doc_id").agg(r6(F.avg("stability")).alias("mean_stability"), F.count("*").alias("n"))
+    weighted = cut(terms.weights(at(spark, d, "documents")))
+    # The vocabulary bounds what is broadcast.
+    s = scores.with_stability(_stable(spark, d, weighted)).select("element", "stability")
+    return weighted.join(F.broadcast(s), "element").groupBy("doc_id").agg(r6(F.avg("stability")).alias("mean_stability"), F.count("*").alias("n"))
 
 
 SIGN = f"""{TOKENS},
@@ -278,7 +311,8 @@ signs AS (SELECT *, -a * log2(a) - b * log2(b) - c * log2(c) - e * log2(e) AS bi
 def _signatures(spark, d):
     raw = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "info").when((F.col("quality") == 0) & (F.col("toxic") == 0), "misinfo").when(F.col("quality") == 0, "propaganda").otherwise("unknown")
     marks = at(spark, d, "labels").select("doc_id", raw.alias("label"))
-    pairs = terms.elements(at(spark, d, "documents"), phrases=False).select("doc_id", "element").distinct()
+    labelled = terms.tokenised(at(spark, d, "documents").join(marks.select("doc_id").distinct(), "doc_id", "left_semi"), phrases=False)
+    pairs = labelled.select("doc_id", F.explode(F.array_distinct("elements")).alias("element")).distinct()
     return terms.signatures(pairs.join(marks, "doc_id").select("element", "label"))
 
 
@@ -354,15 +388,14 @@ def svd_energy(spark, d):
 # ---------------------------------------------------------------- graph
 PAIRS = """occ AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 edges AS (SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS weight FROM occ a JOIN occ b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)"""
-MIN_WEIGHT = 3
+MIN_WEIGHT = 1
 BACKBONE = f"""{PAIRS}, kept AS (SELECT * FROM edges WHERE weight >= {MIN_WEIGHT}),
 scored AS (SELECT *, CASE WHEN max(weight) OVER () > min(weight) OVER () THEN (weight - min(weight) OVER ()) / (max(weight) OVER () - min(weight) OVER ()) ELSE 1.0 END AS scaled_weight,
   ln(1.0 + weight) / ln(1.0 + max(weight) OVER ()) AS confidence,
   row_number() OVER (ORDER BY weight DESC, source, target) <= greatest(1, floor(count(*) OVER () * 0.2)) AS is_backbone FROM kept),
 sides AS (SELECT source AS node, target AS other, weight, confidence FROM scored UNION ALL SELECT target, source, weight, confidence FROM scored),
 degrees AS (SELECT node, count(*) AS degree, avg(weight * confidence) AS local_stability FROM sides GROUP BY node)"""
-COMPONENTS = f"""{BACKBONE}, reach AS (SELECT node, node AS other FROM degrees UNION SELECT r.node, b.other FROM reach r JOIN sides b ON r.other = b.node),
-comps AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+COMPONENTS = f"""{BACKBONE}, comps(node, component) USING KEY (node) AS (SELECT node, node FROM degrees UNION SELECT b.other, min(r.component) FROM comps r JOIN sides b ON r.node = b.node JOIN recurring.comps o ON o.node = b.other WHERE r.component < o.component GROUP BY b.other),
 members AS (SELECT *, printf('C%04d', dense_rank() OVER (ORDER BY component)) AS compound_id FROM comps)"""
 
 
@@ -371,11 +404,12 @@ def _pairs(spark, d):
 
 
 def _scored(spark, d):
-    return graph.with_scores(_pairs(spark, d).filter(F.col("weight") >= MIN_WEIGHT))
+    """The scored edges, made once."""
+    return cut(graph.with_weights(cut(_pairs(spark, d).filter(F.col("weight") >= MIN_WEIGHT))))
 
 
-def _members(spark, d):
-    return graph.named(graph.components(_scored(spark, d)))
+def _members(edges):
+    return cut(graph.named(graph.components(edges)))
 
 
 @query(f"WITH {PAIRS} SELECT * FROM edges")
@@ -390,7 +424,7 @@ def edges_topk_pruned(spark, d):
 
 @query(f"WITH {BACKBONE} SELECT source, target, weight, round(scaled_weight, 6) AS scaled_weight, round(confidence, 6) AS confidence, is_backbone FROM scored")
 def edges_scaled_backbone(spark, d):
-    return _scored(spark, d).select("source", "target", "weight", r6("scaled_weight").alias("scaled_weight"), r6("confidence").alias("confidence"), "is_backbone")
+    return graph.with_backbone(_scored(spark, d)).select("source", "target", "weight", r6("scaled_weight").alias("scaled_weight"), r6("confidence").alias("confidence"), "is_backbone")
 
 
 @query(f"WITH {BACKBONE} SELECT node, degree, round(local_stability, 6) AS local_stability FROM degrees")
@@ -405,19 +439,22 @@ def connected_components(spark, d):
 
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT m.compound_id, m.node, d.degree, round(d.local_stability, 6) AS local_stability, round(p_retailprice, 2) AS price FROM members m JOIN degrees d ON m.node = d.node JOIN part ON p_partkey = m.node")
 def molecules(spark, d):
-    df = _members(spark, d).join(graph.local_stability(_scored(spark, d)), "node").join(at(spark, d, "part"), F.col("node") == F.col("p_partkey"))
+    edges = _scored(spark, d)
+    df = _members(edges).join(graph.local_stability(edges), "node").join(at(spark, d, "part"), F.col("node") == F.col("p_partkey"))
     return df.select("compound_id", "node", "degree", r6("local_stability").alias("local_stability"), F.round("p_retailprice", 2).alias("price"))
 
 
 @query(f"""WITH RECURSIVE {COMPONENTS}, n AS (SELECT compound_id, count(*) AS n_elements FROM members GROUP BY 1), e AS (SELECT m.compound_id, count(*) AS n_bonds, avg(weight) AS stability FROM scored s JOIN members m ON s.source = m.node GROUP BY 1)
 SELECT n.compound_id, n_elements, n_bonds, round(stability, 6) AS stability FROM n LEFT JOIN e ON n.compound_id = e.compound_id""")
 def compounds(spark, d):
-    return graph.compounds(_scored(spark, d), _members(spark, d)).select("compound_id", "n_elements", "n_bonds", r6("stability").alias("stability"))
+    edges = _scored(spark, d)
+    return graph.compounds(edges, _members(edges)).select("compound_id", "n_elements", "n_bonds", r6("stability").alias("stability"))
 
 
 @query(f"""WITH RECURSIVE {COMPONENTS} SELECT m.compound_id, count(*) AS n_elements, round(avg(d.local_stability), 6) AS mean_stability, round(var_pop(d.local_stability), 6) + 0.0 AS stability_variance FROM members m JOIN degrees d ON m.node = d.node GROUP BY 1""")
 def compound_stability(spark, d):
-    df = _members(spark, d).join(graph.local_stability(_scored(spark, d)), "node")
+    edges = _scored(spark, d)
+    df = _members(edges).join(graph.local_stability(edges), "node")
     return df.groupBy("compound_id").agg(F.count("*").alias("n_elements"), r6(F.avg("local_stability")).alias("mean_stability"), (r6(F.var_pop("local_stability")) + 0.0).alias("stability_variance"))
 
 
@@ -442,23 +479,24 @@ imp AS (SELECT *, CASE WHEN max(raw) OVER () > min(raw) OVER () THEN (raw - min(
 
 def _important(spark, d):
     edges = _scored(spark, d)
-    z = graph.degree(edges).join(at(spark, d, "part"), F.col("node") == F.col("p_partkey")).select("node", scores.clipped_z(F.col("p_retailprice")).alias("z"), F.col("p_brand").alias("root"))
-    return graph.with_importance(edges, graph.named(graph.components(edges)), z)
+    nodes = cut(graph.degree(edges).join(at(spark, d, "part"), F.col("node") == F.col("p_partkey")).select("node", "p_retailprice", F.col("p_brand").alias("root")))
+    members = _members(edges)
+    return cut(graph.with_importance(edges, members, scores.with_clipped_z(nodes, F.col("p_retailprice"), "z").select("node", "z", "root"))), members
 
 
 @query(f"WITH RECURSIVE {IMPORTANCE} SELECT source, target, round(importance, 5) + 0.0 AS importance FROM imp")
 def edge_importance(spark, d):
-    return _important(spark, d).select("source", "target", (F.round("importance", 5) + 0.0).alias("importance"))
+    return _important(spark, d)[0].select("source", "target", (F.round("importance", 5) + 0.0).alias("importance"))
 
 
 @query(f"WITH RECURSIVE {IMPORTANCE} SELECT source, target FROM imp WHERE importance >= (SELECT quantile_cont(importance, 0.5) FROM imp)")
 def prune_median(spark, d):
-    return graph.prune(_important(spark, d), F.col("importance"), 0.5).select("source", "target")
+    return graph.prune(_important(spark, d)[0], F.col("importance"), 0.5).select("source", "target")
 
 
 @query(f"WITH RECURSIVE {IMPORTANCE} SELECT source, target FROM imp WHERE importance >= (SELECT coalesce(quantile_cont(importance, 0.5) FILTER (uz > 0 AND vz > 0), quantile_cont(importance, 0.5)) FROM imp)")
 def prune_thermal(spark, d):
-    return graph.prune(_important(spark, d), F.col("importance"), 0.5, (F.col("source_z") > 0) & (F.col("target_z") > 0)).select("source", "target")
+    return graph.prune(_important(spark, d)[0], F.col("importance"), 0.5, (F.col("source_z") > 0) & (F.col("target_z") > 0)).select("source", "target")
 
 
 RARE = f"""{IMPORTANCE}, sizes AS (SELECT compound_id, count(*) AS size FROM members GROUP BY 1), rare AS (SELECT source, target, round(importance / (sqrt(a.size) + sqrt(b.size)), 9) AS s FROM imp JOIN sizes a ON uc = a.compound_id JOIN sizes b ON vc = b.compound_id)"""
@@ -466,15 +504,15 @@ RARE = f"""{IMPORTANCE}, sizes AS (SELECT compound_id, count(*) AS size FROM mem
 
 @query(f"WITH RECURSIVE {RARE} SELECT source, target FROM rare WHERE s >= (SELECT quantile_cont(s, 0.4) FROM rare)")
 def prune_rarity(spark, d):
-    edges = _important(spark, d)
-    sizes = _members(spark, d).groupBy("compound_id").agg(F.count("*").alias("size"))
+    edges, members = _important(spark, d)
+    sizes = members.groupBy("compound_id").agg(F.count("*").alias("size"))
     named = edges.join(sizes.select(F.col("compound_id").alias("source_c"), F.col("size").alias("a")), "source_c").join(sizes.select(F.col("compound_id").alias("target_c"), F.col("size").alias("b")), "target_c")
     return graph.prune(named, F.round(F.col("importance") / (F.sqrt("a") + F.sqrt("b")), 9), 0.4).select("source", "target")
 
 
 @query(f"WITH RECURSIVE {IMPORTANCE} SELECT source, target FROM imp ORDER BY round(importance, 9) DESC, source, target LIMIT 2000")
 def prune_topk(spark, d):
-    return _important(spark, d).orderBy(F.desc(F.round("importance", 9)), "source", "target").limit(2000).select("source", "target")
+    return _important(spark, d)[0].orderBy(F.desc(F.round("importance", 9)), "source", "target").limit(2000).select("source", "target")
 
 
 @query(f"""WITH {BACKBONE}, q AS (SELECT quantile_cont(degree, 0.25) AS a, quantile_cont(degree, 0.5) AS b, quantile_cont(degree, 0.75) AS c FROM degrees)
@@ -514,7 +552,7 @@ SELECT pct, count(DISTINCT t.node) AS n_nodes, (SELECT count(*) FROM scored s WH
 def snapshot_pct(spark, d):
     edges = _scored(spark, d)
     deg = graph.degree(edges)
-    placed = deg.withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "node"))).crossJoin(F.broadcast(deg.agg(F.count("*").alias("n"))))
+    placed = ranked(deg, F.desc("degree"), F.col("node")).crossJoin(F.broadcast(deg.agg(F.count("*").alias("n"))))
     top = placed.withColumn("pct", F.explode(F.array(*map(F.lit, (1, 5, 10, 25, 50, 100))))).filter(F.col("place") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.col("pct") / 100.0, 0))).select("pct", "node")
     inner = edges.join(top.select("pct", F.col("node").alias("source")), "source").join(top.select("pct", F.col("node").alias("target")), ["pct", "target"]).groupBy("pct").agg(F.count("*").alias("n_edges"))
     return top.groupBy("pct").agg(F.count("*").alias("n_nodes")).join(inner, "pct", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
@@ -547,7 +585,9 @@ def timeline_pivot(spark, d):
 
 @query("SELECT CAST(CAST(e.ts AS DATE) AS VARCHAR) AS day, o.o_orderpriority AS priority, count(*) AS n FROM events e JOIN orders o ON e.user_id = o.o_custkey GROUP BY ALL")
 def chronology(spark, d):
-    return at(spark, d, "events").join(at(spark, d, "orders"), F.col("user_id") == F.col("o_custkey")).groupBy(F.to_date("ts").cast("string").alias("day"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    seen = at(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("a"))
+    bought = at(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("b"))
+    return seen.join(bought, "user_id").groupBy("day", "priority").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_before FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id")
@@ -561,9 +601,10 @@ def docs_without_events(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY ALL)
-SELECT user_id, day, len(v) AS n, round(list_reduce(v, lambda a, x: 0.7 * a + 0.3 * x), 4) AS smoothed FROM e""")
+SELECT user_id, day, len(v) AS n, list_reduce(v, lambda a, x: 0.7 * a + 0.3 * x) AS smoothed FROM e""")
 def temporal_decay(spark, d):
-    return timeline.decay(at(spark, d, "events")).select("user_id", "day", "n", F.round("smoothed", 4).alias("smoothed"))
+    """Not rounded: both engines do the same operations in the same order."""
+    return timeline.decay(at(spark, d, "events"))
 
 
 @query("""WITH s AS (SELECT event_type, min(epoch_ms(ts)) AS a, max(epoch_ms(ts)) AS b FROM events GROUP BY 1), g AS (SELECT min(a) AS lo, max(b) AS hi FROM s)
@@ -582,9 +623,10 @@ def stream_window_counts(spark, d):
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total").alias("total"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1) SELECT event_type, len(v) AS n, round(list_reduce(v, lambda a, x: 0.7 * a + 0.3 * x), 6) AS smoothed FROM e""")
 def stream_smoothing(spark, d):
-    return streams.run_once(streams.smoothing(streams.stream(spark, d, "events")), "update")
+    found = streams.run_once(streams.smoothing(streams.stream(spark, d, "events")), "update")
+    return found.groupBy("event_type").agg(F.max("n").alias("n"), r6(F.max_by("smoothed", "n")).alias("smoothed"))
 
 
 # ---------------------------------------------------------------- service
@@ -616,7 +658,7 @@ def verify_manifest(spark, d):
 def element_detail(spark, d):
     edges = _scored(spark, d)
     lines = at(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("n_lines"))
-    df = _members(spark, d).join(graph.degree(edges), "node").join(at(spark, d, "part"), F.col("node") == F.col("p_partkey")).join(lines, "node", "left")
+    df = _members(edges).join(graph.degree(edges), "node").join(at(spark, d, "part"), F.col("node") == F.col("p_partkey")).join(lines, "node", "left")
     return df.select("node", "compound_id", "degree", "p_name", "p_brand", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 

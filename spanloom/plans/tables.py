@@ -1,25 +1,58 @@
-"""Tables that cut a lineage, in the folder that driver and executors share."""
+"""Tables that cut a lineage, in the folder that driver and executors share, and ranks over whole tables."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spanloom-")
+        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/spanloom-{uuid.uuid4().hex}"
+    """The rows as a table in the shared folder."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._cut = path
+    return found
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes a table that cut() made and that is not read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ranked(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """Adds the place (from 1) of each row in an order that has no ties.
+
+    Rows are range-partitioned and numbered inside their partition; what comes before is a table with a row for each
+    partition, so no task sees more than one partition's rows.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # A row for each shuffle partition is broadcast.
+    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in") + F.col("_offset")).cast("int")).drop("_part", "_in", "_offset")

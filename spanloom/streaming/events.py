@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.plans.tables import shared_folder
+from spanloom.plans.tables import new_path
 
 
 def stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 5) -> DataFrame:
@@ -24,13 +22,12 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour")
 
 
 def smoothing(events: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """event_type, n, smoothed: exponential smoothing whose state outlives the batches."""
+    """event_type, n, smoothed: exponential smoothing whose state outlives the batches; a batch's values go in order of time."""
 
     def update(key, frames, state: GroupState):
         n, value = state.get if state.exists else (0, None)
-        for frame in frames:
-            for x in frame.sort_values(["ts", "event_id"])["value"]:
-                value, n = (x if value is None else (1 - alpha) * value + alpha * x), n + 1
+        for x in pd.concat(frames).sort_values(["ts", "event_id"])["value"]:
+            value, n = (x if value is None else (1 - alpha) * value + alpha * x), n + 1
         state.update((n, value))
         yield pd.DataFrame({"event_type": [key[0]], "n": [n], "smoothed": [value]})
 
@@ -38,8 +35,15 @@ def smoothing(events: DataFrame, alpha: float = 0.3) -> DataFrame:
 
 
 def run_once(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream yields when all input at hand has been read."""
-    spark, name = df.sparkSession, f"s{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    """What a stream yields when all input at hand has been read: the last batch in complete mode, else all batches.
+
+    Batches are written to the shared folder by the executors; a batch that is run again replaces its files.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    query = df.writeStream.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/out/batch={k}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    batches = query.lastProgress is not None and spark.read.schema(df.schema.add("batch", "long")).parquet(f"{path}/out")
+    if batches is False:
+        return spark.createDataFrame([], df.schema)
+    last = batches.agg(F.max("batch").alias("_last"))
+    return (batches.crossJoin(F.broadcast(last)).filter("batch = _last") if mode == "complete" else batches).select(*df.columns)

@@ -128,6 +128,27 @@ def edge_kind(given: Column, compound: Column, weight: Column) -> Column:
     return F.coalesce(given, F.when(compound.isNotNull(), "compound").when(weight < 0.15, "semantic").otherwise("cooccur"))
 
 
+def event_class(c: Column) -> Column:
+    """A classification by its first letters; what is unknown or missing counts as information."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(t.startswith("dis"), "Disinformation").when(t.startswith("mis"), "Misinformation").when(t.startswith("pri"), "Information (Primary source)").when(t.startswith("cor"), "Information (Corrective)").otherwise("Information")
+
+
+def timeline_class(c: Column) -> Column:
+    """The same with four classes; what is unknown or missing is unclassified."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(t.startswith("dis"), "Disinformation").when(t.startswith("mis"), "Misinformation").when(t.startswith("pri") | t.startswith("cor") | t.startswith("info"), "Information").otherwise("Unclassified")
+
+
+def finite(c: Column) -> Column:
+    """Null in place of NaN and infinities."""
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+
+
+def code_score(overlap: Column, path_hits: Column, size: Column) -> Column:
+    return overlap + 1.5 * path_hits + 2000.0 / (1000.0 + size)
+
+
 def search_score(text: Column, needle: str) -> Column:
     """One over one plus the place of the match; null without one."""
     at = F.instr(F.lower(text), needle.lower())

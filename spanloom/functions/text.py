@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
+import keyword
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ STRUCTURAL = ("label", "fig", "tab", "table", "eq", "chap", "sec", "subsec", "re
 LATEX = ("(?s)\\\\begin\\{[^}]+\\}.*?\\\\end\\{[^}]+\\}", "\\$[^$]*\\$", "(?s)\\\\\\[.*?\\\\\\]", "\\\\[a-zA-Z]+(\\*?)\\s*(\\[[^\\]]*\\])?(\\{[^}]*\\})?", "(?m)^[-=]{3,}\\s*$")
 KINDS = (("pdf", (".pdf",)), ("latex", (".tex", ".latex")), ("python", (".py",)), ("c_like", (".c", ".h", ".cpp", ".hpp", ".cc", ".java")), ("html", (".html", ".htm")))
 CLASSES = (("theory", ("paper1", "paper2", "k-it", "epistemic", "methodology", "theory", "introduction")), ("case", ("connor", "reed", "case", "misinfo", "social", "covid")))
+#: Names that Python itself has.
+RESERVED = sorted({x.lower() for x in (*keyword.kwlist, *dir(builtins)) if x.isalpha() and len(x) > 2})
 SPACE = "[\\t-\\r \\x85\\xA0]"
 WORD = "[A-Za-z][A-Za-z-]{2,}"
 SUFFIXES = ("ing", "ers", "er", "ed")
@@ -127,3 +132,15 @@ def code_words(c: Column) -> Column:
     """Identifiers split at case changes and underscores, lower-cased, at least three letters."""
     parts = F.regexp_extract_all(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), F.lit("[A-Za-z]{3,}"), 0)
     return F.transform(parts, lambda x: F.lower(x))
+
+
+def code_tokens(c: Column) -> Column:
+    """Words of comments and docstrings first, then of the code without them and without paths; no keywords or built-in names."""
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, '(?s)""".*?"""', " "), "(?m)#.*$", " "), "[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]+", " ")
+    words = F.concat(code_words(F.array_join(comments(c), "\n")), code_words(body))
+    return F.filter(words, lambda x: ~x.isin(*RESERVED))
+
+
+def word_characters(c: Column) -> Column:
+    """Lower-cased runs of letters, digits, _ and -."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}_-]+"), 0)

@@ -60,6 +60,64 @@ def with_scores(edges: DataFrame, share: float = 0.2) -> DataFrame:
     return with_backbone(with_weights(edges), share)
 
 
+def coerced(raw: DataFrame) -> DataFrame:
+    """Edges whose weights are numbers; what is none counts as 0."""
+    return raw.withColumn("weight", F.coalesce(F.expr("try_cast(weight as double)"), F.lit(0.0)))
+
+
+def valid(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Edges of positive weight between known nodes, no loops."""
+    at = lambda df, side: df.select(F.col("node").alias(side))
+    kept = edges.filter("source <> target AND weight > 0").join(at(sources, "source"), "source", "left_semi")
+    return kept.join(at(sources if targets is None else targets, "target"), "target", "left_semi").select(*edges.columns)
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, other, weight: both directions of the edges of some nodes."""
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").union(edges.select("target", "source", "weight"))
+    return both.join(nodes, "node", "left_semi")
+
+
+def large_components(members: DataFrame, least: int) -> DataFrame:
+    """Members of components of at least `least` nodes; of all if there are none. members: node, component."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("_size"))
+    some = F.broadcast(sizes.agg(F.max("_size").alias("_most")))
+    return members.join(sizes, "component").crossJoin(some).filter((F.col("_size") >= least) | (F.col("_most") < least)).select(*members.columns)
+
+
+def compound_aggregates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each component. nodes: node, component, local_stability, temperature, coherence, info, mis, dis.
+
+    Bonds count if both ends are in the component; without one the mean of local stabilities stands in for theirs.
+    """
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    inner = edges.join(at("source"), "source").join(at("target"), "target").filter("source_c = target_c").groupBy(F.col("source_c").alias("component")).agg(F.count("*").alias("num_bonds"), F.avg("weight").alias("_w"))
+    mean = {"mean_local_stability": "local_stability", "mean_temperature": "temperature", "mean_info": "info", "mean_misinfo": "mis", "mean_disinfo": "dis", "mean_coherence": "coherence"}
+    own = nodes.groupBy("component").agg(F.countDistinct("node").alias("num_elements"), *[F.avg(c).alias(k) for k, c in mean.items()], F.var_pop("local_stability").alias("stability_variance"))
+    joined = own.join(inner, "component", "left")
+    return joined.withColumn("num_bonds", F.coalesce("num_bonds", F.lit(0))).withColumn("compound_stability", F.coalesce("_w", "mean_local_stability")).drop("_w")
+
+
+def structure(nodes: DataFrame, edges: DataFrame, freq: DataFrame, rare: float) -> DataFrame:
+    """node, is_isolate, is_leaf, is_rare_leaf, in_chain. freq: node, df; rare: up to that share of the mean frequency."""
+    chain = chains(edges).select("node", F.lit(True).alias("_chain"))
+    bar = F.broadcast(freq.agg(F.avg("df").alias("_mean")))
+    j = nodes.join(degree(edges), "node", "left").join(freq, "node", "left").join(chain, "node", "left").crossJoin(bar)
+    leaf = F.coalesce(F.col("degree") == 1, F.lit(False))
+    return j.select("node", F.col("degree").isNull().alias("is_isolate"), leaf.alias("is_leaf"), F.coalesce(leaf & (F.col("df") <= rare * F.col("_mean")), F.lit(False)).alias("is_rare_leaf"), F.coalesce("_chain", F.lit(False)).alias("in_chain"))
+
+
+def pruned(edges: DataFrame, mode: str = "none", k: int = 2_000) -> DataFrame:
+    """Edges by a named rule: median, thermal, topk; any other keeps all. edges: importance, source_z, target_z."""
+    if mode == "median":
+        return prune(edges, F.col("importance"), 0.5)
+    if mode == "thermal":
+        return prune(edges, F.col("importance"), 0.5, (F.col("source_z") > 0) & (F.col("target_z") > 0))
+    if mode == "topk":
+        return edges.orderBy(F.desc(F.round("importance", 9)), "source", "target").limit(k)
+    return edges
+
+
 def ends(edges: DataFrame, *columns: str) -> DataFrame:
     """node and the edge's columns, a row for either end."""
     return edges.select(F.explode(F.array("source", "target")).alias("node"), *columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import scores
+from spanloom.functions import scores, text
 from spanloom.plans.tables import cut
 
 
@@ -18,6 +18,15 @@ def search(found: list[tuple[str, DataFrame, str, str]], needle: str, limit: int
     return out.orderBy(F.desc("score"), "kind", "id").limit(limit)
 
 
+def code_search(shelf: DataFrame, needle: str, limit: int = 20, most: int = 16_000) -> DataFrame:
+    """path, score: files by how often their first characters have the needle's words, by their path, and the shorter the better. shelf: path, text."""
+    words = [w for w in dict.fromkeys(needle.lower().split())]
+    found = F.size(F.filter(text.word_characters(F.substring("text", 1, most)), lambda x: x.isin(*words)))
+    hits = sum((F.lower("path").contains(w).cast("int") for w in words), F.lit(0))
+    scored = shelf.select("path", found.alias("overlap"), hits.alias("hits"), F.octet_length("text").alias("size")).filter("overlap > 0")
+    return scored.select("path", scores.code_score(F.col("overlap"), F.col("hits"), F.col("size")).alias("score")).orderBy(F.desc("score"), "path").limit(limit)
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
@@ -16,15 +16,21 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(text.spans(F.col("text"))).alias("position", "span"))
 
 
+def _parts(phrases: bool) -> Column:
+    return F.concat("tokens", text.bigrams("tokens")) if phrases else F.col("tokens")
+
+
 def tokenised(docs: DataFrame, phrases: bool = True) -> DataFrame:
     """doc_id, position, elements: tokens of each span and phrases of two tokens in a row (no shuffle)."""
-    df = spans(docs).withColumn("tokens", text.tokens(F.col("span")))
-    return df.select("doc_id", "position", (F.concat("tokens", text.bigrams("tokens")) if phrases else F.col("tokens")).alias("elements"))
+    return spans(docs).withColumn("tokens", text.tokens(F.col("span"))).select("doc_id", "position", _parts(phrases).alias("elements"))
 
 
 def elements(docs: DataFrame, phrases: bool = True) -> DataFrame:
-    """doc_id, position, element: a row for each occurrence."""
-    return tokenised(docs, phrases).select("doc_id", "position", F.explode("elements").alias("element"))
+    """doc_id, position, element: a row for each occurrence.
+
+    The array is made inside the explode: a filter on its size would be inferred for a column, and make it again for each token.
+    """
+    return spans(docs).withColumn("tokens", text.tokens(F.col("span"))).select("doc_id", "position", F.explode(_parts(phrases)).alias("element"))
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:

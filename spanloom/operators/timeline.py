@@ -6,9 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def daily_pivot(events: DataFrame, kinds: list[str]) -> DataFrame:
-    """day and a count for each kind."""
-    return events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(*[F.count(F.when(F.col("event_type") == k, 1)).alias(f"n_{k}") for k in kinds])
+def step_intervals(log: DataFrame, step: str, starts: list[str], ends: list[str]) -> DataFrame:
+    """position and width of each step from its last start to its last end, as shares of the whole time; a missing end is a millisecond later."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    last = lambda kinds: F.max(F.when(F.col("event_type").isin(*kinds), ms))
+    s = log.groupBy(step).agg(last(starts).alias("a"), last(ends).alias("b")).filter("a IS NOT NULL").withColumn("b", F.coalesce("b", F.col("a") + 1))
+    s = s.crossJoin(F.broadcast(s.agg(F.min("a").alias("lo"), F.max("b").alias("hi"))))
+    span = F.col("hi") - F.col("lo")
+    return s.select(step, ((F.col("a") - F.col("lo")) / span).alias("position"), ((F.col("b") - F.col("a")) / span).alias("width"))
+
+
+def until(events: DataFrame, members: DataFrame, moment: str) -> DataFrame:
+    """compound, n_events, last of the members' events up to a moment. members: user_id, compound."""
+    early = events.filter(F.col("ts") <= F.lit(moment).cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("k"), F.max("ts").alias("t"))
+    return early.join(members, "user_id").groupBy("compound").agg(F.sum("k").alias("n_events"), F.max("t").alias("last"))
 
 
 def as_of(events: DataFrame, moment: str) -> DataFrame:

@@ -697,3 +697,6 @@ n AS (SELECT word, nxt, count(*) AS n FROM q GROUP BY ALL), t AS (SELECT word, s
 SELECT doc_id, round(exp(-avg(ln((n + 1.0) / (total + v)))), 4) AS perplexity, count(*) AS n_pairs FROM q JOIN n USING (word, nxt) JOIN t USING (word), v GROUP BY doc_id""")
 def bigram_perplexity(spark, d):
     return language.bigram_perplexity(_talk(spark, d)).select("doc_id", F.round("perplexity", 4).alias("perplexity"), "n_pairs")
+
+
+from spanloom.plans import library  # noqa: E402, F401  registers its queries here

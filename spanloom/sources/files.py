@@ -9,6 +9,19 @@ from pyspark.sql import types as T
 from spanloom.functions import text
 
 TEXT_SUFFIXES = (".txt", ".md", ".csv", ".json", ".tex")
+TABLE_SUFFIXES = (".csv", ".json", ".txt")
+
+
+def suffix_of(path):
+    return F.lower(F.regexp_extract(text.base_name(path), "(\\.[^.]+)$", 1))
+
+
+def is_text(path):
+    return suffix_of(path).isin(*TEXT_SUFFIXES)
+
+
+def is_table(path):
+    return suffix_of(path).isin(*TABLE_SUFFIXES)
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:

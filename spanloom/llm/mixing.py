@@ -7,7 +7,7 @@ the rest of the prefix. A source's budget is its target in whole words: as many
 documents in key order up to the remainder, the last of them in part.
 
 Defined cases: null texts have size 0; a null source is a source of its own and comes last; null ids are keyed
-like the empty string; repeated rows are separate documents; an empty table gives an empty result; if all sizes
+by their text, so that many of them spread like others; repeated rows are separate documents; an empty table gives an empty result; if all sizes
 are 0, so is every target. Other columns of the input are ignored.
 """
 
@@ -40,9 +40,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 11, rows_per_range: int = 2_000, carry: Sequence[str] = ()) -> DataFrame:
     """The columns to carry, doc_id, source, size, source_size, target, epochs (whole ones), taken: how many words of each document the mix takes."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(*carry, "doc_id", "source", F.size(common.words_of(F.col("text"))).cast("long").alias("size"))
-    keyed = sized.withColumns({"key": key, "skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+    sized = docs.select(*carry, "doc_id", "source", F.size(common.words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"))
+    keyed = sized.withColumns({"skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
     keyed, _ = common.written(keyed, "sizes")
     sizes = keyed.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, weights, max_epochs).select("skey", "source_size", "target", F.ceil(F.col("n") / rows_per_range).alias("n_ranges"))
@@ -69,7 +70,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 #: DuckDB SQL for the rows of mix() over a relation {docs}.
 MIX_SQL = r"""
 sized AS (
-  SELECT doc_id, source, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key,
     CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size
   FROM {docs}),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),

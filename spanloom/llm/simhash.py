@@ -7,7 +7,8 @@ within four bits of y. So a segment's keys are the indices of all codewords with
 and if that is three bits away also the five at distance four.
 
 Of three or fewer errors over three segments two segments have at most one each. The keys of each pair of segments
-are the pairs of codeword indices; two fingerprints within three bits share one of them. Distinct fingerprints are
+are the pairs of codeword indices; two fingerprints within three bits share one of them. Tables of very many
+fingerprints get wider keys in the same way, of one whole quarter and two others' indices. Distinct fingerprints are
 dealt by these keys, and in each bucket a search that takes one fingerprint at a time against those not reached
 yet links all that are within three bits of another: at most one link for each fingerprint instead of all pairs,
 with the same components. Every link is verified on the whole fingerprint.
@@ -46,6 +47,8 @@ SEED = 42
 GENERATOR = 0b110001110101
 #: Lowest bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints from which on keys are wide: buckets of the short ones would hold some 30 by chance.
+WIDE_FROM = 20_000_000
 #: Bits of the parities of a shingle set.
 PARITY_BITS = 1024
 
@@ -84,16 +87,32 @@ class Golay:
         errors = self.table[syndromes(segment)]
         return np.where(errors < 0, -1, (segment.astype(np.int64)[:, None] ^ errors) >> 11)
 
-    def bucket_keys(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and keys of all pairs of segments."""
+    def bucket_keys(self, prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and keys: of all pairs of three segments, or (wide) of one whole quarter and two others."""
+        return self._quarters(prints) if wide else self._pairs(prints)
+
+    def _both(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and pairs of indices, 24 bits."""
+        ok = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
+        return np.nonzero(ok)[0], ((a[:, :, None] << 12) | b[:, None, :])[ok]
+
+    def _pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         each = [self.keys(((prints >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)) for low, width in SEGMENTS]
         rows, out = [], []
         for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            both = (each[a][:, :, None] << 12) | each[b][:, None, :]
-            ok = (each[a][:, :, None] >= 0) & (each[b][:, None, :] >= 0)
-            row = np.nonzero(ok)[0]
+            row, key = self._both(each[a], each[b])
             rows.append(row)
-            out.append((both[ok] | (pair << 24)).astype(np.int64))
+            out.append(key | (pair << 24))
+        return np.concatenate(rows), np.concatenate(out)
+
+    def _quarters(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Three errors over four quarters leave one without any and two more with at most one each."""
+        quarters = [((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4)]
+        each, rows, out = [self.keys(q) for q in quarters], [], []
+        for kind, (whole, a, b) in enumerate((w, x, y) for w in range(4) for x in range(4) for y in range(x + 1, 4) if w not in (x, y)):
+            row, key = self._both(each[a], each[b])
+            rows.append(row)
+            out.append(key | quarters[whole][row] << 24 | kind << 40)
         return np.concatenate(rows), np.concatenate(out)
 
 
@@ -179,7 +198,7 @@ def dealt_links(keyed: DataFrame, bits: int) -> DataFrame:
     """(u, v) of prints that meet under a key and are linked in its bucket's forest. keyed: key, print."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        keys, prints = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def done(keys: np.ndarray, prints: np.ndarray) -> dict:
             a, b = links_of(keys, prints, bits)
@@ -198,18 +217,23 @@ def dealt_links(keyed: DataFrame, bits: int) -> DataFrame:
     return common.arrow_map(dealt, meet, "u long, v long", 1 << 16).distinct()
 
 
-def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """(u, v) of distinct fingerprints (column print): a forest in each bucket, whose union connects all within `bits`."""
+def links(distinct: DataFrame, bits: int = 3, wide: bool | None = None) -> DataFrame:
+    """(u, v) of distinct fingerprints (column print): a forest in each bucket, whose union connects all within `bits`.
+
+    Both kinds of keys are complete. The short ones are about 85 of 25 bits a fingerprint; a table of over WIDE_FROM
+    fingerprints gets the wide ones, about 340 of 44 bits, so that its buckets stay small.
+    """
+    wide = distinct.count() > WIDE_FROM if wide is None else wide
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         golay = Golay()
         for batch in batches:
             prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(prints), 4096):
-                rows, keys = golay.bucket_keys(prints[k : k + 4096])
-                yield {"key": pa.array(keys.astype(np.int32)), "print": pa.array(prints[k : k + 4096][rows].view(np.int64))}
+            for k in range(0, len(prints), 1024):
+                rows, keys = golay.bucket_keys(prints[k : k + 1024], wide)
+                yield {"key": pa.array(keys.astype(np.int64 if wide else np.int32)), "print": pa.array(prints[k : k + 1024][rows].view(np.int64))}
 
-    return dealt_links(common.arrow_map(distinct.select("print"), emit, "key int, print long"), bits)
+    return dealt_links(common.arrow_map(distinct.select("print"), emit, f"key {'long' if wide else 'int'}, print long"), bits)
 
 
 def with_components(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:

@@ -350,3 +350,26 @@ def test_pipeline(spark):
         if name in ("quality", "near_dedup"):
             assert docs.join(before, before.columns, "left_semi").count() == docs.count() > 0
     assert docs.filter("NOT round_trip").count() == 0
+
+
+def test_wide_keys_are_complete(spark):
+    golay, rng = simhash.Golay(), np.random.default_rng(8)
+    x = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    pairs = [set(zip(*(v.tolist() for v in golay.bucket_keys(z, True)), strict=True)) for z in (x, y)]
+    assert {r for r, _ in pairs[0] & pairs[1]} == set(range(300))
+    prints = spark.createDataFrame([(int(v),) for v in np.concatenate((x, y)).view(np.int64)], "print long").distinct()
+    found = [sorted(map(tuple, components.components(simhash.links(prints, wide=w)).collect())) for w in (False, True)]
+    assert found[0] == found[1]
+
+
+def test_mixing_of_null_ids_against_sql(spark, tmp_path):
+    rows = [(None if k % 3 else k, f"word {k} " * (k % 9), None if k % 5 == 0 else f"s{k % 4}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    said = sorted(con.sql(mixing.OP8_SQL).fetchall(), key=str)
+    assert sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str) == said

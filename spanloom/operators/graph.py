@@ -225,6 +225,73 @@ def chains(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component").filter("size >= 2").select("node", F.col("component").alias("chain"))
 
 
+def communities(edges: DataFrame, rounds: int = 24) -> DataFrame:
+    """node, community: nodes move to the neighbouring community that raises modularity most, in turns of half of them, until none does.
+
+    Only half of the nodes, dealt by a hash anew each round, may move at a time, so that neighbours do not change
+    places forever. The round with the best modularity is the result; a community is named by its least node.
+    """
+    both = cut(edges.select("source", "target").union(edges.select("target", "source")))
+    deg = cut(both.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("k")))
+    m2 = both.count()
+    labels = cut(deg.select("node", F.col("node").alias("c")))
+    best, kept, still = None, labels, 0
+    for turn in range(rounds):
+        total = cut(labels.join(deg, "node").groupBy("c").agg(F.sum("k").alias("sigma")))
+        links = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node"), "c").agg(F.count("*").alias("links"))
+        seen = cut(links.join(labels.withColumnRenamed("c", "own"), "node").join(deg, "node").join(total, "c"))
+        inside = seen.filter("c = own").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("x")).head()[0]
+        value = inside / m2 - (total.agg(F.sum((F.col("sigma") / m2) ** 2)).head()[0] or 0.0) if m2 else 0.0
+        if best is None or value > best + 1e-12:
+            best, kept, still = value, labels, 0
+        else:
+            still += 1
+        if still >= 4:
+            break
+        # What a node finds in its own community does not count itself.
+        gain = F.round(F.col("links") - F.col("k") * (F.col("sigma") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / m2, 9)
+        alone = seen.groupBy("node").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("o"), (-F.col("c")).alias("n"))).alias("to"), F.max(gain).alias("g"))
+        may = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0) & (F.col("g") > 0)
+        labels = cut(labels.join(alone, "node", "left").select("node", F.when(may, F.col("to")).otherwise(F.col("c")).alias("c")))
+        remove(total)
+        remove(seen)
+    names = kept.groupBy("c").agg(F.min("node").alias("community"))
+    return kept.join(names, "c").select("node", "community")
+
+
+def spectral_gap(edges: DataFrame, most: int = 2_000) -> float:
+    """The second less the first eigenvalue of the normalised Laplacian of a graph of at most `most` nodes; 0 under three nodes."""
+    import numpy as np
+
+    nodes = [r[0] for r in degree(edges).select("node").orderBy("node").limit(most + 1).collect()]
+    if len(nodes) > most:
+        raise ValueError(f"more than {most} nodes")
+    if len(nodes) < 3:
+        return 0.0
+    number = {x: k for k, x in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for u, v in edges.select("source", "target").collect():  # at most most * most rows
+        a[number[u], number[v]] = a[number[v], number[u]] = 1.0
+    root = np.sqrt(a.sum(axis=1))
+    values = np.linalg.eigvalsh(np.eye(len(nodes)) - a / root[:, None] / root[None, :])
+    return float(values[1] - values[0])
+
+
+def group_diameters(edges: DataFrame, groups: DataFrame, sample: int = 20, rounds: int = 30) -> DataFrame:
+    """group, diameter: the longest shortest path among the first `sample` members of each group, by searches from all of them at once. groups: node, group."""
+    picked = cut(groups.withColumn("_p", F.row_number().over(Window.partitionBy("group").orderBy("node"))).filter(F.col("_p") <= sample).select("group", "node"))
+    both = cut(edges.select("source", "target").union(edges.select("target", "source")))
+    seen = cut(picked.select("group", F.col("node").alias("start"), "node", F.lit(0).alias("far")))
+    for step in range(1, rounds + 1):
+        edge = seen.filter(F.col("far") == step - 1).join(both, F.col("node") == F.col("source")).select("group", "start", F.col("target").alias("node")).distinct()
+        fresh = cut(edge.join(seen, ["group", "start", "node"], "left_anti").withColumn("far", F.lit(step)))
+        if fresh.isEmpty():
+            break
+        seen = cut(seen.union(fresh))
+    found = seen.join(picked, ["group", "node"]).groupBy("group").agg(F.max("far").alias("diameter"))
+    return found
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, community: each node takes the label most of its neighbours have, the least on a tie; a fixed number of rounds."""
     both = cut(edges.select("source", "target").union(edges.select("target", "source")))

@@ -560,6 +560,11 @@ def snapshot_pct(spark, d):
 
 @query()
 def communities(spark, d):
+    return graph.communities(_scored(spark, d))
+
+
+@query()
+def label_groups(spark, d):
     return graph.label_propagation(_scored(spark, d))
 
 

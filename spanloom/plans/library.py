@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import contexts, graph, service, styling, terms, timeline
+from spanloom.operators import contexts, graph, service, styling, terms, timeline, vectors
 from spanloom.plans.catalog import BACKBONE, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TOKENS, _important, _pairs, _scored, _signatures, _stable, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans.tables import cut, new_path, ranked
 from spanloom.sources import files, sinks
@@ -521,3 +521,45 @@ def word_rows(spark, d):
 @query("SELECT doc_id, n_chars, place FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents)")
 def document_ranks(spark, d):
     return ranked(at(spark, d, "documents").select("doc_id", "n_chars"), F.desc("n_chars"), F.col("doc_id"))
+
+
+# ---------------------------------------------------------------- vectors and graph measures
+@query()
+def condense_metrics(spark, d):
+    units = cut(vectors.normalised(at(spark, d, "embeddings")))
+    return vectors.cluster_metrics(units, vectors.condense(units)).select("leader", "size", *r6s("mean_similarity", "entropy_spread"), "degenerate", "root")
+
+
+@query()
+def lsa_elements(spark, d):
+    """Coherence of each element in the space of the leading singular vectors of the spans' weights."""
+    weighted = cut(terms.weights(at(spark, d, "documents")))
+    spans, _ = vectors.lsa(weighted, 32)
+    return vectors.element_vectors(weighted, spans).select(F.col("label").alias("element"), "n", r6("coherence").alias("coherence"))
+
+
+@query()
+def lsa_fusion(spark, d):
+    """Spans linked to elements: both as vectors of the same space, the adaptive threshold by the span's entropy."""
+    weighted = cut(terms.weights(at(spark, d, "documents")))
+    spans = cut(vectors.lsa(weighted, 32)[0])
+    units = spans.select(F.struct("doc_id", "position").alias("at"), "v")
+    numbered = cut(ranked(units.select("at.doc_id", "at.position", "v"), "doc_id", "position").withColumn("vec_id", F.col("place").cast("long")))
+    found = vectors.similarity_links(numbered.select("vec_id", "v"), vectors.element_vectors(weighted, spans).select("label", "v"))
+    return found.join(numbered.select("vec_id", "doc_id", "position"), "vec_id").select("doc_id", "position", "element", *[r6(c).alias(c) for c in ("similarity", "threshold")])
+
+
+@query()
+def top_spectral_gap(spark, d):
+    """Of the graph of the 200 nodes with the most edges."""
+    edges = _heavy(spark, d)
+    few = graph.induced(edges, graph.degree(edges).orderBy(F.desc("degree"), "node").limit(200))
+    return spark.createDataFrame([(graph.spectral_gap(few),)], "gap double")
+
+
+@query(f"""WITH RECURSIVE {GROUPS}, first AS (SELECT component, node FROM (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS p FROM grp) x WHERE p <= 20),
+walk(component, start, node, far) AS (SELECT component, node, node, 0 FROM first UNION SELECT w.component, w.start, s.other, w.far + 1 FROM walk w JOIN hsides s ON w.node = s.node WHERE w.far < 30 AND NOT EXISTS (SELECT 1 FROM recurring.walk o WHERE o.component = w.component AND o.start = w.start AND o.node = s.other))
+SELECT component AS "group", max(far) AS diameter FROM (SELECT w.component, w.start, w.node, min(far) AS far FROM walk w JOIN first f ON w.component = f.component AND w.node = f.node GROUP BY ALL) y GROUP BY component""".replace("walk(component, start, node, far) AS", "walk(component, start, node, far) USING KEY (component, start, node) AS"))
+def component_diameters(spark, d):
+    edges = _heavy(spark, d)
+    return graph.group_diameters(edges, graph.components(edges).withColumnRenamed("component", "group"))

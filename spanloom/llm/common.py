@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of characters other than these (space, tab, \n, \v, \f, \r).
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,12 +83,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, size: int = 512) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType, size: int = 512) -> DataFrame:
     """mapInArrow with a function from batches to dicts of columns, each a list or an Arrow array.
 
     Spark's batches may hold 64 MB; the function sees at most `size` rows at a time, which bounds what it makes of them.
     """
-    kind = df.sparkSession.createDataFrame([], schema).schema
+    kind = schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(kind)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanloom.llm import common
 
@@ -271,8 +272,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [document_scores(block, table, model) for block in blocks(texts)]
             yield {name: batch.column(k) for k, name in enumerate(batch.schema.names)} | {"_crf_score": np.concatenate(scores) if scores else np.zeros(0)}
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return common.arrow_map(docs, run, f"{kinds}, _crf_score double")
+    return common.arrow_map(docs, run, StructType([*docs.schema, StructField("_crf_score", DoubleType())]))
 
 
 def op2_crf(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.plans.tables import cut
+from spanloom.plans.tables import new_path
 
 
 def search(found: list[tuple[str, DataFrame, str, str]], needle: str, limit: int = 20) -> DataFrame:
@@ -44,28 +46,58 @@ def verify(said: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class Registry:
-    """Corpora, runs and artifacts as small tables; registering the same again changes nothing."""
+    """Corpora, runs and artifacts as logs of JSON records in a folder: a change is one more record, the newest of a key holds.
+
+    Registering the same again changes nothing. Any session that names the folder sees the same tables.
+    """
+
+    SCHEMAS = {"corpus": "corpus_id string, name string, fingerprint string", "runs": "run_id string, corpus_id string, status string, export_key string", "artifacts": "artifact_id string, run_id string, kind string, name string"}
 
-    SCHEMAS = {"corpus": "corpus_id string, name string, fingerprint string", "runs": "run_id string, corpus_id string, status string", "artifacts": "artifact_id string, run_id string, kind string, name string"}
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, folder or new_path(spark)
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.tables = {name: spark.createDataFrame([], schema) for name, schema in self.SCHEMAS.items()}
+    def table(self, name: str) -> DataFrame:
+        """The newest record of each key, and when it came (`created`: the first one)."""
+        schema = f"{self.SCHEMAS[name]}, seq long"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        log = self.spark.read.schema(schema).json(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+        key, *rest = [c for c in log.columns if c != "seq"]
+        newest = log.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("r"), F.min("seq").alias("created"))
+        return newest.select(key, "r.*", "created")
 
-    def put(self, name: str, *row: str) -> None:
-        new = self.spark.createDataFrame([row], self.SCHEMAS[name])
-        key = new.columns[0]
-        self.tables[name] = cut(self.tables[name].join(new.select(key), key, "left_anti").unionByName(new))
+    def put(self, name: str, *row: str | None) -> None:
+        new = self.spark.createDataFrame([(*row, time.time_ns())], f"{self.SCHEMAS[name]}, seq long")
+        new.coalesce(1).write.mode("append").json(f"{self.folder}/{name}")
+
+    def get(self, name: str, key: str) -> dict | None:
+        found = self.table(name)
+        row = found.filter(F.col(found.columns[0]) == key).head()
+        return row.asDict() if row else None
 
     def get_or_create_corpus(self, name: str, fingerprint: str) -> str:
-        if row := self.tables["corpus"].filter(F.col("fingerprint") == fingerprint).select("corpus_id").head():
+        if row := self.table("corpus").filter(F.col("fingerprint") == fingerprint).select("corpus_id").head():
             return row[0]
         self.put("corpus", fingerprint[:12], name, fingerprint)
         return fingerprint[:12]
 
+    def create_run(self, run_id: str, corpus_id: str) -> str:
+        if self.get("runs", run_id) is None:
+            self.put("runs", run_id, corpus_id, "running", None)
+        return run_id
+
+    def set_status(self, run_id: str, status: str, export_key: str | None = None) -> None:
+        if (row := self.get("runs", run_id)) is None:
+            raise KeyError(run_id)
+        self.put("runs", run_id, row["corpus_id"], status, export_key or row["export_key"])
+
     def register_artifact(self, run_id: str, kind: str, name: str) -> str:
-        self.put("artifacts", f"{run_id}:{kind}:{name}", run_id, kind, name)
-        return f"{run_id}:{kind}:{name}"
+        key = f"{run_id}:{kind}:{name}"
+        if self.get("artifacts", key) is None:
+            self.put("artifacts", key, run_id, kind, name)
+        return key
 
     def listing(self, name: str) -> DataFrame:
-        return self.tables[name].orderBy(self.tables[name].columns[0])
+        """The newest first."""
+        found = self.table(name)
+        return found.orderBy(F.desc("created"), found.columns[0])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import scores, text
 from spanloom.operators import contexts, graph, service, styling, terms, timeline, vectors
 from spanloom.plans.catalog import BACKBONE, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TOKENS, _important, _pairs, _scored, _signatures, _stable, at, core_score_rank, query, r6, snapshot_pct
+from spanloom.plans import run as runs
 from spanloom.plans.tables import cut, new_path, ranked
 from spanloom.sources import files, sinks
 
@@ -563,3 +564,12 @@ SELECT component AS "group", max(far) AS diameter FROM (SELECT w.component, w.st
 def component_diameters(spark, d):
     edges = _heavy(spark, d)
     return graph.group_diameters(edges, graph.components(edges).withColumnRenamed("component", "group"))
+
+
+# ---------------------------------------------------------------- a run
+@query(f"WITH {STATS}, r AS (SELECT count(*) AS n FROM tokened) SELECT 'elements' AS table_name, (SELECT count(*) FROM stats) AS n_rows UNION ALL SELECT 'stability', (SELECT count(*) FROM stats) UNION ALL SELECT 'tokens', (SELECT n FROM r) UNION ALL SELECT 'weights', (SELECT count(*) FROM weights)")
+def corpus_run(spark, d):
+    """The first stages of a run over the documents: how many rows each table has."""
+    made = runs.run_stages(runs.Run(spark, at(spark, d, "documents")), only=("spans", "elements", "stability")).tables
+    counts = [(name, df.count()) for name, df in made.items()]
+    return spark.createDataFrame(counts, "table_name string, n_rows long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions import text
+from spanloom.functions import scores, text
 
 TEXT_SUFFIXES = (".txt", ".md", ".csv", ".json", ".tex")
 TABLE_SUFFIXES = (".csv", ".json", ".txt")
@@ -52,6 +52,23 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", F.regexp_extract(head, "(?m)^title:\\s*(.*)$", 1).alias("title"), F.regexp_extract_all("value", F.lit("\\[\\[([^\\]|]+)"), 1).alias("links"), F.regexp_replace("value", "(?s)\\A---\\n.*?\\n---\\n?", "").alias("body"))
 
 
+def note_links(found: DataFrame) -> DataFrame:
+    """source, target (paths): links between notes, resolved by file name or by title; links that lead nowhere are left out. found: path, title, links."""
+    name = F.regexp_replace(text.base_name(F.col("path")), "\\.[^.]+$", "")
+    known = found.select(F.col("path").alias("target"), F.explode(F.array_distinct(F.array_compact(F.array(name, F.when(F.col("title") != "", F.col("title")))))).alias("link"))
+    return found.select(F.col("path").alias("source"), F.explode("links").alias("link")).join(known, "link").select("source", "target").distinct()
+
+
+def labels(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
+    """key, label of a label file: the key is span_id or element, the label the first column there is of four names."""
+    raw = spark.read.option("header", "true").csv(path) if form == "csv" else spark.read.json(path)
+    names = [c for c in ("label", "epistemic_label", "truth_label", "class") if c in raw.columns]
+    key = next((c for c in ("span_id", "element") if c in raw.columns), None)
+    if not names or key is None:
+        raise ValueError("a label file has span_id or element, and a label column")
+    return raw.select(F.col(key).cast("string").alias("key"), scores.canonical_label(F.coalesce(*names)).alias("label"))
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     """A sorted CSV table; range partitions keep the order over several files."""
     edges.orderBy(F.desc("weight"), "source", "target").write.mode("overwrite").option("header", "true").csv(path)

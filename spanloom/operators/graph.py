@@ -5,6 +5,8 @@ Edges have source < target. Nodes are whatever type the elements have.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,6 +261,36 @@ def communities(edges: DataFrame, rounds: int = 24) -> DataFrame:
     return kept.join(names, "c").select("node", "community")
 
 
+def betweenness(edges: DataFrame, sample: int = 200, rounds: int = 50) -> DataFrame:
+    """node, betweenness: shares of shortest paths that pass a node, from the first `sample` nodes, scaled to all pairs.
+
+    Searches from all sources go level by level at once and count paths; shares flow back the same way.
+    """
+    both = cut(edges.select("source", "target").union(edges.select("target", "source")).distinct())
+    nodes = cut(both.select(F.col("source").alias("node")).distinct())
+    n = nodes.count()
+    starts = nodes.orderBy("node").limit(sample)
+    levels = [cut(starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "node")
+    for _ in range(rounds):
+        edge = levels[-1].join(both, F.col("node") == F.col("source")).groupBy("s", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
+        fresh = cut(edge.join(seen, ["s", "node"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen = cut(seen.union(fresh.select("s", "node")))
+    found, later = [], levels[-1].withColumn("share", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        flow = later.select("s", F.col("node").alias("target"), ((1 + F.col("share")) / F.col("paths")).alias("f")).join(both, "target")
+        part = flow.groupBy("s", F.col("source").alias("node")).agg(F.sum("f").alias("f"))
+        later = cut(level.join(part, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("f", F.lit(0.0))).alias("share")))
+        found.append(later.filter("s <> node").select("node", "share"))
+    k = min(sample, n)
+    scale = n / (k * (n - 1) * (n - 2)) if n > 2 else 0.0
+    total = reduce(DataFrame.union, found).groupBy("node").agg(F.sum("share").alias("x")) if found else nodes.limit(0).withColumn("x", F.lit(0.0))
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def spectral_gap(edges: DataFrame, most: int = 2_000) -> float:
     """The second less the first eigenvalue of the normalised Laplacian of a graph of at most `most` nodes; 0 under three nodes."""
     import numpy as np

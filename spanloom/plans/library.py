@@ -550,6 +550,11 @@ def lsa_fusion(spark, d):
     return found.join(numbered.select("vec_id", "doc_id", "position"), "vec_id").select("doc_id", "position", "element", *[r6(c).alias(c) for c in ("similarity", "threshold")])
 
 
+@query()
+def betweenness(spark, d):
+    return graph.betweenness(_heavy(spark, d), 16).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
 @query()
 def top_spectral_gap(spark, d):
     """Of the graph of the 200 nodes with the most edges."""

@@ -33,3 +33,8 @@ def suggestions(field: DataFrame) -> DataFrame:
     """severity (how many of four limits a field passes), and the rules' names."""
     found = F.array_compact(F.array(*[F.when(F.col(c) > bar, name) for name, c, bar in RULES]))
     return field.select(F.size(found).alias("severity"), F.array_join(found, ",").alias("rules"))
+
+
+def lines(facts: DataFrame) -> DataFrame:
+    """A line "name: value" for each column of a one-row table."""
+    return facts.select(F.explode(F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in facts.columns])).alias("line"))

@@ -39,3 +39,8 @@ def metrics(state: DataFrame) -> DataFrame:
     """mean, population variance, entropy of regimes in nats: one row."""
     shares = state.groupBy("regime").agg(F.count("*").alias("n")).crossJoin(F.broadcast(state.agg(F.count("*").alias("all")))).withColumn("p", F.col("n") / F.col("all"))
     return state.agg(F.avg("belief").alias("mean_belief"), F.var_pop("belief").alias("var_belief")).crossJoin(shares.agg((-F.sum(F.col("p") * F.log("p"))).alias("regime_entropy")))
+
+
+def export(state: DataFrame, path: str) -> None:
+    """The agents as JSON lines."""
+    state.select("agent", "x", "y", "belief", "regime").write.mode("overwrite").json(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores
@@ -59,3 +61,14 @@ def histogram(df: DataFrame, value: str, least: int = 15, most: int = 60) -> Dat
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.col("bins") - 1, F.floor((F.col("x") - F.col("lo")) / width))).otherwise(0)
     return placed.withColumn("bin", place.cast("long")).groupBy("bin").agg(F.count("*").alias("n"), F.max(F.col("lo") + F.col("bin") * width).alias("low")).select("bin", "low", "n")
+
+
+def radial(nodes: DataFrame) -> DataFrame:
+    """node, x, y: a sector for each group, the nodes with the most edges nearest to the centre. nodes: node, degree, group."""
+    sectors = ranked(nodes.select("group").distinct(), "group").withColumn("sector", F.col("place") - 1).select("group", "sector")
+    own = Window.partitionBy("group")
+    placed = nodes.withColumn("place", F.row_number().over(own.orderBy(F.desc("degree"), "node")) - 1).withColumn("size", F.count("*").over(own))
+    k = F.broadcast(sectors.agg((F.max("sector") + 1).alias("sectors")))
+    j = placed.join(sectors, "group").crossJoin(k)
+    far, angle = (1.0 + F.col("place")) / F.col("size"), 2 * math.pi * (F.col("sector") + (F.col("place") + 0.5) / F.col("size")) / F.col("sectors")
+    return j.select("node", (far * F.cos(angle)).alias("x"), (far * F.sin(angle)).alias("y"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import contexts, graph, service, styling, terms, timeline, vectors
+from spanloom.operators import contexts, graph, reports, service, styling, terms, timeline, vectors
 from spanloom.plans.catalog import BACKBONE, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TOKENS, _important, _pairs, _scored, _signatures, _stable, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans import run as runs
 from spanloom.plans.tables import cut, new_path, ranked
@@ -578,3 +578,48 @@ def corpus_run(spark, d):
     made = runs.run_stages(runs.Run(spark, at(spark, d, "documents")), only=("spans", "elements", "stability")).tables
     counts = [(name, df.count()) for name, df in made.items()]
     return spark.createDataFrame(counts, "table_name string, n_rows long")
+
+
+# ---------------------------------------------------------------- descriptions, snapshots, layout, report
+@query(f"""WITH {SIGN}, top AS (SELECT element FROM (SELECT unnest(tokens) AS element FROM tokened) GROUP BY element ORDER BY count(*) DESC, element LIMIT 500),
+u AS (SELECT doc_id, position, unnest(list_distinct(tokens)) AS element FROM tokened), ex AS (SELECT element, least(3, count(*)) AS n_examples FROM u SEMI JOIN top ON u.element = top.element GROUP BY element)
+SELECT s.element, CASE WHEN length(s.element) <= 24 THEN s.element ELSE regexp_replace(substr(s.element, 1, 21), ' [^ ]*$', '') || '...' END AS label, support, dominant_label, coalesce(n_examples, 0) AS n_examples, round(a, 6) AS p_information FROM signs s LEFT JOIN ex ON s.element = ex.element""")
+def element_descriptions(spark, d):
+    """Label, regime and examples of each element as one JSON record, written and read back."""
+    tokens = cut(terms.tokenised(at(spark, d, "documents"), phrases=False))
+    targets = tokens.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(500).select("element")
+    shown = contexts.examples(tokens, targets).groupBy("element").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "position"))).alias("examples"))
+    path = new_path(spark)
+    record = F.struct("support", "dominant_label", r6("p_information").alias("p_information"))
+    sinks.write_records(_signatures(spark, d).join(shown, "element", "left").select("element", text.short_label(F.col("element")).alias("label"), record.alias("regime"), F.coalesce("examples", F.array().cast("array<struct<place:int,doc_id:bigint,position:int>>")).alias("examples")), path)
+    back = sinks.read_records(spark, path, "element string, label string, regime struct<support: long, dominant_label: string, p_information: double>, examples array<struct<place: int, doc_id: long, position: int>>")
+    return back.select("element", "label", "regime.support", "regime.dominant_label", F.size("examples").alias("n_examples"), "regime.p_information")
+
+
+@query(f"WITH {SIGN} SELECT count(*) AS n, round(avg(a), 6) AS info, round(avg(b), 6) AS misinfo, round(avg(c), 6) AS disinfo, round(avg(a) / (avg(a) + avg(b) + avg(c)), 6) AS info_share FROM signs")
+def regime_means(spark, d):
+    a, b, c = (F.avg(f"p_{x}") for x in scores.LABELS[:3])
+    return _signatures(spark, d).agg(F.count("*").alias("n"), r6(a).alias("info"), r6(b).alias("misinfo"), r6(c).alias("disinfo"), r6(a / (a + b + c)).alias("info_share"))
+
+
+@query(f"WITH {HEAVY}, n AS (SELECT node FROM hdeg ORDER BY degree DESC, node LIMIT 100) SELECT source, target, weight FROM heavy WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)")
+def snapshot_through_table(spark, d):
+    """The graph of the 100 nodes with the most edges as a stored snapshot, read back."""
+    edges, path = _heavy(spark, d), new_path(spark)
+    graph.induced(edges, graph.degree(edges).orderBy(F.desc("degree"), "node").limit(100)).select("source", "target", "weight").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"""WITH {HEAVY}, g AS (SELECT node, degree, p_brand AS grp FROM hdeg JOIN part ON node = p_partkey), r AS (SELECT *, dense_rank() OVER (ORDER BY grp) - 1 AS sector, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, node) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM g), k AS (SELECT max(sector) + 1 AS sectors FROM r)
+SELECT node, round((1.0 + place) / size * cos(2 * pi() * (sector + (place + 0.5) / size) / sectors), 6) + 0.0 AS x, round((1.0 + place) / size * sin(2 * pi() * (sector + (place + 0.5) / size) / sectors), 6) + 0.0 AS y FROM r, k""")
+def radial_layout(spark, d):
+    groups = at(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("group"))
+    return styling.radial(graph.degree(_heavy(spark, d)).join(groups, "node")).select("node", *r6s("x", "y"))
+
+
+@query("SELECT unnest(['documents: ' || (SELECT count(*) FROM documents), 'characters: ' || (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents), 'sources: ' || (SELECT count(DISTINCT source) FROM documents), 'labelled: ' || (SELECT count(*) FROM labels)]) AS line")
+def report_text(spark, d):
+    """The report's lines."""
+    docs = at(spark, d, "documents")
+    facts = docs.agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"), F.countDistinct("source").alias("sources")).crossJoin(at(spark, d, "labels").agg(F.count("*").alias("labelled")))
+    return reports.lines(facts)

@@ -76,3 +76,12 @@ def test_a_large_span_is_dealt_to_groups(spark):
 def test_triangles_of_a_hub(spark):
     edges = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(1, 39)]
     assert graph.triangles(spark.createDataFrame(edges, "source long, target long")).head()[0] == 38
+
+
+def test_simulation_export(spark, tmp_path):
+    from spanloom.operators import simulation
+
+    state = simulation.init(spark, 10)
+    simulation.export(state, str(tmp_path / "sim"))
+    back = sinks.read_records(spark, str(tmp_path / "sim"), "agent long, x double, y double, belief double, regime int")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, state.select("agent", "x", "y", "belief", "regime").collect()))

@@ -161,7 +161,8 @@ def dropped_lines(docs: DataFrame, limit: int = 10, batches: int = 6) -> DataFra
     common.remove(spark, path)
     common.remove(spark, bad)
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash"))
-    own = whole.alias("a").join(gone.alias("b"), same, "left").select("a.doc_id", F.struct(text_lines(F.col("text")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).alias("x"))
+    # Texts are dealt by id and hash at any size: what is joined grows with the corpus, so it is never broadcast.
+    own = whole.alias("a").join(gone.hint("merge").alias("b"), same, "left").select("a.doc_id", F.struct(text_lines(F.col("text")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).alias("x"))
 
     def rest(x: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])

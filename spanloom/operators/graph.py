@@ -5,13 +5,11 @@ Edges have source < target. Nodes are whatever type the elements have.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores
-from spanloom.plans.tables import cut, ranked, remove
+from spanloom.plans.tables import cut, new_path, quantile, ranked, remove, remove_path
 
 
 def cooccurrence(occurrences: DataFrame, span: str, element: str, most: int = 2_000) -> DataFrame:
@@ -177,9 +175,10 @@ def with_importance(scored: DataFrame, members: DataFrame, z: DataFrame) -> Data
 
 def prune(edges: DataFrame, by: Column, share: float, among: Column | None = None) -> DataFrame:
     """Edges whose score is at least the given percentile (of those `among`, if there are any)."""
-    scored = edges.withColumn("_s", by)
-    cut_ = scored.agg(F.coalesce(F.percentile(F.when(among, F.col("_s")), F.lit(share)) if among is not None else F.lit(None), F.percentile("_s", F.lit(share))).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut_)).filter("_s >= _cut").drop("_s", "_cut")
+    scored = cut(edges.withColumn("_s", by))
+    bar = quantile(scored.filter(among), "_s", share) if among is not None else None
+    bar = quantile(scored, "_s", share) if bar is None else bar
+    return scored.filter(F.col("_s") >= F.lit(bar)).drop("_s")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -227,100 +226,73 @@ def chains(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component").filter("size >= 2").select("node", F.col("component").alias("chain"))
 
 
-def communities(edges: DataFrame, rounds: int = 24) -> DataFrame:
-    """node, community: nodes move to the neighbouring community that raises modularity most, in turns of half of them, until none does.
+def levels(start: DataFrame, both: DataFrame, keys: list[str], how: dict[str, Column]) -> tuple[str, int]:
+    """Searches from all rows of start at once, level by level until no node is fresh; the folder of levels and their number.
 
-    Only half of the nodes, dealt by a hash anew each round, may move at a time, so that neighbours do not change
-    places forever. The round with the best modularity is the result; a community is named by its least node.
+    A node that a level reaches anew is in neither that level nor the one before it, since edges go both ways; so only
+    two levels are looked at. start: keys, node and the columns of `how`, which says how those sum up over the
+    edges that lead to a node. Levels are parts `far=0`, `far=1`, ... of one folder.
     """
-    both = cut(edges.select("source", "target").union(edges.select("target", "source")))
-    deg = cut(both.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("k")))
-    m2 = both.count()
-    labels = cut(deg.select("node", F.col("node").alias("c")))
-    best, kept, still = None, labels, 0
-    for turn in range(rounds):
-        total = cut(labels.join(deg, "node").groupBy("c").agg(F.sum("k").alias("sigma")))
-        links = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node"), "c").agg(F.count("*").alias("links"))
-        seen = cut(links.join(labels.withColumnRenamed("c", "own"), "node").join(deg, "node").join(total, "c"))
-        inside = seen.filter("c = own").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("x")).head()[0]
-        value = inside / m2 - (total.agg(F.sum((F.col("sigma") / m2) ** 2)).head()[0] or 0.0) if m2 else 0.0
-        if best is None or value > best + 1e-12:
-            best, kept, still = value, labels, 0
-        else:
-            still += 1
-        if still >= 4:
-            break
-        # What a node finds in its own community does not count itself.
-        gain = F.round(F.col("links") - F.col("k") * (F.col("sigma") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / m2, 9)
-        alone = seen.groupBy("node").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("o"), (-F.col("c")).alias("n"))).alias("to"), F.max(gain).alias("g"))
-        may = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0) & (F.col("g") > 0)
-        labels = cut(labels.join(alone, "node", "left").select("node", F.when(may, F.col("to")).otherwise(F.col("c")).alias("c")))
-        remove(total)
-        remove(seen)
-    names = kept.groupBy("c").agg(F.min("node").alias("community"))
-    return kept.join(names, "c").select("node", "community")
-
-
-def betweenness(edges: DataFrame, sample: int = 200, rounds: int = 50) -> DataFrame:
+    spark, path = start.sparkSession, new_path(start.sparkSession)
+    start.select(*keys, "node", *how).write.parquet(f"{path}/far=0")
+    schema = spark.read.parquet(f"{path}/far=0").schema
+    level = lambda k: spark.read.schema(schema).parquet(f"{path}/far={k}")
+    far = 0
+    while True:
+        edge = level(far).join(both, F.col("node") == F.col("a")).select(*keys, F.col("b").alias("node"), *how)
+        fresh = edge.groupBy(*keys, "node").agg(*[f.alias(c) for c, f in how.items()]) if how else edge.distinct()
+        for k in range(max(0, far - 1), far + 1):
+            fresh = fresh.join(level(k).select(*keys, "node"), [*keys, "node"], "left_anti")
+        fresh.write.parquet(f"{path}/far={far + 1}")
+        far += 1
+        if level(far).isEmpty():
+            return path, far
+
+
+def both_sides(edges: DataFrame) -> DataFrame:
+    """a, b: both directions of the edges, once."""
+    return edges.select("source", "target").union(edges.select("target", "source")).distinct().toDF("a", "b")
+
+
+def betweenness(edges: DataFrame, sample: int = 200) -> DataFrame:
     """node, betweenness: shares of shortest paths that pass a node, from the first `sample` nodes, scaled to all pairs.
 
-    Searches from all sources go level by level at once and count paths; shares flow back the same way.
+    Searches from all sources go level by level at once and count paths; shares flow back the same way. The number of
+    jobs is twice the longest of the shortest paths.
     """
-    both = cut(edges.select("source", "target").union(edges.select("target", "source")).distinct())
-    nodes = cut(both.select(F.col("source").alias("node")).distinct())
+    spark, both = edges.sparkSession, cut(both_sides(edges))
+    nodes = cut(both.select(F.col("a").alias("node")).distinct())
     n = nodes.count()
     starts = nodes.orderBy("node").limit(sample)
-    levels = [cut(starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
-    seen = levels[0].select("s", "node")
-    for _ in range(rounds):
-        edge = levels[-1].join(both, F.col("node") == F.col("source")).groupBy("s", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
-        fresh = cut(edge.join(seen, ["s", "node"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        levels.append(fresh)
-        seen = cut(seen.union(fresh.select("s", "node")))
-    found, later = [], levels[-1].withColumn("share", F.lit(0.0))
-    for level in reversed(levels[:-1]):
-        flow = later.select("s", F.col("node").alias("target"), ((1 + F.col("share")) / F.col("paths")).alias("f")).join(both, "target")
-        part = flow.groupBy("s", F.col("source").alias("node")).agg(F.sum("f").alias("f"))
-        later = cut(level.join(part, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("f", F.lit(0.0))).alias("share")))
-        found.append(later.filter("s <> node").select("node", "share"))
+    path, last = levels(starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), both, ["s"], {"paths": F.sum("paths")})
+    level = lambda k: spark.read.parquet(f"{path}/far={k}")
+    shares, later = new_path(spark), None
+    for k in range(last - 1, 0, -1):
+        here = level(k).withColumn("share", F.lit(0.0))
+        if later is not None:
+            flow = later.select("s", F.col("node").alias("a"), ((1 + F.col("share")) / F.col("paths")).alias("f")).join(both, "a")
+            part = flow.groupBy("s", F.col("b").alias("node")).agg(F.sum("f").alias("f"))
+            here = level(k).join(part, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("f", F.lit(0.0))).alias("share"))
+        here.write.parquet(f"{shares}/far={k}")
+        later = spark.read.parquet(f"{shares}/far={k}")
     k = min(sample, n)
     scale = n / (k * (n - 1) * (n - 2)) if n > 2 else 0.0
-    total = reduce(DataFrame.union, found).groupBy("node").agg(F.sum("share").alias("x")) if found else nodes.limit(0).withColumn("x", F.lit(0.0))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def spectral_gap(edges: DataFrame, most: int = 2_000) -> float:
-    """The second less the first eigenvalue of the normalised Laplacian of a graph of at most `most` nodes; 0 under three nodes."""
-    import numpy as np
-
-    nodes = [r[0] for r in degree(edges).select("node").orderBy("node").limit(most + 1).collect()]
-    if len(nodes) > most:
-        raise ValueError(f"more than {most} nodes")
-    if len(nodes) < 3:
-        return 0.0
-    number = {x: k for k, x in enumerate(nodes)}
-    a = np.zeros((len(nodes), len(nodes)))
-    for u, v in edges.select("source", "target").collect():  # at most most * most rows
-        a[number[u], number[v]] = a[number[v], number[u]] = 1.0
-    root = np.sqrt(a.sum(axis=1))
-    values = np.linalg.eigvalsh(np.eye(len(nodes)) - a / root[:, None] / root[None, :])
-    return float(values[1] - values[0])
+    total = spark.read.parquet(shares).groupBy("node").agg(F.sum("share").alias("x")) if later is not None else nodes.limit(0).withColumn("x", F.lit(0.0))
+    found = cut(nodes.join(total, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness")))
+    for old in (path, shares, both._cut, nodes._cut):
+        remove_path(spark, old)
+    return found
 
 
-def group_diameters(edges: DataFrame, groups: DataFrame, sample: int = 20, rounds: int = 30) -> DataFrame:
+def group_diameters(edges: DataFrame, groups: DataFrame, sample: int = 20) -> DataFrame:
     """group, diameter: the longest shortest path among the first `sample` members of each group, by searches from all of them at once. groups: node, group."""
+    spark = edges.sparkSession
     picked = cut(groups.withColumn("_p", F.row_number().over(Window.partitionBy("group").orderBy("node"))).filter(F.col("_p") <= sample).select("group", "node"))
-    both = cut(edges.select("source", "target").union(edges.select("target", "source")))
-    seen = cut(picked.select("group", F.col("node").alias("start"), "node", F.lit(0).alias("far")))
-    for step in range(1, rounds + 1):
-        edge = seen.filter(F.col("far") == step - 1).join(both, F.col("node") == F.col("source")).select("group", "start", F.col("target").alias("node")).distinct()
-        fresh = cut(edge.join(seen, ["group", "start", "node"], "left_anti").withColumn("far", F.lit(step)))
-        if fresh.isEmpty():
-            break
-        seen = cut(seen.union(fresh))
-    found = seen.join(picked, ["group", "node"]).groupBy("group").agg(F.max("far").alias("diameter"))
+    both = cut(both_sides(edges))
+    path, _ = levels(picked.select("group", F.col("node").alias("start"), "node"), both, ["group", "start"], {})
+    found = cut(spark.read.parquet(path).join(picked, ["group", "node"]).groupBy("group").agg(F.max("far").alias("diameter")))
+    for old in (path, both._cut, picked._cut):
+        remove_path(spark, old)
     return found
 
 
@@ -334,14 +306,20 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, centrality by power iteration on A + I, scaled to length 1 each round."""
-    both = cut(edges.select("source", "target").union(edges.select("target", "source")))
-    x = cut(both.select(F.col("source").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+def eigenvector(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 1_000) -> DataFrame:
+    """node, centrality by power iteration on A + I, scaled to length 1 each round, until no value changes by more than the tolerance.
+
+    An error is raised if that takes more rounds than given.
+    """
+    both = cut(both_sides(edges))
+    x = cut(both.select(F.col("a").alias("node")).distinct().withColumns({"x": F.lit(1.0), "change": F.lit(0.0)}))
     for _ in range(rounds):
-        moved = both.join(x, both["target"] == x["node"]).select(F.col("source").alias("node"), "x").union(x.select("node", "x")).groupBy("node").agg(F.sum("x").alias("x"))
-        after = cut(moved.crossJoin(F.broadcast(moved.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("length")))).select("node", (F.col("x") / F.col("length")).alias("x")))
+        moved = both.join(x, both["b"] == x["node"]).select(F.col("a").alias("node"), "x", F.lit(0.0).alias("old")).union(x.select("node", "x", F.col("x").alias("old"))).groupBy("node").agg(F.sum("x").alias("x"), F.sum("old").alias("old"))
+        length = F.broadcast(moved.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("length")))
+        after = cut(moved.crossJoin(length).select("node", (F.col("x") / F.col("length")).alias("x"), F.abs(F.col("x") / F.col("length") - F.col("old")).alias("change")))
         remove(x)
         x = after
-    remove(both)
-    return x.withColumnRenamed("x", "centrality")
+        if (x.agg(F.max("change")).head()[0] or 0.0) <= tolerance:
+            remove(both)
+            return x.select("node", F.col("x").alias("centrality"))
+    raise RuntimeError("the centralities have not settled")

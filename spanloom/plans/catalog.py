@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import graph, language, reports, service, simulation, terms, timeline, vectors
+from spanloom.operators import community, graph, language, reports, service, simulation, terms, timeline, vectors
 from spanloom.plans.tables import cut, ranked
 from spanloom.streaming import events as streams
 
@@ -466,9 +466,9 @@ def graph_stats(spark, d):
     return s.select("n_nodes", "n_edges", *[r6(c).alias(c) for c in ("density", "mean_degree", "transitivity")])
 
 
-@query(f"WITH {PAIRS}, kept AS (SELECT * FROM edges WHERE weight >= 2) SELECT count(*) AS triangles FROM kept a JOIN kept b ON a.target = b.source JOIN kept c ON c.source = a.source AND c.target = b.target")
+@query(f"WITH {PAIRS}, kept AS MATERIALIZED (SELECT * FROM edges) SELECT count(*) AS triangles FROM kept a JOIN kept b ON a.target = b.source JOIN kept c ON c.source = a.source AND c.target = b.target")
 def triangle_count(spark, d):
-    return graph.triangles(_pairs(spark, d).filter("weight >= 2"))
+    return graph.triangles(cut(_pairs(spark, d)))
 
 
 IMPORTANCE = f"""{COMPONENTS}, zs AS (SELECT d.node, CASE WHEN stddev_samp(p_retailprice) OVER () > 0 THEN least(4.0, greatest(-4.0, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER ())) ELSE 0.0 END AS z, p_brand AS root FROM degrees d JOIN part ON p_partkey = d.node),
@@ -560,7 +560,7 @@ def snapshot_pct(spark, d):
 
 @query()
 def communities(spark, d):
-    return graph.communities(_scored(spark, d))
+    return community.communities(_scored(spark, d))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import contexts, graph, reports, service, styling, terms, timeline, vectors
+from spanloom.operators import contexts, graph, reports, service, spectra, styling, terms, timeline, vectors
 from spanloom.plans.catalog import BACKBONE, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TOKENS, _important, _pairs, _scored, _signatures, _stable, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans import run as runs
 from spanloom.plans.tables import cut, new_path, ranked
@@ -119,36 +119,39 @@ def loaded_edges(spark, d):
 
 
 # ---------------------------------------------------------------- sinks, read back
-def _heavy(spark, d, least=2):
-    return cut(_pairs(spark, d).filter(F.col("weight") >= least))
+def _edges(spark, d):
+    return cut(_pairs(spark, d))
 
 
-HEAVY = f"{PAIRS}, heavy AS (SELECT * FROM edges WHERE weight >= 2), hsides AS (SELECT source AS node, target AS other, weight FROM heavy UNION ALL SELECT target, source, weight FROM heavy), hdeg AS (SELECT node, count(*) AS degree, avg(weight) AS mean_weight FROM hsides GROUP BY node)"
-GROUPS = f"{HEAVY}, grp(node, component) USING KEY (node) AS (SELECT node, node FROM hdeg UNION SELECT b.other, min(r.component) FROM grp r JOIN hsides b ON r.node = b.node JOIN recurring.grp o ON o.node = b.other WHERE r.component < o.component GROUP BY b.other), sizes AS (SELECT component, count(*) AS size FROM grp GROUP BY 1)"
+SIDES = f"{PAIRS}, whole AS (SELECT * FROM edges), esides AS (SELECT source AS node, target AS other, weight FROM whole UNION ALL SELECT target, source, weight FROM whole), edeg AS (SELECT node, count(*) AS degree, avg(weight) AS mean_weight FROM esides GROUP BY node)"
+GROUPS = f"{SIDES}, grp(node, component) USING KEY (node) AS (SELECT node, node FROM edeg UNION SELECT b.other, min(r.component) FROM grp r JOIN esides b ON r.node = b.node JOIN recurring.grp o ON o.node = b.other WHERE r.component < o.component GROUP BY b.other), sizes AS (SELECT component, count(*) AS size FROM grp GROUP BY 1)"
 
 
-@query(f"WITH {HEAVY} SELECT * FROM heavy")
+@query(f"WITH {SIDES} SELECT * FROM whole")
 def edges_through_csv(spark, d):
     path = new_path(spark)
-    files.write_edges(_heavy(spark, d), path)
+    files.write_edges(_edges(spark, d), path)
     return files.table(spark, path, "source long, target long, weight long")
 
 
-@query(f"WITH {HEAVY} SELECT '\"' || source || '\",\"' || target || '\",\"' || weight || '\"' AS line FROM heavy")
+@query(f"WITH {SIDES} SELECT '\"' || source || '\",\"' || target || '\",\"' || weight || '\"' AS line FROM whole")
 def edges_quoted(spark, d):
     path = new_path(spark)
-    sinks.write_quoted(_heavy(spark, d).select("source", "target", "weight"), path)
+    sinks.write_quoted(_edges(spark, d).select("source", "target", "weight"), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query(f"WITH RECURSIVE {GROUPS} SELECT 'G' || component AS compound_id, count(*) AS num_elements, min(node) AS least FROM grp GROUP BY component")
 def compounds_through_json(spark, d):
-    found = graph.components(_heavy(spark, d))
-    table = found.groupBy("component").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("elements")).select(F.concat(F.lit("G"), "component").alias("compound_id"), "elements")
+    found = graph.components(_edges(spark, d))
+    # A record holds about 10,000 members at most; a larger compound has several.
+    parts = found.groupBy("component").agg(F.ceil(F.count("*") / 10_000).alias("parts"))
+    dealt = found.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    table = dealt.groupBy("component", "part").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("elements")).select(F.concat(F.lit("G"), "component").alias("compound_id"), "elements")
     path = new_path(spark)
     files.write_compounds(table, path)
     back = sinks.read_records(spark, path, "compound_id string, elements array<string>")
-    return back.select("compound_id", F.size("elements").alias("num_elements"), F.array_min(F.transform("elements", lambda x: x.cast("long"))).alias("least"))
+    return back.groupBy("compound_id").agg(F.sum(F.size("elements")).alias("num_elements"), F.min(F.array_min(F.transform("elements", lambda x: x.cast("long")))).alias("least"))
 
 
 @query(f"WITH {SIGN} SELECT row_number() OVER (ORDER BY element) - 1 AS element_id, element, support, round(bits, 6) AS entropy_bits, dominant_label FROM signs")
@@ -209,18 +212,18 @@ def folder_hashes(spark, d):
 # ---------------------------------------------------------------- graph tables
 @query(f"WITH RECURSIVE {GROUPS}, big AS (SELECT * FROM sizes WHERE size >= 4) SELECT g.node, g.component FROM grp g WHERE (SELECT count(*) FROM big) = 0 OR g.component IN (SELECT component FROM big)")
 def large_components(spark, d):
-    return graph.large_components(cut(graph.components(_heavy(spark, d))), 4)
+    return graph.large_components(cut(graph.components(_edges(spark, d))), 4)
 
 
-MOLECULES = f"""{GROUPS}, base AS (SELECT h.node, g.component, h.degree, h.mean_weight AS local_stability, p_size / 50.0 AS entropy, p_retailprice / 2500.0 AS coherence, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS info, CASE WHEN p_partkey % 3 = 1 THEN 1.0 ELSE 0.0 END AS mis, CASE WHEN p_partkey % 3 = 2 THEN 1.0 ELSE 0.0 END AS dis FROM hdeg h JOIN grp g ON h.node = g.node JOIN part ON p_partkey = h.node),
+MOLECULES = f"""{GROUPS}, base AS (SELECT h.node, g.component, h.degree, h.mean_weight AS local_stability, p_size / 50.0 AS entropy, p_retailprice / 2500.0 AS coherence, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS info, CASE WHEN p_partkey % 3 = 1 THEN 1.0 ELSE 0.0 END AS mis, CASE WHEN p_partkey % 3 = 2 THEN 1.0 ELSE 0.0 END AS dis FROM edeg h JOIN grp g ON h.node = g.node JOIN part ON p_partkey = h.node),
 mols AS (SELECT *, CASE WHEN max(entropy - coherence) OVER () - min(entropy - coherence) OVER () < 1e-9 THEN 0.5 ELSE (entropy - coherence - min(entropy - coherence) OVER ()) / (max(entropy - coherence) OVER () - min(entropy - coherence) OVER () + 1e-9) END AS temperature FROM base),
-bonds AS (SELECT s.component, count(*) AS num_bonds, avg(weight) AS w FROM heavy e JOIN grp s ON e.source = s.node JOIN grp t ON e.target = t.node WHERE s.component = t.component GROUP BY 1),
+bonds AS (SELECT s.component, count(*) AS num_bonds, avg(weight) AS w FROM whole e JOIN grp s ON e.source = s.node JOIN grp t ON e.target = t.node WHERE s.component = t.component GROUP BY 1),
 comp AS (SELECT m.component, count(DISTINCT m.node) AS num_elements, coalesce(max(num_bonds), 0) AS num_bonds, coalesce(max(w), avg(local_stability)) AS compound_stability, avg(local_stability) AS mean_local_stability, avg(temperature) AS mean_temperature, avg(info) AS mean_info, avg(mis) AS mean_misinfo, avg(dis) AS mean_disinfo, avg(coherence) AS mean_coherence, var_pop(local_stability) AS stability_variance FROM mols m LEFT JOIN bonds b ON m.component = b.component GROUP BY m.component)"""
 COMPOUND = ("compound_stability", "mean_local_stability", "mean_temperature", "mean_info", "mean_misinfo", "mean_disinfo", "mean_coherence", "stability_variance")
 
 
 def _molecules(spark, d):
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     stable = graph.ends(edges, "weight").groupBy("node").agg(F.count("*").alias("degree"), F.avg("weight").alias("local_stability"))
     third = lambda k: F.when(F.col("node") % 3 == k, 1.0).otherwise(0.0)
     part = at(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50.0).alias("entropy"), (F.col("p_retailprice") / 2500.0).alias("coherence"))
@@ -250,7 +253,7 @@ def compound_profile(spark, d):
 @query(f"WITH RECURSIVE {GROUPS}, one AS (SELECT component FROM sizes ORDER BY size DESC, component LIMIT 1), inside AS (SELECT node FROM grp WHERE component IN (SELECT component FROM one)), o AS (SELECT * FROM occ WHERE l_partkey IN (SELECT node FROM inside)) SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS weight FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL")
 def decomposition(spark, d):
     """The co-occurrences once more, of the elements of the largest compound only."""
-    found = cut(graph.components(_heavy(spark, d)))
+    found = cut(graph.components(_edges(spark, d)))
     one = found.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
     inside = found.join(F.broadcast(one), "component").select(F.col("node").alias("l_partkey"))
     return graph.cooccurrence(at(spark, d, "lineitem").join(inside, "l_partkey", "left_semi"), "l_orderkey", "l_partkey")
@@ -269,15 +272,15 @@ def edges_capped(spark, d):
     return _pairs(spark, d).orderBy(F.desc("weight"), "source", "target").limit(25_000)
 
 
-@query(f"WITH {HEAVY}, few AS (SELECT node FROM hdeg ORDER BY degree DESC, node LIMIT 5) SELECT s.node, s.other, s.weight FROM hsides s SEMI JOIN few f ON s.node = f.node")
+@query(f"WITH {SIDES}, few AS (SELECT node FROM edeg ORDER BY degree DESC, node LIMIT 5) SELECT s.node, s.other, s.weight FROM esides s SEMI JOIN few f ON s.node = f.node")
 def neighbours(spark, d):
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     return graph.neighbours(edges, graph.degree(edges).orderBy(F.desc("degree"), "node").limit(5).select("node"))
 
 
-@query(f"WITH {HEAVY}, df AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1), w AS (SELECT b.node, b.other FROM hsides b JOIN hdeg x ON b.node = x.node AND x.degree = 2 JOIN hdeg y ON b.other = y.node AND y.degree = 2) SELECT p_partkey AS node, h.degree IS NULL AS is_isolate, coalesce(h.degree = 1, false) AS is_leaf, coalesce(h.degree = 1 AND df.df <= 0.8 * (SELECT avg(df) FROM df), false) AS is_rare_leaf, p_partkey IN (SELECT node FROM w) AS in_chain FROM part LEFT JOIN hdeg h ON p_partkey = h.node LEFT JOIN df ON p_partkey = df.node")
+@query(f"WITH {SIDES}, df AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1), w AS (SELECT b.node, b.other FROM esides b JOIN edeg x ON b.node = x.node AND x.degree = 2 JOIN edeg y ON b.other = y.node AND y.degree = 2) SELECT p_partkey AS node, h.degree IS NULL AS is_isolate, coalesce(h.degree = 1, false) AS is_leaf, coalesce(h.degree = 1 AND df.df <= 0.8 * (SELECT avg(df) FROM df), false) AS is_rare_leaf, p_partkey IN (SELECT node FROM w) AS in_chain FROM part LEFT JOIN edeg h ON p_partkey = h.node LEFT JOIN df ON p_partkey = df.node")
 def structure_tags(spark, d):
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     freq = at(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.countDistinct("l_orderkey").alias("df"))
     return graph.structure(at(spark, d, "part").select(F.col("p_partkey").alias("node")), edges, cut(freq), 0.8)
 
@@ -295,9 +298,9 @@ def snapshot_stats(spark, d):
     return snapshot_pct(spark, d).select("pct", "n_nodes", "n_edges", r6(F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(0.0)).alias("density"), r6(2.0 * m / n).alias("mean_degree"))
 
 
-@query(f"WITH RECURSIVE {GROUPS}, m AS (SELECT count(*) AS n_edges FROM heavy) SELECT (SELECT count(*) FROM hdeg) AS n_nodes, n_edges, round(2.0 * n_edges / (SELECT count(*) FROM hdeg), 6) AS mean_degree, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(size) FROM sizes) AS largest FROM m")
+@query(f"WITH RECURSIVE {GROUPS}, m AS (SELECT count(*) AS n_edges FROM whole) SELECT (SELECT count(*) FROM edeg) AS n_nodes, n_edges, round(2.0 * n_edges / (SELECT count(*) FROM edeg), 6) AS mean_degree, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(size) FROM sizes) AS largest FROM m")
 def graph_report(spark, d):
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     sizes = graph.components(edges).groupBy("component").agg(F.count("*").alias("size")).agg(F.sum("size").alias("n_nodes"), F.count("*").alias("n_components"), F.max("size").alias("largest"))
     return sizes.crossJoin(edges.agg(F.count("*").alias("n_edges"))).select("n_nodes", "n_edges", r6(2.0 * F.col("n_edges") / F.col("n_nodes")).alias("mean_degree"), "n_components", "largest")
 
@@ -305,13 +308,13 @@ def graph_report(spark, d):
 @query(f"WITH RECURSIVE {GROUPS} SELECT p_partkey AS node, CASE WHEN s.size >= 3 THEN 'C' || g.component WHEN p_size > 25 THEN 'R' || p_brand WHEN g.component IS NOT NULL THEN 'K' || g.component ELSE 'K000' END AS cluster_id FROM part LEFT JOIN grp g ON p_partkey = g.node LEFT JOIN sizes s ON g.component = s.component")
 def cluster_ids(spark, d):
     """The first that a node has: a compound of three and more, a root, a component, none."""
-    found = cut(graph.components(_heavy(spark, d)))
+    found = cut(graph.components(_edges(spark, d)))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     j = at(spark, d, "part").join(found.join(sizes, "component"), F.col("p_partkey") == F.col("node"), "left")
     return j.select(F.col("p_partkey").alias("node"), F.coalesce(F.when(F.col("size") >= 3, F.concat(F.lit("C"), "component")), F.when(F.col("p_size") > 25, F.concat(F.lit("R"), "p_brand")), F.concat(F.lit("K"), "component"), F.lit("K000")).alias("cluster_id"))
 
 
-@query(f"WITH {HEAVY}, full_ AS (SELECT node, avg(weight) AS s FROM (SELECT source AS node, weight FROM edges UNION ALL SELECT target, weight FROM edges) GROUP BY 1) SELECT p_partkey AS node, round(coalesce(h.mean_weight, f.s), 6) AS stability, CASE WHEN h.node IS NOT NULL THEN 'heavy' WHEN f.node IS NOT NULL THEN 'all' ELSE 'none' END AS source FROM part LEFT JOIN hdeg h ON p_partkey = h.node LEFT JOIN full_ f ON p_partkey = f.node")
+@query(f"WITH {SIDES}, strong AS (SELECT node, avg(weight) AS mean_weight FROM esides WHERE weight >= 2 GROUP BY 1), full_ AS (SELECT node, avg(weight) AS s FROM esides GROUP BY 1) SELECT p_partkey AS node, round(coalesce(h.mean_weight, f.s), 6) AS stability, CASE WHEN h.node IS NOT NULL THEN 'heavy' WHEN f.node IS NOT NULL THEN 'all' ELSE 'none' END AS source FROM part LEFT JOIN strong h ON p_partkey = h.node LEFT JOIN full_ f ON p_partkey = f.node")
 def preferred_stability(spark, d):
     """Of two sources the preferred one where it has the element."""
     pairs = cut(_pairs(spark, d))
@@ -348,9 +351,9 @@ def depth_importance(spark, d):
     return styling.depth_importance(_nodes(spark, d)).select("node", r6("importance").alias("importance"))
 
 
-@query(f"WITH {HEAVY}, u AS (SELECT source, target, {norm('weight')} AS w FROM heavy) SELECT source, target, round(0.15 + 2.3 * pow(w, 0.8), 6) AS width, round(0.25 + 0.75 * pow(w, 0.7), 6) AS alpha FROM u")
+@query(f"WITH {SIDES}, u AS (SELECT source, target, {norm('weight')} AS w FROM whole) SELECT source, target, round(0.15 + 2.3 * pow(w, 0.8), 6) AS width, round(0.25 + 0.75 * pow(w, 0.7), 6) AS alpha FROM u")
 def edge_styles(spark, d):
-    return styling.edge_styles(_heavy(spark, d)).select("source", "target", *[r6(c).alias(c) for c in ("width", "alpha")])
+    return styling.edge_styles(_edges(spark, d)).select("source", "target", *[r6(c).alias(c) for c in ("width", "alpha")])
 
 
 @query("""WITH h AS (SELECT p_partkey AS node, p_size / 50.0 AS hue, 0.5 + p_size / 200.0 AS s, 0.9::DOUBLE AS v FROM part), k AS (SELECT *, (hue - floor(hue)) * 6.0 AS h6 FROM h), f AS (SELECT *, CAST(floor(h6) AS BIGINT) % 6 AS i, h6 - floor(h6) AS f FROM k), c AS (SELECT *, v * (1 - s) AS p, v * (1 - f * s) AS q, v * (1 - (1 - f) * s) AS t FROM f)
@@ -552,22 +555,28 @@ def lsa_fusion(spark, d):
 
 @query()
 def betweenness(spark, d):
-    return graph.betweenness(_heavy(spark, d), 16).select("node", F.round("betweenness", 9).alias("betweenness"))
+    return graph.betweenness(_edges(spark, d)).select("node", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
 def top_spectral_gap(spark, d):
     """Of the graph of the 200 nodes with the most edges."""
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     few = graph.induced(edges, graph.degree(edges).orderBy(F.desc("degree"), "node").limit(200))
-    return spark.createDataFrame([(graph.spectral_gap(few),)], "gap double")
+    return spark.createDataFrame([(spectra.spectral_gap(few),)], "gap double")
+
+
+@query()
+def spectral_gap(spark, d):
+    """Of the whole graph."""
+    return spark.createDataFrame([(spectra.spectral_gap(_edges(spark, d)),)], "gap double")
 
 
 @query(f"""WITH RECURSIVE {GROUPS}, first AS (SELECT component, node FROM (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS p FROM grp) x WHERE p <= 20),
-walk(component, start, node, far) AS (SELECT component, node, node, 0 FROM first UNION SELECT w.component, w.start, s.other, w.far + 1 FROM walk w JOIN hsides s ON w.node = s.node WHERE w.far < 30 AND NOT EXISTS (SELECT 1 FROM recurring.walk o WHERE o.component = w.component AND o.start = w.start AND o.node = s.other))
+walk(component, start, node, far) AS (SELECT component, node, node, 0 FROM first UNION SELECT w.component, w.start, s.other, w.far + 1 FROM walk w JOIN esides s ON w.node = s.node WHERE NOT EXISTS (SELECT 1 FROM recurring.walk o WHERE o.component = w.component AND o.start = w.start AND o.node = s.other))
 SELECT component AS "group", max(far) AS diameter FROM (SELECT w.component, w.start, w.node, min(far) AS far FROM walk w JOIN first f ON w.component = f.component AND w.node = f.node GROUP BY ALL) y GROUP BY component""".replace("walk(component, start, node, far) AS", "walk(component, start, node, far) USING KEY (component, start, node) AS"))
 def component_diameters(spark, d):
-    edges = _heavy(spark, d)
+    edges = _edges(spark, d)
     return graph.group_diameters(edges, graph.components(edges).withColumnRenamed("component", "group"))
 
 
@@ -602,19 +611,19 @@ def regime_means(spark, d):
     return _signatures(spark, d).agg(F.count("*").alias("n"), r6(a).alias("info"), r6(b).alias("misinfo"), r6(c).alias("disinfo"), r6(a / (a + b + c)).alias("info_share"))
 
 
-@query(f"WITH {HEAVY}, n AS (SELECT node FROM hdeg ORDER BY degree DESC, node LIMIT 100) SELECT source, target, weight FROM heavy WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)")
+@query(f"WITH {SIDES}, n AS (SELECT node FROM edeg ORDER BY degree DESC, node LIMIT 100) SELECT source, target, weight FROM whole WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)")
 def snapshot_through_table(spark, d):
     """The graph of the 100 nodes with the most edges as a stored snapshot, read back."""
-    edges, path = _heavy(spark, d), new_path(spark)
+    edges, path = _edges(spark, d), new_path(spark)
     graph.induced(edges, graph.degree(edges).orderBy(F.desc("degree"), "node").limit(100)).select("source", "target", "weight").write.parquet(path)
     return spark.read.parquet(path)
 
 
-@query(f"""WITH {HEAVY}, g AS (SELECT node, degree, p_brand AS grp FROM hdeg JOIN part ON node = p_partkey), r AS (SELECT *, dense_rank() OVER (ORDER BY grp) - 1 AS sector, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, node) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM g), k AS (SELECT max(sector) + 1 AS sectors FROM r)
+@query(f"""WITH {SIDES}, g AS (SELECT node, degree, p_brand AS grp FROM edeg JOIN part ON node = p_partkey), r AS (SELECT *, dense_rank() OVER (ORDER BY grp) - 1 AS sector, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, node) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM g), k AS (SELECT max(sector) + 1 AS sectors FROM r)
 SELECT node, round((1.0 + place) / size * cos(2 * pi() * (sector + (place + 0.5) / size) / sectors), 6) + 0.0 AS x, round((1.0 + place) / size * sin(2 * pi() * (sector + (place + 0.5) / size) / sectors), 6) + 0.0 AS y FROM r, k""")
 def radial_layout(spark, d):
     groups = at(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("group"))
-    return styling.radial(graph.degree(_heavy(spark, d)).join(groups, "node")).select("node", *r6s("x", "y"))
+    return styling.radial(graph.degree(_edges(spark, d)).join(groups, "node")).select("node", *r6s("x", "y"))
 
 
 @query("SELECT unnest(['documents: ' || (SELECT count(*) FROM documents), 'characters: ' || (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents), 'sources: ' || (SELECT count(DISTINCT source) FROM documents), 'labelled: ' || (SELECT count(*) FROM labels)]) AS line")

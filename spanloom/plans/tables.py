@@ -39,9 +39,39 @@ def cut(df: DataFrame) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Deletes a table that cut() made and that is not read any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(df.sparkSession, df._cut)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def quantile(df: DataFrame, column: str, share: float, bins: int = 2_048) -> float | None:
+    """The exact percentile of a column's numbers, interpolated between neighbours; None if there are none.
+
+    Each pass counts values in bins and goes on inside the bin of the wanted rank, from its least to its largest value,
+    until these are equal. What reaches the driver is a row for each bin; no task holds the values.
+    """
+    x = F.col(column).cast("double")
+    values = df.filter(x.isNotNull()).select(x.alias("x"))
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).head()
+    if not n:
+        return None
+    place = (n - 1) * share
+    rank, before = int(place), 0
+    while low < high:
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("x") - low) / (high - low) * bins))
+        counts = values.filter(F.col("x").between(low, high)).groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: r["b"]):
+            if before + r["n"] > rank:
+                low, high = r["lo"], r["hi"]
+                break
+            before += r["n"]
+    if place == rank:
+        return low
+    upto, after = values.agg(F.count(F.when(F.col("x") <= low, 1)), F.min(F.when(F.col("x") > low, F.col("x")))).head()
+    return low + (place - rank) * ((low if upto > rank + 1 else after) - low)
 
 
 def ranked(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
@@ -55,4 +85,4 @@ def ranked(df: DataFrame, *order: str | Column, name: str = "place") -> DataFram
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     # A row for each shuffle partition is broadcast.
-    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in") + F.col("_offset")).cast("int")).drop("_part", "_in", "_offset")
+    return inside.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in") + F.col("_offset")).drop("_part", "_in", "_offset")

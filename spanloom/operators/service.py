@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
@@ -45,6 +45,50 @@ def verify(said: DataFrame, found: DataFrame) -> DataFrame:
     return said.join(here, "path", "left").select("path", status.alias("status"))
 
 
+def bucket(path: Column, digits: int) -> Column:
+    return F.substring(F.sha2(path.cast("binary"), 256), 1, digits)
+
+
+def tree(files: DataFrame, depth: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, level, node, hash, n_files: a Merkle tree over files (path, sha256), one for each value of `by`.
+
+    A file's place is the first `depth` hex digits of its path's hash, so leaves are alike in size, and each node above
+    is the hash of at most sixteen hashes below. Lists are as long as a leaf: the depth is to be chosen so that
+    16 ** depth leaves hold all files. Level 0 has the root.
+    """
+    said = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256"))), ",")
+    level = files.groupBy(*by, bucket(F.col("path"), depth).alias("node")).agg(F.sha2(said.cast("binary"), 256).alias("hash"), F.count("*").alias("n_files"))
+    levels = [level]
+    for digits in range(depth - 1, -1, -1):
+        below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), "")
+        level = level.groupBy(*by, F.substring("node", 1, digits).alias("node")).agg(F.sha2(below.cast("binary"), 256).alias("hash"), F.sum("n_files").alias("n_files"))
+        levels.append(level)
+    whole = levels[0].withColumn("level", F.lit(depth))
+    for k, level in enumerate(levels[1:], 1):
+        whole = whole.unionByName(level.withColumn("level", F.lit(depth - k)))
+    return whole.select(*by, "level", "node", "hash", "n_files")
+
+
+def verify_tree(said: DataFrame, found: DataFrame, said_tree: DataFrame, found_tree: DataFrame, depth: int = 3) -> DataFrame:
+    """path, status of the files that differ: missing, added, size or hash.
+
+    It descends from the roots, level by level, only where hashes differ, and compares the files of the leaves that it
+    ends in. files: path, size_bytes, sha256; trees of the same depth without `by`.
+    """
+    differ = None
+    for level in range(depth + 1):
+        a, b = (t.filter(F.col("level") == level).select("node", F.col("hash").alias(c)) for t, c in ((said_tree, "a"), (found_tree, "b")))
+        if differ is not None:
+            up = differ.select(F.col("node").alias("up"))
+            a, b = (t.join(up, F.substring("node", 1, level - 1) == F.col("up"), "left_semi") for t in (a, b))
+        differ = a.join(b, "node", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+    inside = lambda df: df.join(differ, bucket(F.col("path"), depth) == F.col("node"), "left_semi")
+    here = inside(found).select("path", F.col("size_bytes").alias("size_"), F.col("sha256").alias("sha_"))
+    status = F.when(F.col("sha_").isNull(), "missing").when(F.col("sha256").isNull(), "added").when(F.col("size_") != F.col("size_bytes"), "size").when(F.col("sha_") != F.col("sha256"), "hash")
+    return inside(said).join(here, "path", "full").select("path", status.alias("status")).filter("status IS NOT NULL")
+
+
+
 class Registry:
     """Corpora, runs and artifacts as logs of JSON records in a folder: a change is one more record, the newest of a key holds.
 

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import contexts, graph, reports, service, spectra, styling, terms, timeline, vectors
-from spanloom.plans.catalog import BACKBONE, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TOKENS, _important, _pairs, _scored, _signatures, _stable, at, core_score_rank, query, r6, snapshot_pct
+from spanloom.operators import contexts, graph, language, phrases, reports, service, spectra, styling, terms, timeline, vectors
+from spanloom.plans.catalog import BACKBONE, ELEMENTS, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TALK, TOKENS, _important, _pairs, _scored, _signatures, _stable, _talk, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans import run as runs
 from spanloom.plans.tables import cut, new_path, ranked
-from spanloom.sources import files, sinks
+from spanloom.sources import files, scan, sinks
+from spanloom.streaming import batches
 
 
 def squeezed(sql: str) -> str:
@@ -202,11 +203,55 @@ def records_by_kind(spark, d):
     return sinks.read_by_kind(spark, path).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars"))
 
 
-@query("SELECT source, count(*) AS n_files, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM documents GROUP BY source")
+def tree_sql(depth: int) -> str:
+    """The levels of a Merkle tree by source, t0 with the roots."""
+    parts = [f"t{depth} AS (SELECT source, substr(sha256(path), 1, {depth}) AS node, sha256(string_agg(path || ':' || sha, ',' ORDER BY path || ':' || sha)) AS hash, count(*) AS n_files FROM files GROUP BY ALL)"]
+    parts += [f"t{k} AS (SELECT source, substr(node, 1, {k}) AS node, sha256(string_agg(hash, '' ORDER BY node)) AS hash, CAST(sum(n_files) AS BIGINT) AS n_files FROM t{k + 1} GROUP BY source, substr(node, 1, {k}))" for k in range(depth - 1, -1, -1)]
+    return ", ".join(parts)
+
+
+@query(f"WITH files AS (SELECT CAST(doc_id AS VARCHAR) AS path, source, sha256(text) AS sha FROM documents), {tree_sql(4)} SELECT source, n_files, hash AS digest FROM t0")
 def folder_hashes(spark, d):
-    """The hash of a folder: that of its files' hashes in order."""
-    each = service.manifest(at(spark, d, "documents"), "doc_id", "text").withColumnRenamed("sha256", "h").join(at(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "source"), "path")
-    return each.groupBy("source").agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("digest"))
+    """The hash of a folder: the root of a tree over its files' hashes."""
+    docs = at(spark, d, "documents")
+    files_ = docs.select(F.col("doc_id").cast("string").alias("path"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return service.tree(files_, 4, ("source",)).filter("level = 0").select("source", "n_files", F.col("hash").alias("digest"))
+
+
+def _files(spark, d, body=None):
+    """Documents as text files by source, written by the executors: the folder and the rows."""
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".txt").otherwise(".md"))
+    rows = at(spark, d, "documents").select(name.alias("path"), F.coalesce("text" if body is None else body, F.lit("")).alias("text"))
+    folder = new_path(spark)
+    sinks.write_files(rows.filter("text <> ''") if body is not None else rows, folder)
+    scan.register(spark)
+    return folder, rows
+
+
+FILES = "f AS (SELECT coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'en' THEN '.txt' ELSE '.md' END AS path, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"WITH {FILES} SELECT path, '.txt' AS suffix, strlen(text) AS size_bytes, sha256(text) AS digest FROM f WHERE path LIKE '%.txt'")
+def scanned_files(spark, d):
+    """A folder's files of one suffix by the corpus data source."""
+    folder, _ = _files(spark, d)
+    return spark.read.format("corpus_files").option("suffixes", "txt").load(folder).select("path", "suffix", "size_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(f"WITH {FILES} SELECT path, strlen(text) AS size_bytes, sha256(text) AS digest FROM f ORDER BY path LIMIT 150")
+def scanned_first(spark, d):
+    """The first files of a folder by path; no other is opened."""
+    folder, _ = _files(spark, d)
+    return spark.read.format("corpus_files").option("max_docs", 150).option("partition_bytes", 200_000).load(folder).select("path", "size_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(f"WITH {FILES}, g AS (SELECT path, text, regexp_replace(replace(text, '@', '#'), '[0-9]{{3}}-', '', 'g') AS clean FROM f) SELECT path, CASE WHEN clean = '' THEN 'missing' WHEN strlen(clean) <> strlen(text) THEN 'size' ELSE 'hash' END AS status FROM g WHERE clean <> text OR clean = ''")
+def verified_tree(spark, d):
+    """A folder of texts without addresses and numbers against the list of raw ones: what that has changed is found from the roots of two trees."""
+    folder, _ = _files(spark, d, F.regexp_replace(F.replace("text", F.lit("@"), F.lit("#")), "[0-9]{3}-", ""))
+    raw = cut(service.manifest(at(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".txt").otherwise(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("text")), "path", "text"))
+    there = cut(service.manifest(spark.read.format("corpus_files").load(folder), "path", "text"))
+    return service.verify_tree(raw, there, cut(service.tree(raw)), cut(service.tree(there)))
 
 
 # ---------------------------------------------------------------- graph tables
@@ -414,6 +459,65 @@ def example_spans(spark, d):
     return contexts.examples(tokens, targets)
 
 
+@query(f"""WITH {ELEMENTS}, top AS (SELECT element FROM elements WHERE length(element) > 1 GROUP BY element ORDER BY count(*) DESC, element LIMIT 500),
+low AS (SELECT doc_id, position, chr(1) || regexp_replace(lower(span), '[^\\p{{L}}\\p{{N}}_ ]', chr(1), 'g') || chr(1) AS t FROM spans),
+held AS (SELECT doc_id, position, element FROM low JOIN top ON contains(t, element) WHERE contains(t, ' ' || element || ' ') OR contains(t, ' ' || element || chr(1)) OR contains(t, chr(1) || element || ' ') OR contains(t, chr(1) || element || chr(1)))
+SELECT element, row_number() OVER (PARTITION BY element ORDER BY doc_id, position) AS place, doc_id, position FROM held QUALIFY place <= 3""")
+def example_phrases(spark, d):
+    """The first spans whose text has an element, phrases too, as whole words."""
+    docs = at(spark, d, "documents")
+    targets = terms.frequencies(terms.tokenised(docs)).orderBy(F.desc("collection_freq"), "element").limit(500)
+    return phrases.text_examples(terms.spans(docs), targets)
+
+
+@query(ORACLES["element_frequencies"])
+def batched_elements(spark, d):
+    """Element frequencies merged from a stream of document files, five files a batch; a batch that comes again changes nothing."""
+    merged, folder = _batched(spark, d)
+    merged.elements.compact()
+    merged.sizes.compact()
+    merged.merge(at(spark, folder, "docs"), 0)
+    return merged.elements.read().select("element", "collection_freq", "span_freq")
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT doc_id, count(*) AS n_spans, sum(len(tokens)) AS n_tokens FROM tokened GROUP BY 1) SELECT source, count(*) AS n_docs, CAST(coalesce(sum(n_spans), 0) AS BIGINT) AS n_spans, CAST(coalesce(sum(n_tokens), 0) AS BIGINT) AS n_tokens FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY source")
+def batched_sizes(spark, d):
+    """The corpus' sizes by source, merged the same way."""
+    return _batched(spark, d)[0].sizes.read()
+
+
+def _batched(spark, d):
+    folder = new_path(spark)
+    docs = at(spark, d, "documents").select("doc_id", "text", "source")
+    docs.write.option("maxRecordsPerFile", 100).parquet(f"{folder}/docs.parquet")
+    merged = batches.CorpusBatches(spark, new_path(spark), every=4)
+    merged.follow(batches.document_files(spark, f"{folder}/docs.parquet", docs.schema.simpleString()[7:-1].replace(":", " ")))
+    return merged, folder
+
+
+KNESER = f"""{TALK}, grams AS (SELECT * FROM (SELECT doc_id, word AS g1, lead(word, 1) OVER x AS g2, lead(word, 2) OVER x AS g3 FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY place)) y WHERE g3 IS NOT NULL),
+c3 AS (SELECT g1, g2, g3, count(*) AS n3 FROM grams GROUP BY ALL), c2 AS (SELECT g2, g3, count(*) AS n2 FROM c3 GROUP BY ALL), c1 AS (SELECT g3, count(*) AS n1 FROM c2 GROUP BY ALL),
+h3 AS (SELECT g1, g2, sum(n3) AS s3, count(*) AS k3 FROM c3 GROUP BY ALL), h2 AS (SELECT g2, sum(n2) AS s2, count(*) AS k2 FROM c2 GROUP BY ALL), h1 AS (SELECT sum(n1) AS s1, count(*) AS k1 FROM c1),
+p AS (SELECT c3.g1, c3.g2, c3.g3, (n3 - 0.75 + 0.75 * k3 * ((n2 - 0.75 + 0.75 * k2 * ((n1 - 0.75 + 0.75 * k1 / (k1 + 1.0)) / s1)) / s2)) / s3::DOUBLE AS p
+  FROM c3 JOIN c2 ON c3.g2 = c2.g2 AND c3.g3 = c2.g3 JOIN c1 ON c3.g3 = c1.g3 JOIN h3 ON c3.g1 = h3.g1 AND c3.g2 = h3.g2 JOIN h2 ON c3.g2 = h2.g2, h1)"""
+
+
+@query(f"WITH {KNESER} SELECT doc_id, round(exp(-avg(ln(p))), 4) AS perplexity, count(*) AS n_words FROM grams g JOIN p ON g.g1 = p.g1 AND g.g2 = p.g2 AND g.g3 = p.g3 GROUP BY doc_id")
+def kneser_ney_perplexity(spark, d):
+    grams = cut(language.trigrams(_talk(spark, d)))
+    return language.KneserNey(grams).perplexity(grams).select("doc_id", F.round("perplexity", 4).alias("perplexity"), "n_words")
+
+
+@query(f"""WITH {KNESER}, best AS (SELECT g1, g2, g3, round(ln(p), 9) AS lp FROM p QUALIFY row_number() OVER (PARTITION BY g1, g2 ORDER BY round(ln(p), 9) DESC, g3) <= 3),
+one AS (SELECT g1, g2, g2 AS u, g3 AS v, g3 AS words, lp AS score FROM best),
+two AS (SELECT o.g1, o.g2, o.words || ' ' || b.g3 AS words, round(o.score + b.lp, 9) AS score FROM one o JOIN best b ON o.u = b.g1 AND o.v = b.g2)
+SELECT g1, g2, words, round(score, 6) AS score, row_number() OVER (PARTITION BY g1, g2 ORDER BY score DESC, words) AS place FROM two QUALIFY row_number() OVER (PARTITION BY g1, g2 ORDER BY two.score DESC, words) <= 3""".replace("round(score, 6) AS score, row_number() OVER (PARTITION BY g1, g2 ORDER BY score DESC, words) AS place FROM two", "round(two.score, 6) AS score, row_number() OVER (PARTITION BY g1, g2 ORDER BY two.score DESC, words) AS place FROM two"))
+def suggested_words(spark, d):
+    """For all two words in a row the three best continuations of two words."""
+    model = language.KneserNey(language.trigrams(_talk(spark, d)))
+    return model.suggestions(model.three.select("g1", "g2").distinct()).select("g1", "g2", "place", "words", r6("score").alias("score"))
+
+
 @query(f"""WITH {SIGN}, f AS (SELECT tokens[i] || ' ' || tokens[i + 1] AS element FROM (SELECT tokens, unnest(range(1, len(tokens))) AS i FROM tokened) x), n AS (SELECT element FROM f GROUP BY element HAVING count(*) >= 2), t AS (SELECT element, unnest(string_split(element, ' ')) AS token FROM n)
 SELECT t.element, round(avg(coalesce(a, 0.0)), 6) AS p_information, round(avg(coalesce(b, 0.0)), 6) AS p_misinformation, round(avg(coalesce(c, 0.0)), 6) AS p_disinformation FROM t LEFT JOIN signs s ON t.token = s.element GROUP BY t.element""")
 def phrase_regimes(spark, d):

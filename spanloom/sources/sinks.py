@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.scan import opened
+
 
 def write_csv(df: DataFrame, path: str, *order: str | Column) -> None:
     """A table in order; range partitions keep it over several files."""
@@ -42,6 +47,31 @@ def read_by_kind(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, kind string").text(path)
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes a file for each row (path, text) below a folder, on the executors; the number of files.
+
+    A file takes its name when it is whole, so a task that is run again only replaces files by equal ones. Paths that
+    leave the folder are an error.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                clean = posixpath.normpath(path)
+                if clean.startswith(("/", "..")) or clean == ".":
+                    raise ValueError(f"not a path below the folder: {path!r}")
+                at = f"{root}/{clean}"
+                system.create_dir(posixpath.dirname(at), recursive=True)
+                fresh = f"{posixpath.dirname(at)}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(fresh) as out:
+                    out.write((content or "").encode())
+                system.move(fresh, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).head()[0] or 0
+
+
 class Store:
     """Objects by key below a folder of any file system that Spark knows. Keys cannot leave the folder."""
 

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from spanloom.llm import hamerly
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables in many rounds."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plain(rows, k=8, rounds=10, width=64):
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of the kept rows, by Lloyd's rounds."""
     kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)]

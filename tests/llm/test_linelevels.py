@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import common, linelevels
 
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables in many rounds."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 

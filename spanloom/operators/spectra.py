@@ -4,8 +4,8 @@ The normalised Laplacian I - N, N = D^-1/2 A D^-1/2, has the eigenvalue 0 with t
 degrees. The gap to the next eigenvalue is 1 less the largest eigenvalue of N on what is orthogonal to that vector, and
 Lanczos' three-term recurrence finds it: a step is one join of the vector with the edges, one table of a row per node
 (the last two vectors and the new product) and one row of scalar products, which is all that the driver sees. The known
-vector is taken out of every product again, so rounding does not bring it back. Steps end when the bound of the largest
-value's error is under the tolerance.
+vector is taken out of every product again, so rounding does not bring it back. Steps end when the residual of the
+largest value's vector is under the tolerance; the value's own error is about its square over the distance to the next.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from spanloom.plans.tables import cut, remove
 VECTORS = ("u", "p", "q", "w")
 
 
-def spectral_gap(edges: DataFrame, tolerance: float = 1e-8) -> float:
+def spectral_gap(edges: DataFrame, tolerance: float = 1e-5) -> float:
     """The second less the first eigenvalue of the normalised Laplacian; 0 under three nodes. edges: source, target, and weight if there is one."""
     links = cut(both_ways(edges))
     roots = cut(links.groupBy(F.col("a").alias("node")).agg(F.sqrt(F.sum("w")).alias("r")))

@@ -642,7 +642,7 @@ def condense_metrics(spark, d):
 def lsa_elements(spark, d):
     """Coherence of each element in the space of the leading singular vectors of the spans' weights."""
     weighted = cut(terms.weights(at(spark, d, "documents")))
-    spans, _ = vectors.lsa(weighted, 32)
+    spans, _ = vectors.lsa(weighted)
     return vectors.element_vectors(weighted, spans).select(F.col("label").alias("element"), "n", r6("coherence").alias("coherence"))
 
 
@@ -650,7 +650,7 @@ def lsa_elements(spark, d):
 def lsa_fusion(spark, d):
     """Spans linked to elements: both as vectors of the same space, the adaptive threshold by the span's entropy."""
     weighted = cut(terms.weights(at(spark, d, "documents")))
-    spans = cut(vectors.lsa(weighted, 32)[0])
+    spans = cut(vectors.lsa(weighted)[0])
     units = spans.select(F.struct("doc_id", "position").alias("at"), "v")
     numbered = cut(ranked(units.select("at.doc_id", "at.position", "v"), "doc_id", "position").withColumn("vec_id", F.col("place").cast("long")))
     found = vectors.similarity_links(numbered.select("vec_id", "v"), vectors.element_vectors(weighted, spans).select("label", "v"))

@@ -58,7 +58,7 @@ class CorpusReader:
                 room = self.bytes
             parts[-1].paths.append(f.path)
             room -= f.size
-        return parts
+        return parts or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, root = opened(self.folder)

@@ -2,18 +2,18 @@
 
 The standard library's parser is fed the whole page and sends its events to a collector, which cuts the page into
 lines: runs of text between block-level tags. Each line has a text-to-tag ratio: the characters it holds outside of
-links over the tags met in it (at least one). Menus, footers, sidebars and page headers count 0 by their elements.
-Forms and what bears a telling class, id or role (adverts, notices, comments) is only held in doubt: its ratios are
-scaled down to a tenth, so that it loses against a page's other text, but a page that lies in a doubtful wrapper as a
-whole is found. The ratios are smoothed with a Gaussian kernel along the page. Lines whose smoothed ratio exceeds a
-share of the standard deviation form clusters, which select the content regions: each cluster claims the containers
-(article, main, section, td or div) of its lines from the first to the last that passes by its own ratio, and an
-article or main around them is claimed as a whole. The lines
-of claimed regions are the text, in page order, so that the threshold picks regions and not lines inside of them;
-doubtful parts of a region stay out unless a cluster claims them too, and so do link lists: groups of short links
-that hold most of their group's characters. If no line passes, the region of the line with the top ratio is taken,
-so that a very short article is found too. Where a page has an article or main element with text, the others' lines
-are no candidates.
+links over the tags met in it (at least one). What the markup says is a factor of the ratio: 0 in menus, footers,
+sidebars and page headers, 0.1 in forms and in what bears a telling class, id or role (adverts, notices, comments),
+0.02 outside of article and main where a page has one with text. The ratios are smoothed with a Gaussian kernel along
+the page. Lines whose smoothed ratio exceeds a share of the standard deviation form clusters, which alone select the
+content regions: each cluster claims the containers of its lines from the first to the last that passes by its own
+ratio, and an article or main around them as a whole. A page's body holds the rest of the page too, so of its own lines
+only the stretch is taken that reaches from its first cluster to its last, clusters being as wide as the smoothed
+ratio stays over a tenth of the threshold or over half its median, whichever is less. The lines of claimed regions are the text, in page order: the threshold
+picks regions and not lines inside of them. Menus, sidebars and doubtful parts inside of a region are regions of their
+own, which stay out unless a cluster claims them; so do link lists: groups of short links that hold most of their
+group's characters. If no line passes, the region of the line with the top smoothed ratio is taken (of equal ones the
+first), so that a very short article is found too. Time and memory grow with a page's length alone.
 
 Defined cases: null and empty pages have the empty text; repeated rows are extracted each on its own; extra
 columns are ignored; an empty table gives an empty result. White space inside a line becomes one space.
@@ -40,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 SILENT = frozenset("script style noscript template head svg math iframe object canvas audio video".split())
 BOILERPLATE = frozenset("nav footer aside menu dialog button select textarea".split())
 CONTAINERS = frozenset("article main section div td body".split())
+#: Factors of the ratio: a doubtful element, outside of a page's articles.
+DOUBTFUL, OUTSIDE = 0.1, 0.02
 LISTS = frozenset("ul ol dl table".split())
 WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -79,6 +81,8 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.kinds: dict[int, str] = {0: "body"}
         self.parents: dict[int, int] = {}
+        #: Menus, footers, sidebars and headers: containers that are no part of the one around them.
+        self.apart: set[int] = set()
         #: The article or main around each container, itself included (0: none).
         self.articles: dict[int, int] = {0: 0}
         self.parts: list[str] = []
@@ -113,12 +117,15 @@ class Lines(HTMLParser):
         _, silent, excluded, container, group, doubt = self.stack[-1]
         self.serial += 1
         if tag in BOILERPLATE or tag == "header" and not self.articles[container]:
-            excluded = True
+            if not excluded:
+                excluded = True
+                self.apart.add(self.serial)
         elif tag == "form" or attrs and tag not in ("html", "body") and self.marked(attrs):
             doubt = self.serial
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or self.serial in self.apart:
             self.parents[self.serial], self.kinds[self.serial] = container, tag
-            self.articles[self.serial] = self.serial if tag in ("article", "main") and not self.articles[container] else self.articles[container]
+            around = 0 if self.serial in self.apart else self.articles[container]
+            self.articles[self.serial] = self.serial if tag in ("article", "main") and not around else around
             container = group = self.serial
         elif tag in LISTS:
             group = self.serial
@@ -179,25 +186,43 @@ def link_lists(lines: list[Line], short: int = 30, share: float = 0.6, least: in
     return np.array([menu(x.links, x.linked, len(x.text)) or x.links > 0 and menu(*sums[x.group]) for x in lines], bool)
 
 
-def regions(lines: list[Line], parser: Lines, sigma: float, share: float, doubtful: float = 0.1) -> tuple[set[int], set[int]]:
-    """Containers that the clusters claim, and the doubtful elements (0: none) of their lines."""
-    proper = {parser.articles[x.container] for x in lines if not x.excluded} - {0}
-    ratios = np.array([0.0 if x.excluded or proper and not parser.articles[x.container] else max(0, len(x.text) - x.linked) / max(1, x.tags) * (doubtful if x.doubt else 1.0) for x in lines])
-    if not ratios.any():
-        # Nothing but links, or nothing at all: the lines themselves are compared.
-        ratios = np.array([0.0 if x.excluded or proper and not parser.articles[x.container] else len(x.text) * (doubtful if x.doubt else 1.0) for x in lines])
+def weighted(lines: list[Line], parser: Lines) -> np.ndarray:
+    """Text-to-tag ratios times what the markup says; lengths instead where a page has nothing but links."""
+    proper = any(parser.articles[x.container] for x in lines if not x.excluded)
+    factors = np.array([0.0 if x.excluded else (DOUBTFUL if x.doubt else 1.0) * (OUTSIDE if proper and not parser.articles[x.container] else 1.0) for x in lines])
+    ratios = factors * np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    return ratios if ratios.any() else factors * np.array([len(x.text) for x in lines])
+
+
+def regions(lines: list[Line], parser: Lines, sigma: float, share: float) -> tuple[set[int], set[int], dict[int, tuple[int, int]]]:
+    """Containers that the clusters claim, the doubtful elements (0: none) of their lines, and the stretch of lines that is taken of a body."""
+    ratios = weighted(lines, parser)
     if not ratios.any():
-        return set(), set()
-    smooth = smoothed(ratios, sigma) * (ratios > 0)
-    bar = min(share * float(ratios.std()), float(smooth.max()))
+        return set(), set(), {}
+    smooth = smoothed(ratios, sigma)
+    standing = smooth * (ratios > 0)
+    bar = min(share * float(ratios.std()), float(standing.max()))
     # A cluster reaches from its first to its last line that passes by itself; smoothing alone carries over its edge.
-    strong = np.flatnonzero((smooth >= bar) & (ratios >= bar))
-    cluster = np.cumsum(np.concatenate(([0], (smooth < bar)[:-1] | (smooth < bar)[1:])))
-    chosen = [lines[k] for k in strong.tolist()] or [lines[int(smooth.argmax())]]
-    for first, last in zip(strong[:-1].tolist(), strong[1:].tolist(), strict=True):
+    strong = np.flatnonzero((standing >= bar) & (ratios >= bar))
+    cluster = np.cumsum(np.concatenate(([0], (standing < bar)[:-1] | (standing < bar)[1:])))
+    chosen = strong.tolist() or [int(standing.argmax())]
+    for first, last in zip(chosen[:-1], chosen[1:], strict=True):
         if cluster[first] == cluster[last]:
-            chosen += [x for x in lines[first + 1 : last] if not x.doubt]
-    return {parser.articles[x.container] or x.container for x in chosen}, {x.doubt for x in chosen}
+            chosen += [k for k in range(first + 1, last) if not lines[k].doubt]
+    claimed: set[int] = set()
+    stretches: dict[int, tuple[int, int]] = {}
+    low = smooth < min(bar / 10, float(np.median(smooth[ratios > 0])) / 2)
+    # For each line the first and the last line of the run over that limit that it lies in.
+    place = np.arange(len(lines))
+    left = np.maximum.accumulate(np.where(low, place, -1)) + 1
+    right = np.minimum.accumulate(np.where(low, place, len(lines))[::-1])[::-1] - 1
+    for k in chosen:
+        container = lines[k].container
+        claimed.add(parser.articles[container] or container)
+        if parser.kinds[container] == "body":
+            a, b = stretches.get(container, (k, k))
+            stretches[container] = min(a, k, int(left[k])), max(b, k, int(right[k]))
+    return claimed, {lines[k].doubt for k in chosen}, stretches
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
@@ -209,13 +234,18 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    claimed, doubts = regions(lines, parser, sigma, share)
+    claimed, doubts, stretches = regions(lines, parser, sigma, share)
     inside = {0: 0 in claimed}
     for c, parent in parser.parents.items():  # a parent comes before its children
-        # A page's body stands for its own lines only.
-        inside[c] = c in claimed or inside[parent] and parser.kinds[parent] != "body"
+        # A page's body stands for its own lines only, and what is apart for itself.
+        inside[c] = c in claimed or inside[parent] and parser.kinds[parent] != "body" and c not in parser.apart
+
+    def taken(k: int, x: Line) -> bool:
+        a, b = stretches.get(x.container, (0, len(lines)))
+        return inside[x.container] and a <= k <= b and (not x.doubt or x.doubt in doubts)
+
     menus = link_lists(lines)
-    return "\n".join(x.text for x, menu in zip(lines, menus, strict=True) if inside[x.container] and not x.excluded and not menu and (not x.doubt or x.doubt in doubts))
+    return "\n".join(x.text for k, x in enumerate(lines) if not menus[k] and taken(k, x))
 
 
 def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.5) -> DataFrame:

@@ -1,6 +1,10 @@
 """Content regions by text-to-tag ratio: labelled pages without article or telling names, and what the method changes."""
 
+import re
+from html import unescape
+
 import duckdb
+import numpy as np
 import pytest
 
 from spanloom.llm import extraction
@@ -22,6 +26,7 @@ PAGES = {
     "comments in the article": (f"<article>{PARAGRAPHS}<section class='comments'><article><p>First!</p></article></section></article>", TEXT),
     "an advert without a name": (f"<body><div>Buy now</div><article>{PARAGRAPHS}</article></body>", TEXT),
     "links in the text": (f"<article><p><a href=x>See</a> {STORY[0]}</p></article>", f"See {STORY[0]}"),
+    "one line outweighs all": (f"<body><p>{'long ' * 900}</p>{PARAGRAPHS * 8}</body>", "\n".join([("long " * 900).strip(), *[TEXT] * 8])),
     "nothing but a menu": ("<nav><a href=x>a</a></nav>", ""),
 }
 
@@ -32,26 +37,56 @@ def test_labelled_pages(name):
     assert extraction.main_text(html) == text
 
 
-def plain(html):
-    """Every line outside of excluded elements: the method left out."""
-    parser = extraction.Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.cut()
-    return "\n".join(x.text for x in parser.lines if not x.excluded)
+def test_edges_of_a_body():
+    # What is far from the text goes; smoothing carries a cluster over the two lines next to it, whatever they are.
+    links = "".join(f"<p><a href=x>{x}</a></p>" for x in "abcde")
+    assert extraction.main_text(f"<body><p>Home</p>{links}{PARAGRAPHS}</body>") == f"d\ne\n{TEXT}"
+
+
+PAGES_PATH = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.fixture(scope="module")
+def table():
+    """Each page without its article tags, and the text that the generator wrote into them: blocks without links, split by a rule of its own."""
+    found = []
+    for (html,) in duckdb.sql(f"SELECT html FROM '{PAGES_PATH}' WHERE html LIKE '%<article>%</article>%'").fetchall():
+        inside = html.partition("<article>")[2].partition("</article>")[0]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", re.sub(r"</?b>|<!--.*?-->", "", inside)))
+        text = "\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
+        found.append((html, re.sub("</?article>", "", html), text))
+    return found
+
+
+def test_texts_of_the_table(table):
+    assert all(extraction.main_text(html) == text for html, _, text in table)
+    # Without the article tags nothing but ratios tells what a body's own lines are worth.
+    assert sum(extraction.main_text(bare) == text for _, bare, text in table) > 0.97 * len(table)
 
 
-def test_the_method_decides():
-    assert sum(plain(html) != text for html, text in PAGES.values()) >= 9
-    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' WHERE html <> ''").fetchall()
-    assert all(plain(html) != extraction.main_text(html) for (html,) in pages)
+@pytest.mark.parametrize(
+    "name, other, least",
+    [
+        # Every ratio the same; the ratio without its factors; no smoothing; every container claimed: one at a time.
+        ("weighted", lambda lines, parser: np.ones(len(lines)), 0.9),
+        ("weighted", lambda lines, parser: np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]), 0.2),
+        ("smoothed", lambda ratios, sigma: ratios, 0.1),
+        ("regions", lambda lines, parser, sigma, share: ({parser.articles[x.container] or x.container for x in lines}, {x.doubt for x in lines}, {}), 0.9),
+    ],
+)
+def test_each_step_of_the_method_decides(table, monkeypatch, name, other, least):
+    monkeypatch.setattr(extraction, name, other)
+    assert sum(extraction.main_text(bare) != text for _, bare, text in table) > least * len(table)
 
 
-def test_articles_of_the_table():
-    # The generator writes the text into the article element, in blocks without links.
-    for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
-        inside = (html or "").partition("<article>")[2].partition("</article>")[0]
-        assert extraction.main_text(html) == extraction.main_text(f"<article>{inside}</article>")
+def test_tables(spark):
+    columns = "page_id long, url string, html string, text string, n_chars long, lines string"
+    rows = [(1, "u", PAGES["links in a div"][0], "x", 7, "y"), (1, "u", PAGES["links in a div"][0], "x", 7, "y"), (2, None, None, None, None, None), (None, "v", "", "x", 1, "y"), (3, "w", "<p>" + "word " * 400_000 + "</p>", "", 0, "")]
+    found = sorted(extraction.extract(spark.createDataFrame(rows, columns)).collect(), key=lambda r: (r.page_id or 0, r.n_chars))
+    assert [(r.page_id, r.url, r.n_chars) for r in found] == [(None, "v", 0), (1, "u", len(TEXT)), (1, "u", len(TEXT)), (2, None, 0), (3, "w", 1_999_999)]
+    assert found[1].text == found[2].text == TEXT
+    empty = extraction.extract(spark.createDataFrame([], columns))
+    assert empty.collect() == [] and empty.columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_open_inline_tags_cost_no_square():

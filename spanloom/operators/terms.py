@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from spanloom.functions import scores, text
 from spanloom.plans.tables import cut, ranked
 
 MAX_VOCABULARY = 5000
+#: Makes the tokens of a span: an expression from an expression, evaluated in the row.
+Tokenizer = Callable[[Column], Column]
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -20,17 +24,17 @@ def _parts(phrases: bool) -> Column:
     return F.concat("tokens", text.bigrams("tokens")) if phrases else F.col("tokens")
 
 
-def tokenised(docs: DataFrame, phrases: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, phrases: bool = True, tokens: Tokenizer = text.tokens) -> DataFrame:
     """doc_id, position, elements: tokens of each span and phrases of two tokens in a row (no shuffle)."""
-    return spans(docs).withColumn("tokens", text.tokens(F.col("span"))).select("doc_id", "position", _parts(phrases).alias("elements"))
+    return spans(docs).withColumn("tokens", tokens(F.col("span"))).select("doc_id", "position", _parts(phrases).alias("elements"))
 
 
-def elements(docs: DataFrame, phrases: bool = True) -> DataFrame:
+def elements(docs: DataFrame, phrases: bool = True, tokens: Tokenizer = text.tokens) -> DataFrame:
     """doc_id, position, element: a row for each occurrence.
 
     The array is made inside the explode: a filter on its size would be inferred for a column, and make it again for each token.
     """
-    return spans(docs).withColumn("tokens", text.tokens(F.col("span"))).select("doc_id", "position", F.explode(_parts(phrases)).alias("element"))
+    return spans(docs).withColumn("tokens", tokens(F.col("span"))).select("doc_id", "position", F.explode(_parts(phrases)).alias("element"))
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -45,16 +49,16 @@ def vocabulary(freqs: DataFrame, most: int = MAX_VOCABULARY, min_spans: int = 2)
     return freqs.filter(F.col("span_freq") >= min_spans).orderBy(F.desc("collection_freq"), "element").limit(most)
 
 
-def weights(docs: DataFrame, most: int = MAX_VOCABULARY) -> DataFrame:
+def weights(docs: DataFrame, most: int = MAX_VOCABULARY, tokens: Tokenizer = text.tokens) -> DataFrame:
     """doc_id, position, element, tf, idf, weight: TF-IDF with smooth idf, each span scaled to length 1.
 
     The corpus is tokenised once. The vocabulary has at most `most` rows, and so has what is broadcast; one shuffle
     brings a span's elements together.
     """
-    tokens = cut(tokenised(docs))
-    n = tokens.count()
-    words = vocabulary(frequencies(tokens), most).select("element", (F.log((1.0 + n) / (1.0 + F.col("span_freq"))) + 1.0).alias("idf"))
-    known = tokens.select("doc_id", "position", F.explode("elements").alias("element")).join(F.broadcast(words), "element")
+    made = cut(tokenised(docs, tokens=tokens))
+    n = made.count()
+    words = vocabulary(frequencies(made), most).select("element", (F.log((1.0 + n) / (1.0 + F.col("span_freq"))) + 1.0).alias("idf"))
+    known = made.select("doc_id", "position", F.explode("elements").alias("element")).join(F.broadcast(words), "element")
     tf = known.repartition("doc_id", "position").groupBy("doc_id", "position", "element").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     x = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(x * x).over(Window.partitionBy("doc_id", "position")))
@@ -68,9 +72,9 @@ def entropy_of(weighted: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "tfidf", (F.log("tfidf") - F.col("wlogw") / F.col("tfidf")).alias("entropy"))
 
 
-def statistics(docs: DataFrame, most: int = MAX_VOCABULARY) -> DataFrame:
+def statistics(docs: DataFrame, most: int = MAX_VOCABULARY, tokens: Tokenizer = text.tokens) -> DataFrame:
     """element, collection_freq, span_freq, idf, tfidf, entropy."""
-    return statistics_of(weights(docs, most))
+    return statistics_of(weights(docs, most, tokens))
 
 
 def statistics_of(weighted: DataFrame) -> DataFrame:

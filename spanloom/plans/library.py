@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.functions import scores, text
-from spanloom.operators import contexts, graph, language, phrases, reports, service, spectra, styling, terms, timeline, vectors
-from spanloom.plans.catalog import BACKBONE, ELEMENTS, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TALK, TOKENS, _important, _pairs, _scored, _signatures, _stable, _talk, at, core_score_rank, query, r6, snapshot_pct
+from spanloom.functions import scores, session, text
+from spanloom.operators import contexts, graph, language, layout, phrases, reports, service, spectra, styling, terms, timeline, vectors
+from spanloom.plans.catalog import BACKBONE, ELEMENTS, FREQ, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TALK, TOKENS, _important, _pairs, _scored, _signatures, _stable, _talk, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans import run as runs
+from spanloom.plans.results import Results
 from spanloom.plans.tables import cut, new_path, ranked
 from spanloom.sources import files, scan, sinks
 from spanloom.streaming import batches
@@ -736,3 +739,52 @@ def report_text(spark, d):
     docs = at(spark, d, "documents")
     facts = docs.agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"), F.countDistinct("source").alias("sources")).crossJoin(at(spark, d, "labels").agg(F.count("*").alias("labelled")))
     return reports.lines(facts)
+
+
+# ---------------------------------------------------------------- tokenizers, SQL functions, results, forces
+OTHER = re.sub(r"(?s)list_filter\(list_transform\(regexp_extract_all\(span, .*?\) AS tokens", lambda _: r"regexp_extract_all(lower(span), '[\p{L}\p{N}_-]+') AS tokens", STATS)
+
+
+@query(f"WITH {OTHER} SELECT element, collection_freq, span_freq, round(tfidf, 6) AS tfidf, round(entropy, 6) + 0.0 AS entropy FROM stats")
+def tfidf_other_tokens(spark, d):
+    """The whole chain of statistics with another tokenizer: runs of letters, digits, _ and - of any script."""
+    return terms.statistics(at(spark, d, "documents"), tokens=text.word_characters).select("element", "collection_freq", "span_freq", *r6s("tfidf", "entropy"))
+
+
+@query(f"WITH {FREQ} SELECT element, collection_freq, span_freq, round(-(collection_freq / (collection_freq + span_freq)) * ln(collection_freq / (collection_freq + span_freq)) - (span_freq / (collection_freq + span_freq)) * ln(span_freq / (collection_freq + span_freq)), 6) AS entropy FROM freq WHERE span_freq >= 3")
+def sql_functions(spark, d):
+    """A query in SQL text by the functions of the session."""
+    session.register(spark, at(spark, d, "documents").select("doc_id", "text"))
+    return spark.sql("SELECT element, collection_freq, span_freq, round(corpus_entropy(array(CAST(collection_freq AS DOUBLE), CAST(span_freq AS DOUBLE))), 6) AS entropy FROM corpus_frequencies(3)")
+
+
+@query(f"WITH {FREQ}, n AS (SELECT count(*) FILTER (span_freq >= 2) AS two, count(*) FILTER (span_freq >= 3) AS three FROM freq) SELECT 'first' AS step, true AS made, two AS n_rows FROM n UNION ALL SELECT 'again', false, two FROM n UNION ALL SELECT 'changed', true, three FROM n UNION ALL SELECT 'as at first', false, two FROM n")
+def rehydrated_elements(spark, d):
+    """Frequencies as stored results: read again for the same files and parameters, made for others."""
+    docs, kept, rows = f"{d}/documents.parquet", Results(spark, new_path(spark)), []
+    for step, least in (("first", 2), ("again", 2), ("changed", 3), ("as at first", 2)):
+        found, made = kept.table("frequencies", [docs], {"least": least}, lambda least=least: terms.frequencies(terms.tokenised(spark.read.parquet(docs))).filter(F.col("span_freq") >= least))
+        rows.append((step, made, found.count()))
+    return spark.createDataFrame(rows, "step string, made boolean, n_rows long")
+
+
+FORCES = f"""{SIDES}, pos AS (SELECT p_partkey AS id, (p_partkey * 7919) % 10007 / 10007.0::DOUBLE AS x, (p_partkey * 104729) % 10009 / 10009.0::DOUBLE AS y FROM part),
+box AS (SELECT min(x) AS lx, min(y) AS ly, greatest(max(x) - min(x), max(y) - min(y)) * (1 + 1e-9::DOUBLE) AS side, CAST(greatest(2, ceil(ln(count(*)) / ln(4)) + 1) AS INT) AS depth FROM pos),
+fine AS (SELECT id, x, y, CAST(floor((x - lx) / side * 2 ** depth) AS BIGINT) AS cx, CAST(floor((y - ly) / side * 2 ** depth) AS BIGINT) AS cy, depth FROM pos, box),
+lev AS (SELECT id, x, y, CAST(l AS INT) AS l, cx >> CAST(depth - l AS BIGINT) AS cx, cy >> CAST(depth - l AS BIGINT) AS cy, depth FROM fine, range(2, 30) r(l) WHERE l <= depth),
+cells AS (SELECT l, cx, cy, count(*) AS m, avg(x) AS gx, avg(y) AS gy FROM lev GROUP BY ALL),
+acts AS (SELECT n.id, n.x - gx AS dx, n.y - gy AS dy, m FROM lev n JOIN cells c ON n.l = c.l AND abs((n.cx >> 1) - (c.cx >> 1)) <= 1 AND abs((n.cy >> 1) - (c.cy >> 1)) <= 1 AND greatest(abs(n.cx - c.cx), abs(n.cy - c.cy)) > 1
+  UNION ALL SELECT a.id, a.x - b.x, a.y - b.y, 1 FROM fine a JOIN fine b ON a.id <> b.id AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 JOIN cells c ON c.l = b.depth AND c.cx = b.cx AND c.cy = b.cy AND c.m <= 32
+  UNION ALL SELECT a.id, CASE WHEN a.cx = c.cx AND a.cy = c.cy THEN a.x - (gx * m - a.x) / (m - 1) ELSE a.x - gx END, CASE WHEN a.cx = c.cx AND a.cy = c.cy THEN a.y - (gy * m - a.y) / (m - 1) ELSE a.y - gy END, CASE WHEN a.cx = c.cx AND a.cy = c.cy THEN m - 1 ELSE m END FROM fine a JOIN cells c ON c.l = a.depth AND c.m > 32 AND abs(a.cx - c.cx) <= 1 AND abs(a.cy - c.cy) <= 1),
+push AS (SELECT id, sum(m * dx / (dx * dx + dy * dy + 1e-12)) AS fx, sum(m * dy / (dx * dx + dy * dy + 1e-12)) AS fy FROM acts GROUP BY id),
+pull AS (SELECT s.node AS id, sum(weight * sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) * (b.x - a.x)) AS ax, sum(weight * sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) * (b.y - a.y)) AS ay FROM esides s JOIN pos a ON a.id = s.node JOIN pos b ON b.id = s.other GROUP BY s.node)"""
+
+
+@query(f"WITH {FORCES} SELECT id, round(coalesce(fx, 0), 4) + 0.0 AS fx, round(coalesce(fy, 0), 4) + 0.0 AS fy, round(coalesce(ax, 0), 6) + 0.0 AS ax, round(coalesce(ay, 0), 6) + 0.0 AS ay FROM pos LEFT JOIN push USING (id) LEFT JOIN pull USING (id)")
+def layout_forces(spark, d):
+    """The forces of one step of a spring layout over all nodes and edges: repulsion through the pyramid, pull along edges."""
+    key = F.col("p_partkey")
+    nodes = cut(at(spark, d, "part").select(key.alias("id"), (key * 7919 % 10007 / 10007.0).alias("x"), (key * 104729 % 10009 / 10009.0).alias("y")))
+    pull = layout.attraction(nodes, _edges(spark, d)).select("id", F.col("fx").alias("ax"), F.col("fy").alias("ay"))
+    both = layout.repulsion(nodes).join(pull, "id", "left").fillna(0.0)
+    return both.select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("fx", "fy")], *r6s("ax", "ay"))

@@ -15,7 +15,12 @@ LATEX = ("(?s)\\\\begin\\{[^}]+\\}.*?\\\\end\\{[^}]+\\}", "\\$[^$]*\\$", "(?s)\\
 KINDS = (("pdf", (".pdf",)), ("latex", (".tex", ".latex")), ("python", (".py",)), ("c_like", (".c", ".h", ".cpp", ".hpp", ".cc", ".java")), ("html", (".html", ".htm")))
 CLASSES = (("theory", ("paper1", "paper2", "k-it", "epistemic", "methodology", "theory", "introduction")), ("case", ("connor", "reed", "case", "misinfo", "social", "covid")))
 #: Names that Python itself has.
-RESERVED = sorted({x.lower() for x in (*keyword.kwlist, *dir(builtins)) if x.isalpha() and len(x) > 2})
+RESERVED = sorted({x for x in (*keyword.kwlist, *dir(builtins)) if x.isalpha() and x.islower() and len(x) > 2})
+#: Names that say nothing in code, and short ones that do.
+NOISE = ("self", "cls", "args", "kwargs", "tmp", "temp", "var", "val")
+SHORT = ("df",)
+#: Python's docstrings, its comments, and paths in code.
+DOCSTRING, COMMENT, PATH = "(?s)\"\"\".*?\"\"\"|'''.*?'''", "#[^\\n]*", "([A-Za-z]:)?[\\\\/][A-Za-z0-9_./\\\\-]+"
 SPACE = "[\\t-\\r \\x85\\xA0]"
 WORD = "[A-Za-z][A-Za-z-]{2,}"
 SUFFIXES = ("ing", "ers", "er", "ed")
@@ -134,11 +139,29 @@ def code_words(c: Column) -> Column:
     return F.transform(parts, lambda x: F.lower(x))
 
 
-def code_tokens(c: Column) -> Column:
-    """Words of comments and docstrings first, then of the code without them and without paths; no keywords or built-in names."""
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, '(?s)""".*?"""', " "), "(?m)#.*$", " "), "[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]+", " ")
-    words = F.concat(code_words(F.array_join(comments(c), "\n")), code_words(body))
-    return F.filter(words, lambda x: ~x.isin(*RESERVED))
+def identifiers(c: Column) -> Column:
+    """The words of names in code, lower-cased: split at underscores and changes of case, so that an acronym before a word is one of its own.
+
+    Single letters and acronyms before a digit or an underscore are left out, unless they are all that a name has.
+    Dropped are numbers, keywords and built-in names, noise, and what has under three characters but for known ones.
+    """
+
+    def words(name: Column) -> Column:
+        found = F.regexp_extract_all(name, F.lit("[A-Za-z][a-z]+|[A-Z]+(?=[A-Z][a-z]|$)|[0-9]+"), 0)
+        return F.when(F.size(found) > 0, found).otherwise(F.array(name))
+
+    parts = F.transform(F.flatten(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), 0), words)), lambda x: F.lower(x))
+    return F.filter(parts, lambda x: ((F.length(x) >= 3) | x.isin(*SHORT)) & ~x.isin(*RESERVED, *NOISE) & ~x.rlike("^[0-9]+$"))
+
+
+def code_tokens(c: Column, language: str = "python") -> Column:
+    """Words of docstrings, of comments, then of the code without them and without paths. Of other languages the whole text is code."""
+    whole = F.coalesce(c, F.lit(""))
+    if language not in ("python", "py"):
+        return identifiers(F.regexp_replace(whole, PATH, " "))
+    notes = F.array_join(F.concat(F.regexp_extract_all(whole, F.lit(DOCSTRING), 0), F.regexp_extract_all(whole, F.lit(COMMENT), 0)), "\n")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, DOCSTRING, " "), COMMENT, " "), PATH, " ")
+    return F.concat(identifiers(notes), identifiers(body))
 
 
 def word_characters(c: Column) -> Column:

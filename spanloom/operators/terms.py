@@ -104,6 +104,15 @@ def roots(freqs: DataFrame) -> DataFrame:
     return ranked(grouped, F.desc("size"), F.col("root_key")).withColumn("root_id", F.format_string("R%04d", "place")).drop("place")
 
 
+def root_tables(freqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables of roots: each element with its root, and each root with its members in order (the words of one stem)."""
+    found = cut(roots(freqs))
+    keyed = freqs.withColumn("root_key", text.root_key(F.col("element")))
+    table = keyed.join(found.select("root_key", "root_id", "representative", "size"), "root_key").select("element", "root_id", "root_key", "representative", "size", "collection_freq", "span_freq")
+    members = cut(table).groupBy("root_id").agg(F.array_sort(F.collect_list("element")).alias("members"))
+    return table, found.join(members, "root_id")
+
+
 def signatures(labelled: DataFrame) -> DataFrame:
     """element, counts and smoothed shares of four labels, entropy in bits, the dominant one. Input: element, label."""
     canon = labelled.withColumn("label", scores.canonical_label(F.col("label")))

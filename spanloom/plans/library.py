@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scores, session, text
 from spanloom.operators import contexts, graph, language, layout, phrases, reports, service, spectra, styling, terms, timeline, vectors
-from spanloom.plans.catalog import BACKBONE, ELEMENTS, FREQ, ORACLES, PAIRS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TALK, TOKENS, _important, _pairs, _scored, _signatures, _stable, _talk, at, core_score_rank, query, r6, snapshot_pct
+from spanloom.plans.catalog import BACKBONE, ELEMENTS, FREQ, ORACLES, PAIRS, ROOTS, SIGN, SPANS, SQUEEZE, STABLE, STATS, STEM, TALK, TOKENS, _freq, _important, _pairs, _scored, _signatures, _stable, _talk, at, core_score_rank, query, r6, snapshot_pct
 from spanloom.plans import run as runs
 from spanloom.plans.results import Results
 from spanloom.plans.tables import cut, new_path, ranked
@@ -60,15 +60,37 @@ def c_source(spark, d):
     return _extracted(spark, d, r"(?m)//\s*(.*)$", r"(?s)/\*(.*?)\*/")
 
 
-KEPT = "list_filter({0}, lambda x: x NOT IN (" + ", ".join(f"'{x}'" for x in text.RESERVED) + "))"
-BODY = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?s)""\".*?""\"', ' ', 'g'), '(?m)#.*$', ' ', 'g'), '[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]+', ' ', 'g')""".replace('\\"', '"')
-NOTES = r"""array_to_string(list_concat(regexp_extract_all(text, '(?m)#\s*(.*)$', 1), regexp_extract_all(text, '(?s)""\"(.*?)""\"', 1)), chr(10))""".replace('\\"', '"')
+def sql_words(of: str) -> str:
+    dropped = ", ".join(f"'{x}'" for x in (*text.RESERVED, *text.NOISE))
+    # An acronym before a word gets a blank after it, as this engine's patterns do not look ahead.
+    split = r"regexp_extract_all(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Za-z][a-z]+|[A-Z]+(?: |$)|[0-9]+')"
+    parts = f"list_transform(flatten(list_transform(regexp_extract_all({of}, '[A-Za-z0-9_]+'), lambda n: CASE WHEN len({split}) > 0 THEN {split} ELSE [n] END)), lambda x: lower(trim(x)))"
+    return f"list_filter({parts}, lambda x: (length(x) >= 3 OR x = 'df') AND x NOT IN ({dropped}) AND NOT regexp_full_match(x, '[0-9]+'))"
 
 
-@query(f"WITH t AS (SELECT doc_id, {KEPT.format(f'list_concat({CODE.format(NOTES)}, {CODE.format(BODY)})')} AS w FROM documents) SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM t")
+def sql_quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+SQL_NOTES = f"array_to_string(list_concat(regexp_extract_all(text, {sql_quoted(text.DOCSTRING)}), regexp_extract_all(text, {sql_quoted(text.COMMENT)})), chr(10))"
+SQL_BODY = f"regexp_replace(regexp_replace(text, {sql_quoted(text.DOCSTRING)}, ' ', 'g'), {sql_quoted(text.COMMENT)}, ' ', 'g')"
+SQL_PATHS = "regexp_replace({0}, " + sql_quoted(text.PATH).replace("{", "{{").replace("}", "}}") + ", ' ', 'g')"
+WORDS_SQL = "WITH t AS (SELECT {0} AS id, {1} AS w FROM {2}) SELECT id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM t"
+
+
+def _digested(words):
+    return words.select("id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+
+
+@query(WORDS_SQL.format("doc_id", f"list_concat({sql_words(SQL_NOTES)}, {sql_words(SQL_PATHS.format(SQL_BODY))})", "documents"))
 def code_tokens(spark, d):
-    words = at(spark, d, "documents").select("doc_id", text.code_tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+    return _digested(at(spark, d, "documents").select(F.col("doc_id").alias("id"), text.code_tokens(F.col("text")).alias("w")))
+
+
+@query(WORDS_SQL.format("page_id", sql_words(SQL_PATHS.format("coalesce(html, '')")), "pages"))
+def script_tokens(spark, d):
+    """The words of another language's source, the markup and scripts of pages."""
+    return _digested(at(spark, d, "pages").select(F.col("page_id").alias("id"), text.code_tokens(F.col("html"), "html").alias("w")))
 
 
 @query(r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+') AS w FROM documents) SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM t")
@@ -530,17 +552,21 @@ def phrase_regimes(spark, d):
 
 
 CONTEXTS = f"""{TOKENS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, position) - 1 AS span_id FROM tokened), said AS (SELECT n.span_id, s.span AS text, n.tokens FROM numbered n JOIN spans s ON n.doc_id = s.doc_id AND n.position = s.position),
-members AS (SELECT unnest(['A', 'A', 'A', 'B', 'B', 'C']) AS compound, unnest(['the', 'and', 'from', 'with', 'that', 'absent']) AS element),
+said_words AS (SELECT w, {STEM} AS stem FROM (SELECT DISTINCT unnest(tokens) AS w FROM tokened)), members AS (SELECT stem AS compound, w AS element FROM said_words WHERE stem IN (SELECT stem FROM said_words GROUP BY stem HAVING count(*) > 1 ORDER BY count(*) DESC, stem LIMIT 20)),
 hits AS (SELECT m.compound, e.span_id, count(*) AS overlap FROM (SELECT span_id, unnest(list_distinct(tokens)) AS element FROM said) e JOIN members m ON e.element = m.element GROUP BY ALL),
 whole AS (SELECT h.*, s.text FROM hits h JOIN said s ON h.span_id = s.span_id)"""
 
 
 def _contexts(spark, d):
+    """The spans and words around compounds of the corpus: words of one stem."""
     docs = at(spark, d, "documents")
     ids = ranked(terms.spans(docs).select("doc_id", "position"), F.col("doc_id"), F.col("position")).withColumn("span_id", F.col("place") - 1)
     spans = terms.spans(docs).withColumn("elements", text.tokens(F.col("span"))).join(ids, ["doc_id", "position"]).select("span_id", F.col("span").alias("text"), "elements")
-    members = spark.createDataFrame([("A", "the"), ("A", "and"), ("A", "from"), ("B", "with"), ("B", "that"), ("C", "absent")], "compound string, element string")
-    return contexts.supporting_spans(members, cut(spans))
+    spans = cut(spans)
+    words = cut(spans.select(F.explode("elements").alias("element")).distinct().withColumn("compound", text.root_key(F.col("element"))))
+    # The twenty stems with the most words.
+    top = words.groupBy("compound").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "compound").limit(20)
+    return contexts.supporting_spans(words.join(F.broadcast(top), "compound").select("compound", "element"), spans)
 
 
 @query(f"WITH {CONTEXTS} SELECT compound, row_number() OVER (PARTITION BY compound ORDER BY overlap DESC, text DESC, span_id) AS place, overlap, span_id FROM whole QUALIFY place <= 5")
@@ -788,3 +814,15 @@ def layout_forces(spark, d):
     pull = layout.attraction(nodes, _edges(spark, d)).select("id", F.col("fx").alias("ax"), F.col("fy").alias("ay"))
     both = layout.repulsion(nodes).join(pull, "id", "left").fillna(0.0)
     return both.select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("fx", "fy")], *r6s("ax", "ay"))
+
+
+@query(f"WITH {ROOTS}, m AS (SELECT root_id, count(*) AS n_members, min(element) AS first_member FROM roots r JOIN keyed k ON r.root_key = k.root_key GROUP BY root_id) SELECT k.element, r.root_id, r.root_key, r.representative, r.size, k.collection_freq, n_members, first_member FROM keyed k JOIN roots r ON k.root_key = r.root_key JOIN m ON r.root_id = m.root_id")
+def roots_through_files(spark, d):
+    """Elements with their roots as CSV and clusters with their members as records, written and read back together."""
+    path, freqs = new_path(spark), cut(_freq(spark, d))
+    table, clusters = terms.root_tables(freqs)
+    sinks.write_csv(table, f"{path}/element_roots", "root_id", "element")
+    sinks.write_records(clusters, f"{path}/element_clusters")
+    rows = spark.read.schema(table.schema).option("header", "true").csv(f"{path}/element_roots")
+    back = sinks.read_records(spark, f"{path}/element_clusters", "root_id string, members array<string>")
+    return rows.join(back, "root_id").select("element", "root_id", "root_key", "representative", "size", "collection_freq", F.size("members").alias("n_members"), F.element_at("members", 1).alias("first_member"))

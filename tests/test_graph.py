@@ -197,3 +197,17 @@ def test_quantile(spark, bins):
         for share in (0.0, 0.25, 0.5, 0.93, 1.0):
             assert quantile(df, "x", share, bins) == pytest.approx(np.quantile(values, share), abs=1e-12)
     assert quantile(spark.createDataFrame([], "x double"), "x", 0.5) is None
+
+
+def test_label_propagation(spark):
+    edges = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (6, 7)]
+    sides = {}
+    for a, b in edges:
+        sides.setdefault(a, []).append(b)
+        sides.setdefault(b, []).append(a)
+    labels = {n: n for n in sides}
+    for _ in range(5):
+        votes = {n: [labels[o] for o in others] for n, others in sides.items()}
+        labels = {n: min(set(v), key=lambda x: (-v.count(x), x)) for n, v in votes.items()}
+    found = graph.label_propagation(spark.createDataFrame(edges, "source long, target long")).collect()
+    assert {r.node: r.community for r in found} == labels

@@ -68,3 +68,15 @@ def test_archives_have_the_fields(spark, tmp_path):
             assert b"WARC-Target-URI: http://h/" in head and b"WARC-Record-ID: <urn:uuid:" in head
             assert b"revisit" not in head.splitlines()[0] or b"WARC-Refers-To-Target-URI: http://h/" in head
     assert sorted(r.page_id for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == list(range(60))
+
+
+def test_records_at_the_end_of_the_readers_buffer(spark, tmp_path):
+    """Marks at each place around the 65,536th byte: none is overlooked, and the rows behind it stay."""
+    for k in range(48):
+        rows = [(0, b"x" * (65_536 - 650 + k)), (1, b"second"), (2, b"third")]
+        out = [x for i, p in rows for x in warc.records(i, f"http://h/{k:02d}", p, None, None, f"{k}/{i}", 1 << 20, 1 << 20)]
+        raw = b"".join(warc.VERSION + x + b"\r\n\r\n" for x in [warc.warcinfo(str(k)), *out])
+        assert abs(raw.find(b"\r\n\r\nWARC/1.1", 60_000) - 65_536) < 60
+        (tmp_path / f"{k:02d}.warc").write_bytes(raw)
+    found = warc.read_warc(spark, str(tmp_path)).groupBy("target_uri").count().collect()
+    assert sorted((r[0], r[1]) for r in found) == [(f"http://h/{k:02d}", 3) for k in range(48)]

@@ -130,3 +130,27 @@ def test_sequences_have_marks(spark):
 def test_empty_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert terms.statistics(empty).count() == 0
+
+
+@pytest.mark.parametrize("cells", [25_000_000, 200])
+def test_pair_sums_in_one_pass_and_in_several(spark, cells):
+    rng = np.random.default_rng(3)
+    made = [(k // 3, k % 3, f"w{e:02d}", float(rng.random())) for k in range(90) for e in rng.choice(40, rng.integers(1, 9), replace=False)]
+    weighted = spark.createDataFrame([*made, (None, 0, "w01", 1.0), (None, 0, "w02", 1.0)], "doc_id int, position int, element string, weight double")
+    names = sorted({e for *_, e, _ in made})
+    plain = {a: dict.fromkeys(names, 0.0) for a in names}
+    for d, p, a, _ in made:
+        for d2, p2, b, w in made:
+            if (d, p) == (d2, p2):
+                plain[a][b] += w
+    for r in terms.pair_sums(weighted, cells=cells).collect():
+        assert r.others == names and r.n == sum(e == r.element for *_, e, _ in made)
+        assert r.sums == pytest.approx(list(plain.pop(r.element).values()))
+    assert not plain
+
+
+def test_coherence_shuffles_no_pairs(spark):
+    weighted = spark.createDataFrame([(k, 0, f"w{e}", 0.1) for k in range(50) for e in range(100)], "doc_id int, position int, element string, weight double")
+    found = terms.coherence(weighted)
+    assert {round(r.coherence, 9) for r in found.collect()} == {1.0}
+    assert "Join [doc_id" not in found._jdf.queryExecution().executedPlan().toString()

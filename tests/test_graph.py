@@ -211,3 +211,13 @@ def test_label_propagation(spark):
         labels = {n: min(set(v), key=lambda x: (-v.count(x), x)) for n, v in votes.items()}
     found = graph.label_propagation(spark.createDataFrame(edges, "source long, target long")).collect()
     assert {r.node: r.community for r in found} == labels
+
+
+def test_triangles_make_no_row_for_each_path(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (300, 2)).tolist() if a != b}
+    plain = sum((a, c) in pairs and (b, c) in pairs for a, b in pairs for c in range(b + 1, 40))
+    df = graph.triangles(spark.createDataFrame(sorted(pairs), "source long, target long"))
+    assert df.collect() == [(plain,)]
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert graph.triangles(spark.createDataFrame([(1, 2)], "source long, target long")).collect() == [(0,)]

@@ -21,13 +21,15 @@ NOISE = ("self", "cls", "args", "kwargs", "tmp", "temp", "var", "val")
 SHORT = ("df",)
 #: Python's docstrings, its comments, and paths in code.
 DOCSTRING, COMMENT, PATH = "(?s)\"\"\".*?\"\"\"|'''.*?'''", "#[^\\n]*", "([A-Za-z]:)?[\\\\/][A-Za-z0-9_./\\\\-]+"
-SPACE = "[\\t-\\r \\x85\\xA0]"
+SPACE, BLANKS = "[\\t-\\r \\x85\\xA0]", "\t\n\v\f\r \x85\xa0"
 WORD = "[A-Za-z][A-Za-z-]{2,}"
+#: A whole run of three letters or more with a vowel, not structural, in a text without hyphens.
+TOKEN = f"(?<![A-Za-z])(?!(?i:{'|'.join(STRUCTURAL)}))(?=[A-Za-z]*[aeiouAEIOU])[A-Za-z]{{3,}}"
 SUFFIXES = ("ing", "ers", "er", "ed")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -53,7 +55,7 @@ def latex_arguments(c: Column) -> Column:
 
 def informative(span: Column) -> Column:
     """Enough letters: ten of a short span, three tenths of a longer one."""
-    letters, n = F.length(F.regexp_replace(span, "[^\\p{L}]", "")), F.length(span)
+    letters, n = F.length(F.regexp_replace(span, "[^\\p{L}]+", "")), F.length(span)
     return F.when(n < 20, letters >= 10).otherwise(letters / n >= 0.3)
 
 
@@ -69,7 +71,11 @@ def normal_token(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(WORD), 0), normal_token), lambda t: t != "")
+    """The normal tokens of the words (letter, then letters and hyphens) of a text, by one pattern.
+
+    Without its hyphens a word is a run of letters, and no two runs become one that were not one word.
+    """
+    return F.transform(F.regexp_extract_all(F.replace(c, F.lit("-"), F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t))
 
 
 def bigrams(tokens_: str) -> Column:

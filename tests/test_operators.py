@@ -154,3 +154,29 @@ def test_coherence_shuffles_no_pairs(spark):
     found = terms.coherence(weighted)
     assert {round(r.coherence, 9) for r in found.collect()} == {1.0}
     assert "Join [doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_by_one_pattern(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aAbtTgf-- .\u00e9\u0130\u212a5"), rng.integers(0, 30))) for _ in range(2_000)] + ["Tables Fig-ure ta-b a--bc -abc- xyz Reference ReF", None]
+    plain = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(text.WORD), 0), text.normal_token), lambda t: t != "")
+    c = F.col("value")
+    found = spark.createDataFrame([(x,) for x in texts], "value string").select(text.tokens(c).alias("tokens"), plain(c).alias("plain"))
+    assert found.filter("NOT (tokens <=> plain)").count() == 0
+    # Patterns are not tried on each token once more.
+    assert found.select("tokens")._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 0
+
+
+def test_strip_takes_the_same_blanks(spark):
+    texts = ["\t\n\v\f\r \x85\xa0a \xa0b\x85 ", "", " \xa0", "a", "\u2003a", "\x1fa", "\u0085\u0105 ", None]
+    c = F.col("value")
+    found = spark.createDataFrame([(x,) for x in texts], "value string").select(text.strip(c).alias("s"), F.regexp_replace(c, f"^{text.SPACE}+|{text.SPACE}+$", "").alias("plain"))
+    assert found.filter("NOT (s <=> plain)").count() == 0
+
+
+def test_frequencies_are_added_up_before_the_shuffle(spark):
+    rows = [(["a", "b", "a"],), ([],), (None,), (["b", None, None],), (["a"],)]
+    found = terms.frequencies(spark.createDataFrame(rows, "elements array<string>"))
+    assert {(r.element, r.collection_freq, r.span_freq) for r in found.collect()} == {("a", 3, 2), ("b", 2, 2), (None, 2, 1)}
+    # A row for each occurrence went on before.
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -55,8 +55,9 @@ def _spans(run: Run) -> Tables:
 
 @stage("elements", 2.0, ("spans",))
 def _elements(run: Run) -> Tables:
-    weighted = cut(terms.weights(run.docs))
-    return {"weights": weighted, "elements": cut(terms.statistics_of(weighted).join(terms.coherence(weighted), "element"))}
+    made = terms.span_weights(run.docs)
+    weighted = terms.exploded(*made)
+    return {"weights": weighted, "elements": cut(terms.statistics_of(weighted).join(terms.coherence_of(*made), "element"))}
 
 
 @stage("stability", 3.0, ("elements",))

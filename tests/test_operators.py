@@ -180,3 +180,34 @@ def test_frequencies_are_added_up_before_the_shuffle(spark):
     assert {(r.element, r.collection_freq, r.span_freq) for r in found.collect()} == {("a", 3, 2), ("b", 2, 2), (None, 2, 1)}
     # A row for each occurrence went on before.
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_of_documents_that_share_an_id(spark):
+    lines = ["the running horse jumps over fences and ditches", "many horses were running over the green fences", "nothing here repeats anything whatsoever indeed"]
+    rows = [(1, "\n".join(lines)), (1, lines[1] + "\n" + lines[0]), (2, lines[0]), (None, lines[1]), (None, lines[0]), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [(r.doc_id, r.position, r.elements) for r in terms.tokenised(docs).collect()]
+    held = {}
+    for doc, at, elements in spans:
+        held.setdefault((doc, at), []).extend(elements)
+    in_spans = {}
+    for elements in held.values():
+        for e in set(elements):
+            in_spans[e] = in_spans.get(e, 0) + 1
+    want = {}
+    for key, elements in held.items():
+        x = {e: elements.count(e) * (math.log((1 + len(spans)) / (1 + in_spans[e])) + 1) for e in set(elements) if in_spans[e] > 1}
+        want |= {(*key, e): (elements.count(e), v / math.sqrt(sum(y * y for y in x.values()))) for e, v in x.items()}
+    found = {(r.doc_id, r.position, r.element): (r.tf, r.weight) for r in terms.weights(docs).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_weights_and_coherence_shuffle_no_spans(spark):
+    docs = spark.createDataFrame([(k, f"the running horse number{k % 7} jumps over fences\nwhite horses over there were running") for k in range(40)], "doc_id long, text string")
+    made = terms.span_weights(docs)
+    weighted = terms.exploded(*made)
+    assert "hashpartitioning(doc_id" not in weighted._jdf.queryExecution().executedPlan().toString()
+    plan = terms.coherence_of(*made)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(position" not in plan
+    a = {r.element: r.coherence for r in terms.coherence_of(*made).collect()}
+    assert a and a == pytest.approx({r.element: r.coherence for r in terms.coherence(weighted).collect()})

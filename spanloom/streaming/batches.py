@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import terms
-from spanloom.plans.tables import remove_path
+from spanloom.plans.tables import cut, remove, remove_path
 
 
 class BatchSums:
@@ -44,7 +44,10 @@ class BatchSums:
         if number <= self.base():
             return
         self._added([counts.select(*self.keys, *self.sums)]).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        if len([k for k in self._numbers("batch") if k > self.base()]) >= self.every:
+        base = self.base()
+        # A base is read and written again only when a good part of what it holds has come in, so that all compactions
+        # together are in proportion to the batches and not to their square.
+        if len([k for k in self._numbers("batch") if k > base]) >= max(self.every, (base + 1) // 2):
             self.compact()
 
     def _parts(self) -> list[str]:
@@ -78,10 +81,12 @@ class CorpusBatches:
 
     def merge(self, docs: DataFrame, number: int) -> None:
         """One batch of documents: doc_id, text, source."""
-        self.elements.add(terms.frequencies(terms.tokenised(docs)), number)
-        spans = terms.tokenised(docs, phrases=False).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.size("elements")).alias("n_tokens"))
+        made = cut(terms.tokenised(docs, phrases=False).withColumnRenamed("elements", "tokens"))
+        self.elements.add(terms.frequencies(terms.with_phrases(made)), number)
+        spans = made.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.size("tokens")).alias("n_tokens"))
         some = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
         self.sizes.add(docs.join(spans, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_docs"), some("n_spans"), some("n_tokens")), number)
+        remove(made)
 
     def follow(self, files: DataFrame) -> None:
         """Merges all batches that a stream of documents has now; started again, it goes on behind the last one."""
@@ -89,6 +94,11 @@ class CorpusBatches:
         query.awaitTermination()
 
 
+def rows_a_file(n: int, files: int, batches: int = 20, least: int = 100) -> int:
+    """How many rows a file gets so that n rows make about so many batches of so many files, each of some rows at least."""
+    return max(least, -(-n // (files * batches)))
+
+
 def document_files(spark: SparkSession, folder: str, schema: str, at_once: int = 5) -> DataFrame:
     """A folder of Parquet files as a stream of so many files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(folder)

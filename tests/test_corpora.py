@@ -149,3 +149,25 @@ def test_kneser_ney_of_unseen_words(spark):
         found[r.g1, r.g2].append((r.words, r.score))
     best = sorted(((round(math.log(p("a", "b", w)), 9), w) for u, v, w in three if (u, v) == ("a", "b")), key=lambda x: (-x[0], x[1]))
     assert dict(found) == {("a", "b"): [(w, pytest.approx(s, abs=1e-8)) for s, w in best]}
+
+
+def test_compactions_grow_with_the_batches(spark, tmp_path):
+    class Counted(batches.BatchSums):
+        written = 0
+
+        def compact(self):
+            super().compact()
+            self.written += self.base() + 1
+
+    kept = Counted(spark, str(tmp_path / "sums"), ["k"], ["n"], every=1)
+    for k in range(24):
+        kept.add(spark.createDataFrame([(k % 3, 1)], "k long, n long").coalesce(1), k)
+    assert sorted(map(tuple, kept.read().select("k", "n").collect())) == [(0, 8), (1, 8), (2, 8)]
+    # All batches so far were written again with each one: 300 in all.
+    assert kept.written <= 3 * 24
+
+
+def test_a_larger_corpus_has_no_more_batches():
+    for n in (10, 1_000, 12_345, 600_000, 36_000_000):
+        rows = batches.rows_a_file(n, 8)
+        assert -(-n // (rows * 8)) <= 20 and rows >= 100

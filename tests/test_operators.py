@@ -75,6 +75,21 @@ def test_coherence_of_equal_rows(spark):
     assert {r.leader for r in vectors.condense(vectors.normalised(rows)).collect()} == {1}
 
 
+def test_condense_sends_only_leaders_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    kinds = rng.standard_normal((3, 16))
+    rows = spark.createDataFrame([(k, (kinds[k % 3] / np.linalg.norm(kinds[k % 3])).tolist()) for k in range(400)], "vec_id long, v array<double>").repartition(6)
+    kind = type(rows)
+    seen, collect, pandas = [], kind.collect, kind.toPandas
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(found := collect(self)) or found)
+    monkeypatch.setattr(kind, "toPandas", lambda self: seen.append((found := pandas(self)).to_numpy().tolist()) or found)
+    found = vectors.condense(rows, 100)
+    sent = sum(len(x) if isinstance(x, (bytes, list)) else 8 for rows_ in seen for r in rows_ for x in r)
+    assert sent <= 3 * (16 + 2) * 8 + 16
+    monkeypatch.undo()
+    assert {r.vec_id: r.leader for r in found.collect()} == {k: k % 3 for k in range(400)}
+
+
 def test_condense_against_a_plain_version(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((5, 16))

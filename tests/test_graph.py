@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import community, graph, spectra
-from spanloom.plans.tables import quantile
+from spanloom.plans.tables import cut, quantile
 
 
 @pytest.fixture(autouse=True)
@@ -221,3 +221,18 @@ def test_triangles_make_no_row_for_each_path(spark):
     assert df.collect() == [(plain,)]
     assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()
     assert graph.triangles(spark.createDataFrame([(1, 2)], "source long, target long")).collect() == [(0,)]
+
+
+def test_importance_and_what_a_percentile_writes(spark, monkeypatch):
+    edges = cut(spark.createDataFrame([(1, 2, 3), (2, 3, 1), (3, 4, 2)], "source long, target long, weight long"))
+    members = cut(spark.createDataFrame([(k, 1, "C0001") for k in (1, 2, 3, 4)], "node long, component long, compound_id string"))
+    z = cut(spark.createDataFrame([(1, 0.5, "a"), (2, 0.5, "a"), (3, 1.5, "b"), (4, -1.0, "b")], "node long, z double, root string"))
+    found = graph.with_importance(edges, members, z)
+    rows = {(r.source, r.target): r.importance for r in found.collect()}
+    assert rows[1, 2] == 1.0 and min(rows.values()) == 0.0
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df.columns) or cut(df))
+    kept = graph.prune(found, F.col("importance"), 0.5, (F.col("source_z") > 5) & (F.col("target_z") > 5))
+    # The edges are not written a second time.
+    assert written and not any("source" in columns for columns in written)
+    assert {(r.source, r.target) for r in kept.collect()} == {(1, 2), (3, 4)}

@@ -125,6 +125,18 @@ def words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return _strings(out, np.bincount(line[first], weights=length, minlength=len(begin)).astype(np.int64) if len(first) else np.zeros(len(begin), np.int64))
 
 
+def lines(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The text of each line, runs of blanks and tabs as one blank."""
+    line = np.repeat(np.arange(len(begin)), end - begin)
+    at = np.arange(len(line)) + np.repeat(begin - np.concatenate(([0], np.cumsum(end - begin)[:-1])), end - begin)
+    chars = data[at]
+    chars[chars == 9] = 32
+    gap = chars == 32
+    # A line begins with another character.
+    keep = ~gap | np.concatenate(([True], ~gap[:-1])) if len(gap) else gap
+    return _strings(chars[keep], np.bincount(line[keep], minlength=len(begin)))
+
+
 def split(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Tokens, the row of each, and whether the next one follows it in its span.
 

@@ -25,6 +25,12 @@ def test_spans_and_tokens(spark):
     assert sorted((r.doc_id, r.position, r.tokens.strip()) for r in found) == sorted((r.doc_id, r.position, r.t) for r in plain)
 
 
+def test_the_text_of_spans(spark):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    found = terms.segmented(docs, whole=True).select("doc_id", "position", "span").collect()
+    assert sorted(found) == sorted(terms.spans(docs).select("doc_id", "position", "span").collect())
+
+
 @pytest.mark.parametrize("column", [["one two ", "", "one \ntwo one \n", "\n\none two "], [["one", "two"], [], ["one", None, "two", "one", None], [None, None, "one", "two"]]])
 def test_elements(column):
     names, codes, row = segments.Elements(pa.array(column)).coded()

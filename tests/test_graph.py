@@ -136,6 +136,28 @@ def test_diameters(spark):
     assert {r.group: r.diameter for r in graph.group_diameters(path, groups).collect()} == {"a": 5, "b": 1, "c": 0}
 
 
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_diameters_are_of_all_members(spark, most):
+    """The farthest members have the largest ids, over several batches of starts; groups may share nodes."""
+    edges = [(a, b) for a in range(70) for b in range(a + 1, 70) if (a * b) % 3 == 0] + [(5, 100), *[(k, k + 1) for k in range(100, 104)], (7, 200), *[(k, k + 1) for k in range(200, 203)]]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def far(start):
+        got, level = {start: 0}, [start]
+        while level:
+            level = [w for v in level for w in near[v] if w not in got and not got.update({w: got[v] + 1})]
+        return got
+
+    groups = {"all": sorted(near), "ends": [104, 203], "some": list(range(40, 70))}
+    want = {g: max(far(a).get(b, 0) for a in nodes for b in nodes) for g, nodes in groups.items()}
+    df = spark.createDataFrame([(n, g) for g, nodes in groups.items() for n in nodes], "node long, group string")
+    assert {r.group: r.diameter for r in graph.group_diameters(spark.createDataFrame(edges, "source long, target long"), df, most=most).collect()} == want
+    assert want["all"] > 4
+
+
 def test_long_paths(spark):
     """Searches go on to the end of a path, beyond any fixed number of rounds."""
     path = spark.createDataFrame([(k, k + 1) for k in range(39)], "source long, target long")

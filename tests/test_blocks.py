@@ -1,6 +1,10 @@
 """Graphs as blocks against NumPy, with many blocks, loops and edges given twice."""
 
+import inspect
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.operators import blocks
@@ -25,3 +29,16 @@ def test_a_step_over_many_blocks(spark, how):
     # The edges are not shuffled again: what a round sends is.
     assert step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 1
     graph.remove()
+
+
+def test_what_a_full_block_of_rows_takes(spark):
+    """Two workers of an executor of 3000 MB pack a block each."""
+    entries = inspect.signature(blocks.Blocks).parameters["entries"].default
+    size, rng = 1 << 14, np.random.default_rng(1)
+    a, b = (rng.integers(0, size, entries).astype(np.int32) for _ in range(2))
+    table = pa.table({"key": pa.array([0], pa.int64()), "i": pa.array([0], pa.int32()), "a": [a.tobytes()], "b": [b.tobytes()], "w": [b""]})
+    tracemalloc.start()
+    blocks._packed(size, False)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20

@@ -1,5 +1,6 @@
 """Communities, spectra, searches and quantiles against plain versions."""
 
+import functools
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import community, graph, spectra
+from spanloom.operators.blocks import Blocks
 from spanloom.plans.tables import cut, quantile
 
 
@@ -258,3 +260,20 @@ def test_importance_and_what_a_percentile_writes(spark, monkeypatch):
     # The edges are not written a second time.
     assert written and not any("source" in columns for columns in written)
     assert {(r.source, r.target) for r in kept.collect()} == {(1, 2), (3, 4)}
+
+
+def test_betweenness_takes_few_sources_at_once(spark, monkeypatch):
+    """Groups of sources are so small that what a task gets from all its blocks stays within `most` numbers."""
+    edges = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6), (6, 7)]
+    monkeypatch.setattr(graph, "Blocks", functools.partial(Blocks, entries=6))
+    sent, whole = [], Blocks.step
+
+    def step(self, state, *rest):
+        found = state.selectExpr("max(length(depth)) AS x").head()[0] or 0
+        sent.append(found // 4 * self.needs.groupBy("i").count().agg(F.max("count")).head()[0])
+        return whole(self, state, *rest)
+
+    monkeypatch.setattr(Blocks, "step", step)
+    found = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "source long, target long"), 6, 24).collect()}
+    assert found == pytest.approx(plain_betweenness(edges, range(6)))
+    assert max(sent) <= 24

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import community, graph, spectra
 from spanloom.operators.blocks import Blocks
+from spanloom.plans import catalog
 from spanloom.plans.tables import cut, quantile
 
 
@@ -262,6 +263,12 @@ def test_importance_and_what_a_percentile_writes(spark, monkeypatch):
     assert {(r.source, r.target) for r in kept.collect()} == {(1, 2), (3, 4)}
 
 
+def test_rarity_joins_no_edges_by_compound(spark):
+    """What is left of the plan after importance is a scan and a filter."""
+    df = catalog.QUERIES["prune_rarity"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_betweenness_takes_few_sources_at_once(spark, monkeypatch):
     """Groups of sources are so small that what a task gets from all its blocks stays within `most` numbers."""
     edges = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6), (6, 7)]

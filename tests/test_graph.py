@@ -133,6 +133,31 @@ def test_spectral_gap_of_weighted_edges(spark):
     assert spectra.spectral_gap(spark.createDataFrame(edges, "source long, target long, weight long")) == pytest.approx(values[1] - values[0], abs=1e-6)
 
 
+def test_spectral_gap_without_steps(spark, monkeypatch):
+    """Several components take no step, and a graph of one block takes them in one task; over several blocks the value is the same."""
+    rng = np.random.default_rng(8)
+    edges = planted(3, 12, rng)
+    df = spark.createDataFrame(edges, "source long, target long")
+    apart = df.union(df.selectExpr("source + 1000", "target + 1000"))
+    a = np.zeros((36, 36))
+    for x, y in edges:
+        a[x, y] = a[y, x] = 1.0
+    root = np.sqrt(a.sum(axis=1))
+    want = np.linalg.eigvalsh(np.eye(36) - a / root[:, None] / root[None, :])[1]
+    over = functools.partial(Blocks, entries=100)
+    made = []
+    monkeypatch.setattr(spectra, "Blocks", lambda *x, **k: made.append(over(*x, **k)) or made[-1])
+    assert spectra.spectral_gap(df, whole=0) == pytest.approx(want, abs=1e-6)
+    assert len(made[-1]) > 1
+    steps, whole_step = [], Blocks.step
+    monkeypatch.setattr(Blocks, "step", lambda self, state, kernel, schema, *rest: steps.append(schema) or whole_step(self, state, kernel, schema, *rest))
+    assert spectra.spectral_gap(df) == pytest.approx(want, abs=1e-6)
+    assert len(made[-1]) == 1 and sum("label" not in s for s in steps) == 1
+    steps.clear()
+    assert spectra.spectral_gap(apart, whole=0) == 0.0
+    assert all("label" in s for s in steps)
+
+
 def test_diameters(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(10, 11)], "source long, target long")
     groups = spark.createDataFrame([(k, "a") for k in range(6)] + [(10, "b"), (11, "b"), (99, "c")], "node long, group string")
